@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, topk, warc
+from . import decontaminate, linededup, neardup, topk, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,46 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+@_query(
+    "op1_line_dedup",
+    """
+    WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT row_number() OVER () AS rid, doc_id, text FROM d),
+    a AS (SELECT rid, list_transform(string_split(text, chr(10)), lambda x:
+              regexp_replace(trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS ms
+          FROM n),
+    b AS (SELECT rid, ms, unnest(range(len(ms))) AS pos FROM a),
+    l AS (SELECT rid, pos, ms[pos + 1] AS m, coalesce(ms[pos], chr(10)) AS before, coalesce(ms[pos + 2], chr(10)) AS after,
+                 len(string_split(ms[pos + 1], ' ')) AS n_tokens FROM b WHERE ms[pos + 1] <> ''),
+    s AS (SELECT m, any_value(n_tokens) AS n_tokens, array_to_string(string_split(m, ' ')[1:3], ' ') AS head,
+                 count(DISTINCT rid) AS docs, count(DISTINCT (before, after)) AS ctx
+          FROM l WHERE n_tokens >= 4 GROUP BY m),
+    t AS (SELECT m, n_tokens, head, docs, string_split(m, ' ') AS ts FROM s),
+    w AS (SELECT n_tokens, head, place, token, sum(docs) AS w
+          FROM (SELECT n_tokens, head, docs, unnest(range(4, len(ts) + 1)) AS place, unnest(ts[4:]) AS token FROM t) GROUP BY ALL),
+    f AS (SELECT n_tokens, head, sum(docs) AS total FROM s GROUP BY ALL),
+    c AS (SELECT w.n_tokens, w.head, place, token FROM w JOIN f USING (n_tokens, head) WHERE w * 2 > total),
+    o AS (SELECT t.m, count(*) AS same
+          FROM (SELECT m, n_tokens, head, unnest(range(4, len(ts) + 1)) AS place, unnest(ts[4:]) AS token FROM t) t
+          JOIN c ON c.n_tokens = t.n_tokens AND c.head = t.head AND c.place = t.place AND c.token = t.token GROUP BY t.m),
+    k AS (SELECT s.* FROM s LEFT JOIN o USING (m) WHERE (coalesce(same, 0) + 3) * 100 >= n_tokens * 80),
+    g AS (SELECT n_tokens, head FROM k GROUP BY ALL HAVING count(*) > 1 AND sum(ctx) >= 10 AND sum(ctx) * 100 >= sum(docs) * 60),
+    r AS (SELECT m FROM s WHERE ctx >= 10 AND ctx * 100 >= docs * 60
+          UNION SELECT k.m FROM k JOIN g USING (n_tokens, head)),
+    x AS (SELECT rid, list(pos) AS dropped FROM l JOIN r USING (m) GROUP BY rid),
+    y AS (SELECT n.doc_id, n.text, x.dropped FROM n LEFT JOIN x USING (rid)),
+    z AS (SELECT documents.doc_id, documents.text, y.dropped, string_split(documents.text, chr(10)) AS ls
+          FROM documents LEFT JOIN y ON y.doc_id IS NOT DISTINCT FROM documents.doc_id AND y.text = documents.text)
+    SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+           CASE WHEN dropped IS NULL THEN text ELSE array_to_string(
+               list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(dropped, i)), lambda i: ls[i + 1]), chr(10)) END AS text
+    FROM z
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @_query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
