@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup, topk, warc
+from . import decontaminate, linededup, neardup, topk, urls, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed values of the query: verdict and rule (host, then the start of the path).
+URL_RULES = [
+    urls.Rule("block", "com/en/"),
+    urls.Rule("allow", "example.com/en/7"),
+    urls.Rule("allow", "net/de/"),
+    urls.Rule("block", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
+]
+
+
+@_query("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @_query(
     "op10_warc",
     """
