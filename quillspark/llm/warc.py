@@ -186,7 +186,7 @@ def write_archives(
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """All records of the archives that the manifest's tasks committed; payload digests are checked."""
-    return read_back(manifest.sparkSession, folder, SUFFIX, manifest).mapInArrow(_reader, _RECORDS)
+    return read_back(manifest.sparkSession, folder, manifest).mapInArrow(_reader, _RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
