@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, scratch
+from ._shared import bounded_sample, keep, scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host", "f_labels", "f_depth", "f_digits", "f_hyphens", "f_entropy", "f_params", "f_query", "f_suffix"]
@@ -110,15 +110,14 @@ class Model:
 
 
 def train(labelled: DataFrame, *, rows: int = 20_000, suffixes: int = 200, trees: int = 10, depth: int = 3, seed: int = 7) -> Model:
-    """Fit the trees on labelled urls (url, host, path, label 0 or 1, with 1 to block).
+    """Fit the trees on labelled urls (page_id, url, host, path, label 0 or 1, with 1 to block).
 
-    Fitted on a bounded sample: the `rows` smallest by a hash of the url; of its suffixes the `suffixes`
+    Fitted on a bounded sample of at most `rows` rows, by a hash of url and page_id; of its suffixes the `suffixes`
     most frequent get a rate of their own, smoothed by ten rows at the sample's rate. A sample of one
     class (or none) gives that class (or allow) for all.
     """
     where = scratch(labelled.sparkSession, "urls")
-    picked = labelled.withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(rows).drop("h")
-    sample = keep(lexical(picked), f"{where}/sample")
+    sample = keep(lexical(bounded_sample(labelled, ["url", "page_id"], rows)), f"{where}/sample")
     n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     base = ones / n if n else 0.0
     if not n or ones in (0, n):
@@ -126,7 +125,7 @@ def train(labelled: DataFrame, *, rows: int = 20_000, suffixes: int = 200, trees
     rates = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("y")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
     known = {r.suffix: (r.y + 10 * base) / (r.n + 10) for r in rates}
     ready = sample.withColumn("f_suffix", Model(known, base, F.lit(0)).suffix_rate()).withColumn("label", F.col("label").cast("double"))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready.coalesce(1))
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready.orderBy("page_id", "url").coalesce(1))
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64).fit(ready)
     score = reduce(lambda a, b: a + b, (F.lit(float(w)) * _tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t, w in zip(fitted.trees, fitted.treeWeights, strict=True)))
     return Model(known, base, score)
@@ -144,7 +143,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], **training) -> DataFrame:
     rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rows = rows.withColumn("rule", matched(rules, F.col("host"), F.col("path"), lambda r: r.rule))
     ruled = matched(rules, F.col("host"), F.col("path"), lambda r: r.verdict)
-    labelled = rows.withColumn("label", (ruled == "block").cast("int")).where("label IS NOT NULL").select("url", "host", "path", "label")
+    labelled = rows.withColumn("label", (ruled == "block").cast("int")).where("label IS NOT NULL").select("page_id", "url", "host", "path", "label")
     model = train(labelled, **training)
     scored = lexical(rows).withColumn("f_suffix", model.suffix_rate()).withColumn("score", model.score)
     verdict = F.coalesce(ruled, F.when(F.col("score") > 0, "block").otherwise("allow"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import Shared, attempt_name, read_back
-from ._shared import keep, salted_join, scratch, small_batches
+from ._shared import bounded_sample, keep, salted_join, scratch, small_batches
 
 #: Fixed values of the formats: magic numbers of a skippable frame and of a Zstandard frame.
 SKIPPABLE = 0x184D2A5D
@@ -27,13 +27,8 @@ def train(pages: DataFrame, records: int, record_bytes: int, size: int) -> bytes
 
     The sample only steers compression. With too little text to train on, its bytes are the dictionary.
     """
-    rows = (
-        pages.select(F.xxhash64("page_id", "url").alias("h"), F.substring("html", 1, record_bytes).alias("html"))
-        .where("length(html) > 0")
-        .orderBy("h", "html")
-        .limit(records)
-        .collect()
-    )
+    picked = bounded_sample(pages.where("html <> ''"), ["page_id", "url"], records)
+    rows = sorted(picked.select("page_id", "url", F.substring("html", 1, record_bytes).alias("html")).collect(), key=str)
     sample = [(_http(len(r.html.encode())) + r.html.encode())[:record_bytes] for r in rows]
     try:
         return zstandard.train_dictionary(size, sample, level=3, d=8, k=256).as_bytes()
