@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ways a hot join key is spread over; the lookup side is repeated this often.
-SALTS = 16
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -147,11 +147,14 @@ def _verify(share: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, share: int, where: str) -> DataFrame:
-    """Those pairs (a, b, with a as the pivot) whose whole sets overlap by `share` percent; written."""
-    pairs = keep(pairs, f"{where}/pairs")
+def _spelled(pairs: DataFrame, texts: DataFrame, k: int, where: str) -> DataFrame:
+    """The whole sets of all documents in `pairs`; the join is never a broadcast, as the ids grow with the input."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = keep(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_spell(k), "id long, shingles binary"), f"{where}/sets")
+    return keep(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_spell(k), "id long, shingles binary"), f"{where}/sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, share: int, where: str) -> DataFrame:
+    """Those pairs (a, b, with a as the pivot) whose whole sets overlap by `share` percent; written."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     # the pivot's set goes once to each chunk of about CHUNK members
     heads = sizes.join(sets, sizes["a"] == sets["id"]).select(
@@ -159,15 +162,72 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, share: int, where: str) -
     )
     many = sizes.where("chunks > 1").select("a", "chunks")
     dealt = salted_join(pairs, many, ["a"], "b").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
-    members = salted_join_on_id(dealt, sets).select("a", "chunk", "b", "shingles")
+    # a member is in few pairs (at most one per band), so that its id is no hot key
+    members = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "chunk", "b", "shingles")
     rows = heads.select("a", F.col("chunk").cast("int").alias("chunk"), "b", "shingles").unionByName(members)
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return keep(rows.mapInArrow(_verify(share), "src long, dst long"), f"{where}/links")
 
 
-def salted_join_on_id(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """A member is in few pairs (at most one per band), so that its id is no hot key."""
-    return pairs.join(sets, pairs["b"] == sets["id"]).drop("id")
+def _across(share: int):
+    """Streams cells (a, i, j) of queries and members, and keeps pairs of different components that overlap enough."""
+
+    def links(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(r[3], U64) for r in rows]
+        n = np.array([len(x) for x in sets])
+        columns, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[which]
+        line = np.repeat(np.arange(len(rows)), n)
+        both = np.zeros((len(rows), int((counts > 1).sum())), np.float32)
+        both[line[place >= 0], place[place >= 0]] = 1
+        asks = np.flatnonzero([r[0] for r in rows])
+        told = np.flatnonzero([not r[0] for r in rows])
+        common = np.rint(both[asks] @ both[told].T).astype(np.int64)
+        ids, own = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        alike = 100 * common >= share * (n[asks][:, None] + n[told][None, :] - common)
+        x, y = np.nonzero(alike & (own[asks][:, None] != own[told][None, :]))
+        return ids[asks[x]], ids[told[y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                x, y = links(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            for a, i, j, asks, b, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, i, j) != key:
+                    yield from done()
+                    key, rows = (a, i, j), []
+                rows.append((asks, b, own, data))
+        yield from done()
+
+    return run
+
+
+def _links_across(pairs: DataFrame, own: DataFrame, sets: DataFrame, share: int, where: str) -> DataFrame:
+    """Links between the components of each pivot's members.
+
+    All but the members of a pivot's largest component are compared with all its members, in cells of
+    about CHUNK by CHUNK documents. Only links leave a cell.
+    """
+    placed = pairs.join(own.withColumnRenamed("id", "b").hint("merge"), "b", "left").select("a", "b", F.coalesce("component_id", "b").alias("own"))
+    placed = keep(placed, f"{where}/placed")
+    sizes = placed.groupBy("a", "own").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("a").agg(F.sum("n").alias("g"), F.count("*").alias("parts"), F.max(F.struct("n", "own")).alias("top")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / CHUNK).cast("int")
+    groups = groups.select("a", F.col("top.own").alias("major"), blocks(F.col("g")).alias("js"), blocks(F.col("g") - F.col("top.n")).alias("is"))
+    rows = salted_join(placed, keep(groups, f"{where}/groups"), ["a"], "b", "inner")
+    rows = rows.join(sets.withColumnRenamed("id", "b").hint("merge"), "b")
+    block = lambda n, seed: F.pmod(F.xxhash64("b", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    told = rows.withColumn("j", block("js", 1)).withColumn("i", every("is")).withColumn("asks", F.lit(False))
+    asks = rows.where("own <> major").withColumn("i", block("is", 2)).withColumn("j", every("js")).withColumn("asks", F.lit(True))
+    columns = ["a", "i", "j", "asks", "b", "own", "shingles"]
+    cells = told.select(columns).unionByName(asks.select(columns)).repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return keep(cells.mapInArrow(_across(share), "src long, dst long"), f"{where}/links")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFrame:
@@ -175,8 +235,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFram
 
     Words are runs of anything but ASCII white space, with A-Z in lower case. Equal sets form a class; one
     text of each class (the smallest doc_id) is compared. In every bucket of a band, members are compared
-    with the bucket's smallest id; what is then still apart inside a bucket is compared across its
-    components, so that links between members are found too. Each pair is confirmed on whole sets.
+    with the bucket's smallest id, its pivot; a pivot's members that are then still in several components
+    are compared across them, so that links between members are found too. Each link is confirmed on
+    whole sets.
     Documents without words have n_shingles 0 and stand alone. Rows that share a doc_id share a component
     if one of them is linked; a null doc_id takes part under no id and comes back alone. Other columns are
     ignored; an empty table gives an empty result.
@@ -199,30 +260,20 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFram
     band = heads.select("id", F.posexplode("bands").alias("band", "value"))
     bucket = band.groupBy("band", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "value", "pivot")
     members = keep(salted_join(band, bucket, ["band", "value"], "id", "inner"), f"{where}/buckets")
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = _links(pairs, texts, k, share, f"{where}/first")
-    own = components(first, f"{where}/first")
-    # buckets that still hold several components: their pairs across components, without those compared
-    placed = members.select("band", "value", "id").join(own, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    placed = keep(placed, f"{where}/placed")
-    split = placed.groupBy("band", "value").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("band", "value", "lo")
-    rest = keep(salted_join(placed, split, ["band", "value"], "id", "inner"), f"{where}/rest")
-    # the side with the bucket's smallest component may be hot: it is never paired with itself
-    small = rest.where("component_id <> lo").select("band", "value", F.col("id").alias("a"), F.col("component_id").alias("ca"))
-    pairs = rest.select("band", "value", F.col("id").alias("b"), F.col("component_id").alias("cb")).join(small, ["band", "value"]).where("cb < ca")
-    pairs = pairs.select("a", "b").distinct().join(first_pairs(spark, where), ["a", "b"], "left_anti")
-    second = _links(pairs, texts, k, share, f"{where}/second")
-    if second.isEmpty():
-        linked = own
-    else:
-        linked = components(first.unionByName(second), f"{where}/second")
+    pairs = keep(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), f"{where}/pairs")
+    sets = _spelled(pairs, texts, k, where)
+    own = keep(components(_links(pairs, sets, share, f"{where}/first"), f"{where}/first"), f"{where}/first/components")
+    second = _links_across(pairs, own, sets, share, f"{where}/second")
+    # components that a second link joins: a graph of components
+    name = own.withColumnRenamed("component_id", "c")
+    joined = second.join(name.withColumnRenamed("id", "src"), "src", "left").select("dst", F.coalesce("c", "src").alias("src"))
+    joined = joined.join(name.withColumnRenamed("id", "dst"), "dst", "left").select("src", F.coalesce("c", "dst").alias("dst"))
+    above = keep(components(joined, f"{where}/second"), f"{where}/second/components")
+    single = above.join(own, "id", "left_anti")
+    linked = salted_join(own, above.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), ["component_id"], "id")
+    linked = linked.select("id", F.coalesce("top", "component_id").alias("component_id")).unionByName(single)
     linked = keep(linked, f"{where}/components")
     out = salted_join(named, linked.withColumnRenamed("id", "first"), ["first"], "id")
     out = out.select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-
-def first_pairs(spark, where: str) -> DataFrame:
-    """Pairs of the first round, either way round."""
-    done = spark.read.schema("a long, b long").parquet(f"{where}/first/pairs")
-    return done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
