@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, neardup, packing, rans, topk, urls, warc
+from . import decontaminate, linededup, neardup, packing, rans, topk, toxicity, urls, warc
 from ._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +67,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end=1, room=2048).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end=1, room=2048, with_ids=False)
 
 
 @_query("op3_token_output")
@@ -75,6 +75,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @_query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
