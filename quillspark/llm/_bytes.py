@@ -85,11 +85,10 @@ def _blocks(buf: np.ndarray, at: np.ndarray, sep: np.ndarray) -> Iterator[tuple[
         low = high
 
 
-def words(column: pa.Array, sep: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the rows, in order, and the offsets of the rows in them."""
+def spans(column: pa.Array, sep: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of about a MB: the places of words in the column's bytes, their lengths and 64-bit hashes."""
     buf, at = flat(column)
     codes = byte_codes(lower)
-    hashes, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for low, high in _blocks(buf, at, sep):
         part = buf[low:high]
         inside = ~sep[part]
@@ -107,10 +106,22 @@ def words(column: pa.Array, sep: np.ndarray, lower: bool = True) -> tuple[np.nda
         place[~inside] = 0
         value = codes[part] * powers(int(place.max()) + 1)[place]
         value[~inside] = 0
-        hashes.append(mix(np.add.reduceat(value, starts)))
-        places.append(starts + low)
-    found, place = np.concatenate(hashes), np.concatenate(places)
-    return found, np.searchsorted(place, at, "left")
+        yield starts + low, np.add.reduceat(inside, starts, dtype=np.int64), mix(np.add.reduceat(value, starts))
+
+
+def words(column: pa.Array, sep: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the rows, in order, and the offsets of the rows in them."""
+    found, place = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for starts, _, hashes in spans(column, sep, lower):
+        found.append(hashes)
+        place.append(starts)
+    return np.concatenate(found), np.searchsorted(np.concatenate(place), flat(column)[1], "left")
+
+
+def name(word: str, lower: bool = True) -> int:
+    """The hash that `words` gives a word."""
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(mix((byte_codes(lower)[data] * powers(len(data))).sum(keepdims=True))[0])
 
 
 def shingles(word: np.ndarray, k: int) -> np.ndarray:
