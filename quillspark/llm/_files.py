@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +60,58 @@ def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFram
     names = sorted(r.file for r in manifest.select("file").distinct().collect())
     found = spark.read.format("binaryFile").load([f"{folder}/{x}" for x in names])
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+class Side:
+    """Tables written by file of texts (partitionBy "file"), for tasks that read those texts.
+
+    A row's file is its number without the low 33 bits, as monotonically_increasing_id deals them.
+    """
+
+    def __init__(self, folder: str, columns: list[str]) -> None:
+        where = urlparse(folder)
+        self._root, self._columns, self._held = where.path, columns, {}
+        if where.scheme in ("", "file"):
+            self._fs = None
+        else:
+            from pyarrow import fs
+
+            self._fs, self._root = fs.FileSystem.from_uri(folder)
+
+    def _load(self, file: int) -> pa.Table | None:
+        folder = f"{self._root}/file={file}"
+        if self._fs is None:
+            names = [f"{folder}/{x}" for x in sorted(os.listdir(folder))] if os.path.isdir(folder) else []
+        else:
+            from pyarrow import fs
+
+            names = sorted(x.path for x in self._fs.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+        names = [x for x in names if x.endswith(".parquet") and not x.rsplit("/", 1)[1].startswith(("_", "."))]
+        parts = [pq.ParquetFile(x, filesystem=self._fs).read(columns=["row", *self._columns]) for x in names]
+        if not parts:
+            return None
+        table = pa.concat_tables(parts)
+        return table.sort_by("row") if len(parts) > 1 else table
+
+    def of(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """The columns of the table's rows for the ascending numbers `rows`, and as _at each one's index in `rows`."""
+        files = np.unique(rows >> 33).tolist()
+        for old in [f for f in self._held if f not in files]:
+            del self._held[old]
+        found = []
+        for file in files:
+            if file not in self._held:
+                self._held[file] = self._load(file)
+            table = self._held[file]
+            if table is not None:
+                own = rows[(rows >> 33) == file]
+                key = table.column("row").to_numpy()
+                found.append(table.slice(a := int(np.searchsorted(key, own[0], "left")), int(np.searchsorted(key, own[-1], "right")) - a))
+        if not found:
+            return {"_at": np.zeros(0, np.int64)} | {c: np.zeros(0, np.int64) for c in self._columns}
+        table = pa.concat_tables(found)
+        at = np.searchsorted(rows, table.column("row").to_numpy())
+        hit = rows[np.minimum(at, len(rows) - 1)] == table.column("row").to_numpy()
+        if not hit.all():
+            table, at = table.filter(pa.array(hit)), at[hit]
+        return {"_at": at} | {c: table.column(c).to_numpy(zero_copy_only=False) if not pa.types.is_binary(table.column(c).type) else np.array(table.column(c).to_pylist(), object) for c in self._columns}
