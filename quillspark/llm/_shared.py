@@ -74,6 +74,23 @@ def bounded_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     return df.where(F.shiftrightunsigned(F.xxhash64(*keys), 24) < share).limit(rows)
 
 
+def marked(df: DataFrame, key: Column | str, lookup: DataFrame, lookup_key: Column | str, bits: int = 1 << 24) -> DataFrame:
+    """`df` with _marked: false where its key is surely not in `lookup`.
+
+    A bitmap of hashes of the lookup's keys, of `bits` bits whatever the lookup's size, is all that is
+    broadcast. Rows that aren't marked need no shuffle to be joined; with very many keys most are marked.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    at = lookup.select(place(lookup_key).alias("h"))
+    maps = at.groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    rows = df.withColumn("_place", place(key)).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    rows = rows.join(F.broadcast(maps), "_bucket", "left")
+    bit = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+    return rows.withColumn("_marked", found).drop("_place", "_bucket", "_bits")
+
+
 def components(edges: DataFrame, where: str, limit: int = 60) -> DataFrame:
     """Connected components of undirected `edges` (src, dst: long): rows (id, component_id).
 

@@ -136,6 +136,37 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _dropper(index, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            word, at = words(batch.column(text), NOT_WORD)
+            yield batch.filter(pa.array([not len(own.find(word[a:b])[1]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.bool_()))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, where: str, pass_windows: int) -> list:
+    """Broadcast indexes of the benchmark's items, each of about `pass_windows` windows."""
+    spark = benchmark.sparkSession
+    items = keep(
+        benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows, "item_id long, size int, windows binary, prints binary, n long"), f"{where}/items"
+    )
+    sizes = items.agg(F.sum(F.length("windows") / 8)).first()[0] or 0
+    n = max(1, -(-int(sizes) // pass_windows))
+    dealt = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "windows"), F.lit(n)))
+    return [spark.sparkContext.broadcast(Index(dealt.where(F.col("pass") == k).collect())) for k in range(n)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+    """`docs` with all its columns, without the rows that hold a benchmark window; see `decontaminate`."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for index in _indexes(benchmark, scratch(docs.sparkSession, "winnow"), pass_windows):
+        out = out.mapInArrow(_dropper(index, docs.columns.index("text")), docs.schema)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Which words of each document (doc_id, text) lie in a window of a benchmark item (item_id, text).
 
@@ -150,18 +181,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, pass_windows: int =
     spark = docs.sparkSession
     small_batches(spark)
     where = scratch(spark, "winnow")
-    items = keep(
-        benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows, "item_id long, size int, windows binary, prints binary, n long"), f"{where}/items"
-    )
-    sizes = items.agg(F.sum(F.length("windows") / 8)).first()[0] or 0
-    n = max(1, -(-int(sizes) // pass_windows))
-    dealt = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "windows"), F.lit(n)))
+    indexes = _indexes(benchmark, where, pass_windows)
+    n = len(indexes)
     source = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("row"))
     if n > 1:
         source = keep(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), f"{where}/docs")
     found = None
-    for k in range(n):
-        index = spark.sparkContext.broadcast(Index(dealt.where(F.col("pass") == k).collect()))
+    for index in indexes:
         part = source.mapInArrow(_finder(index), _HITS)
         found = part if found is None else found.unionByName(part)
     if n > 1:

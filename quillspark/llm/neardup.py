@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U64, WHITE, mix, shingles, words
-from ._shared import components, keep, salted_join, scratch, small_batches
+from ._shared import components, keep, marked, salted_join, scratch, small_batches
 
-#: 32 bands of 5 values: a pair at similarity 0.85 shares no band with probability 7e-9.
-BANDS, ROWS = 32, 5
+#: With 32 bands of 5 values, a pair at similarity 0.85 shares no band with probability 7e-9; with 4 values, one
+#: at 0.8 with 5e-8.
+BANDS = 32
 #: Members of a bucket that are compared in one run with its pivot.
 CHUNK = 256
 
@@ -86,15 +87,15 @@ def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _sign(k: int):
+def _sign(k: int, values: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole, 1 << 19):
                 sets, at = _sets(batch.column(1), k)
                 d1, d2 = _digest(sets, at)
-                signature = superminhash(sets, at, BANDS * ROWS).reshape(-1, BANDS, ROWS)
+                signature = superminhash(sets, at, BANDS * values).reshape(-1, BANDS, values)
                 band = np.zeros(signature.shape[:2], U64)
-                for r in range(ROWS):
+                for r in range(values):
                     band = mix(band * U64(0x9E3779B97F4A7C15) + signature[:, :, r])
                 offsets = np.arange(0, (batch.num_rows + 1) * BANDS, BANDS, dtype=np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.reshape(-1).view(np.int64)))
@@ -230,7 +231,7 @@ def _links_across(pairs: DataFrame, own: DataFrame, sets: DataFrame, share: int,
     return keep(cells.mapInArrow(_across(share), "src long, dst long"), f"{where}/links")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int | None = None) -> DataFrame:
     """Groups of documents (doc_id, text) whose sets of k-word shingles overlap by `share` percent or more.
 
     Words are runs of anything but ASCII white space, with A-Z in lower case. Equal sets form a class; one
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFram
     small_batches(spark)
     where = scratch(spark, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    signed = keep(texts.mapInArrow(_sign(k), f"id long, {_SIGNED}"), f"{where}/signed")
+    signed = keep(texts.mapInArrow(_sign(k, values or (5 if share >= 85 else 4)), f"id long, {_SIGNED}"), f"{where}/signed")
     full = signed.where("n_shingles > 0 and id is not null")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = keep(
@@ -277,3 +278,21 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, share: int = 85) -> DataFram
     out = out.select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+
+
+def drop_near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFrame:
+    """`docs` with all its columns, with one row of each group of near-duplicates: the smallest doc_id's.
+
+    Of rows with the same doc_id and text one stays. Documents without id or without words stay.
+    """
+    where = scratch(docs.sparkSession, "dropped")
+    found = near_duplicates(docs, k=k, share=share)
+    gone = found.where("NOT kept").select("doc_id", F.lit(True).alias("_gone"))
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("_gone"))
+    gone = keep(gone.unionByName(again).groupBy("doc_id").agg(F.max("_gone").alias("_gone")), f"{where}/gone")
+    # only rows that may go, or be there twice, are shuffled
+    rows = marked(docs, "doc_id", gone, "doc_id")
+    touched = rows.where("_marked").join(gone.hint("merge"), "doc_id", "left").where("_gone IS NULL OR NOT _gone")
+    once = touched.where("_gone IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    rest = touched.where("_gone IS NULL").unionByName(once).drop("_gone")
+    return rows.where("NOT _marked").unionByName(rest).drop("_marked").select(docs.columns)

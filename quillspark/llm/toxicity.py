@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import NOT_WORD, U64, byte_codes, flat, mix, name, powers, separators, spans
 from ._shared import bounded_sample, keep, scratch, small_batches
@@ -274,19 +275,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, entries: in
     return Model(lexicon, logistic(np.array([r.x for r in found]), y))
 
 
-def _scorer(model):
+def _scorer(model, text: int, with_text: bool):
+    """Each batch's columns (its text only on demand), with score and matched clauses."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, own = grammar(), model.value
         for batch in batches:
-            x = numbers(batch.column(1), own.lexicon, machine)
+            x = numbers(batch.column(text), own.lexicon, machine)
+            stay = [i for i in range(batch.num_columns) if with_text or i != text]
             yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(own.score(x)), pa.array(x[:, 7].astype(np.int64))],
-                names=[*(n for i, n in enumerate(batch.schema.names) if i != 1), "score", "clauses"],
+                [*(batch.column(i) for i in stay), pa.array(own.score(x)), pa.array(x[:, 7].astype(np.int64))],
+                names=[*(batch.schema.names[i] for i in stay), "score", "clauses"],
             )
 
     return run
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **learning) -> DataFrame:
+    """`docs` with all its columns, without the rows whose score reaches `threshold`; see `score`."""
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(learn(docs, labels, **learning))
+    small_batches(spark)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]).add("score", "double").add("clauses", "long")
+    found = docs.toDF(*names).mapInArrow(_scorer(model, docs.columns.index("text"), True), schema)
+    return found.where(F.col("score") < threshold).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **learning) -> DataFrame:
     """Scores of all whole texts of `docs` (doc_id, text): how likely `labels` (doc_id, toxic) would mark them.
 
@@ -299,5 +314,5 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **learn
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **learning))
     small_batches(docs.sparkSession)
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model), "doc_id long, score double, clauses long")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scorer(model, 1, False), "doc_id long, score double, clauses long")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "clauses")

@@ -58,7 +58,7 @@ def cases():
 
 def run(spark, rows):
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, kept int")
-    return sorted(tuple(x) for x in neardup.near_duplicates(df).collect())
+    return sorted(tuple(x) for x in neardup.near_duplicates(df, k=3, share=85).collect())
 
 
 def test_against_brute_force(spark):
@@ -70,7 +70,7 @@ def test_repeated_rows_and_ids(spark):
     got = run(spark, [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "z")])
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True)]
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d")], "doc_id long, text string")
-    assert sorted((tuple(x) for x in neardup.near_duplicates(df).collect()), key=str) == [(4, 2, 4, True), (None, 2, None, True)]
+    assert sorted((tuple(x) for x in neardup.near_duplicates(df, k=3, share=85).collect()), key=str) == [(4, 2, 4, True), (None, 2, None, True)]
 
 
 def test_empty(spark):
