@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from ._bytes import U64, byte_codes, flat, mix, powers, separators
 
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+#: Words that a worker remembers (about 40 bytes each).
+REMEMBERED = 1_000_000
 #: Bytes that are cut into words at once.
 BLOCK = 1 << 22
 
@@ -50,7 +50,10 @@ class Encoder:
         self._library.encode_special_tokens = True
         size = self._library.get_vocab_size()
         self.size, self.kind = size, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self._kept, self._young, self._old = spaces == "kept", {}, {}
+        self._kept = spaces == "kept"
+        # words by hash: where their ids begin in the pool, how many, and the round of their last use
+        self._keys, self._pool, self._now = np.zeros(0, U64), np.zeros(0, self.kind), 0
+        self._first, self._size, self._round = (np.zeros(0, np.int64) for _ in range(3))
         if self._kept:
             # a byte-level vocabulary spells one byte with one character
             self._bytes = np.zeros(size, np.int64)
@@ -127,17 +130,37 @@ class Encoder:
 
     def _joined(self, words: list[bytes]) -> list[bytes]:
         if self._kept:
-            ids = np.array(self._library.encode(b"\n".join(words).decode(), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self._library.encode_batch_fast([b"\n".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
             ends, size = np.cumsum(self._bytes[ids]), np.array([len(w) for w in words])
             stop = np.cumsum(size + 1) - 1
             begin, cut = np.searchsorted(ends, stop - size, "right"), np.searchsorted(ends, stop, "left") + 1
         else:
-            ids = np.array(self._library.encode(" \x00 ".join([w.decode() for w in words]) + " \x00", add_special_tokens=False).ids, self.kind)
+            ids = np.array(self._library.encode_batch_fast([" \x00 ".join([w.decode() for w in words]) + " \x00"], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(ids == self._mark[0])
             begin = np.concatenate(([0], cut[:-1] + 1))
         data, width = ids.tobytes(), self.kind.itemsize
         return [data[x:y] for x, y in zip((begin * width).tolist(), (cut * width).tolist(), strict=True)]
 
+    def _learn(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Remember the ids of new words (keys ascending); of too many, those met in this or the last round stay."""
+        size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        first = len(self._pool) + np.cumsum(size) - size
+        self._pool = np.concatenate((self._pool, np.frombuffer(b"".join(ids), self.kind)))
+        order = np.argsort(every := np.concatenate((self._keys, keys)), kind="stable")
+        self._keys = every[order]
+        self._first = np.concatenate((self._first, first))[order]
+        self._size = np.concatenate((self._size, size))[order]
+        self._round = np.concatenate((self._round, np.full(len(keys), self._now)))[order]
+
+    def _forget(self) -> None:
+        if len(self._keys) > REMEMBERED:
+            stay = self._round >= self._now
+            size = self._size[stay]
+            first = np.cumsum(size) - size
+            self._pool = self._pool[np.repeat(self._first[stay] - first, size) + np.arange(int(size.sum()))]
+            self._keys, self._first, self._size, self._round = self._keys[stay], first, size, self._round[stay]
+            self._now += 1
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column, in order, and the offsets of the rows in them."""
         buf, at = flat(column)
@@ -149,23 +172,16 @@ class Encoder:
             place = np.arange(high - low) - np.repeat(starts - low, ends - starts)
             value = np.add.reduceat(self._codes[buf[low:high]] * powers(int(place.max()) + 1)[place], starts - low)
             names, first, which = np.unique(mix(value ^ (ends - starts).astype(U64)), return_index=True, return_inverse=True)
-            keys, found = names.tolist(), []
-            for k in keys:
-                x = self._young.get(k)
-                if x is None and (x := self._old.get(k)) is not None:
-                    self._young[k] = x
-                found.append(x)
-            missing = [i for i, x in enumerate(found) if x is None]
-            if missing:
-                for i, x in zip(missing, self._new(buf, starts[first[missing]], ends[first[missing]]), strict=True):
-                    found[i] = self._young[keys[i]] = x
-            if len(self._young) > REMEMBERED:
-                self._old, self._young = self._young, {}
-            sizes = np.array([len(x) for x in found], np.int64) // self.kind.itemsize
-            every = np.frombuffer(b"".join(found), self.kind)
-            n = sizes[which]
-            begin = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
-            ids.append(every[np.repeat(begin, n) + np.arange(int(n.sum()))])
+            found = np.searchsorted(self._keys, names)
+            new = np.flatnonzero(self._keys[np.minimum(found, len(self._keys) - 1)] != names) if len(self._keys) else np.arange(len(names))
+            if len(new):
+                self._learn(names[new], self._new(buf, starts[first[new]], ends[first[new]]))
+                found = np.searchsorted(self._keys, names)
+            self._round[found] = self._now
+            n = self._size[found][which]
+            begin = self._first[found][which] - (np.cumsum(n) - n)
+            ids.append(self._pool[np.repeat(begin, n) + np.arange(int(n.sum()))])
+            self._forget()
             counts.append(n)
             places.append(starts)
         n, place = np.concatenate(counts), np.concatenate(places)
