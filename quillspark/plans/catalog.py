@@ -1,5 +1,6 @@
 """All queries of the library."""
 
+from . import table_queries, text_queries, vector_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "table_queries", "text_queries", "vector_queries"]
