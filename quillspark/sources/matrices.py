@@ -57,7 +57,7 @@ def write_dmat(points: DataFrame, path: str, *, binary: bool = False) -> None:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the lines of one file with their numbers from 0."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("line", "value"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): each regular file of a directory, without its subdirectories; the id is the file's name."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", False).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
 
 
