@@ -95,10 +95,9 @@ def kmeans(
         seeds = [x for _, x in found]
     centers = [list(map(float, c)) for c in seeds]
     for _ in range(steps):
-        flat = assign(points, centers).select("cluster", F.posexplode("x").alias("dim", "v")).groupBy("cluster", "dim").agg(F.avg("v").alias("m"))
-        after = [list(c) for c in centers]
-        for r in flat.collect():
-            after[r.cluster][r.dim] = r.m
+        now = np.array(centers)
+        sums = _group_sums(points, lambda x, now=now: (((x[:, None] - now[None]) ** 2).sum(axis=2).argmin(axis=1), None), squares=False)
+        after = [(sums[i][1] / sums[i][0]).tolist() if i in sums else c for i, c in enumerate(centers)]
         moved = max(abs(a - b) for x, y in zip(centers, after, strict=True) for a, b in zip(x, y, strict=True))
         centers = after
         if moved <= tol:
@@ -106,45 +105,71 @@ def kmeans(
     return centers, assign(points, centers)
 
 
-def group_planes(points: DataFrame, label: str, dims: dict[int, int], *, affine: bool = True) -> dict[int, Plane]:
-    """Per label: the mean (0 if not affine) and its first directions; labels with too few points or null have none.
+def _group_sums(points: DataFrame, place, *, squares: bool = True, label: str | None = None) -> dict[int, tuple]:
+    """Per cluster: points, their sum, X'X (if `squares`) and the sum of residuals.
 
-    Moments are summed per partition and label: no group's points meet in one task.
+    `place` maps a block of rows to clusters (negative: none) and residuals; with `label`, it gets that column
+    too. Each partition sends one row per cluster, and rows of one cluster are summed by position, so that
+    no group's points meet in one task. One job.
     """
-    rows = points.where(F.col(label).isNotNull()).select(F.col(label).alias("k"), F.col("x").cast("array<double>").alias("x"))
+    columns = [F.col("x").cast("array<double>").alias("x"), *([F.col(label).cast("double").alias("k")] if label else [])]
 
     def sums(batches):
-        total = {}
+        total: dict[int, list] = {}
         for b in batches:
-            for key, part in b.groupby("k"):
-                x = np.stack(part["x"].to_numpy())
-                n, s, g = total.get(key, (0, 0.0, 0.0))
-                total[key] = n + len(x), s + x.sum(axis=0), g + x.T @ x
+            if not len(b):
+                continue
+            x = np.stack(b["x"].to_numpy())
+            at = 0
+            while at < len(x):
+                part = x[at : at + 2048]
+                own, rest = place(part, b["k"].to_numpy()[at : at + 2048]) if label else place(part)
+                for key in np.unique(own[own >= 0]).tolist():
+                    mine = part[own == key]
+                    got = total.setdefault(int(key), [0, 0.0, 0.0, 0.0])
+                    got[0] += len(mine)
+                    got[1] = got[1] + mine.sum(axis=0)
+                    got[2] = got[2] + (mine.T @ mine if squares else 0.0)
+                    got[3] += float(rest[own == key].sum()) if rest is not None else 0.0
+                at += 2048
         if total:
-            yield pd.DataFrame([(k, n, s.tolist(), g.ravel().tolist()) for k, (n, s, g) in total.items()], columns=["k", "n", "s", "g"])
+            rows = [(k, n, [r, *s.tolist(), *(g.ravel().tolist() if squares else [])]) for k, (n, s, g, r) in total.items()]
+            yield pd.DataFrame(rows, columns=["k", "n", "v"])
 
-    parts = rows.mapInPandas(sums, "k int, n long, s array<double>, g array<double>").select("k", "n", F.posexplode(F.concat("s", "g")).alias("at", "v"))
-    flat = parts.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    parts = points.select(*columns).mapInPandas(sums, "k int, n long, v array<double>").select("k", "n", F.posexplode("v").alias("at", "v"))
     held: dict[int, dict] = {}
-    for r in flat:
+    for r in parts.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         held.setdefault(r.k, {"n": r.n})[r.at] = r.v
     out = {}
     for key, own in held.items():
         n = own.pop("n")
-        d = int((np.sqrt(1 + 4 * len(own)) - 1) / 2)
         v = np.array([own[i] for i in range(len(own))])
-        mean, g = v[:d] / n, v[d:].reshape(d, d)
+        d = int((np.sqrt(1 + 4 * (len(v) - 1)) - 1) / 2 + 1e-9) if squares else len(v) - 1
+        out[key] = n, v[1 : d + 1], v[d + 1 :].reshape(d, d) if squares else None, float(v[0])
+    return out
+
+
+def _fit(sums: dict[int, tuple], dims: dict[int, int], affine: bool) -> dict[int, Plane]:
+    """Means and first directions of the clusters that hold more points than dimensions."""
+    out = {}
+    for key, (n, total, g, _) in sums.items():
         dim = dims.get(key, 0)
         if n < dim + 1:
             continue
-        if affine:
-            g = g - n * np.outer(mean, mean)
-        else:
-            mean = np.zeros(d)
-        out[key] = mean, np.linalg.eigh(g)[1][:, ::-1][:, :dim].T
+        mean = total / n if affine else np.zeros(len(total))
+        out[key] = mean, np.linalg.eigh(g - n * np.outer(mean, mean))[1][:, ::-1][:, :dim].T
     return out
 
 
+def group_planes(points: DataFrame, label: str, dims: dict[int, int], *, affine: bool = True) -> dict[int, Plane]:
+    """Per label: the mean (0 if not affine) and its first directions; labels with too few points or null have none.
+
+    Moments are summed per partition and label: no group's points meet in one task.
+    """
+    rows = points.where(F.col(label).isNotNull())
+    return _fit(_group_sums(rows, lambda x, k: (k.astype(np.int64), None), label=label), dims, affine)
+
+
 def assign_planes(points: DataFrame, planes: dict[int, Plane]) -> DataFrame:
     """`points` with the nearest plane (the smallest label of equals) and the squared distance to it."""
     options = [
@@ -164,24 +189,32 @@ def kflats(points: DataFrame, dims: list[int], *, steps: int = 100, tol: float =
 
     Points with a null label never move. A cluster that runs empty starts again from the farthest points.
     """
-    from .planes import l2_error
-
     now = points if "label" in points.columns else random_labels(points, len(dims), seed)
-    want, error, planes = dict(enumerate(dims)), None, {}
+    rows = points.where("label IS NOT NULL") if "label" in points.columns else points
+    want, error = dict(enumerate(dims)), None
+    planes = group_planes(now, "label", want, affine=affine)
     for _ in range(steps):
-        fitted = group_planes(now, "label", want, affine=affine)
-        planes = planes | fitted
-        for k in set(want) - set(fitted):
-            far = assign_planes(points, fitted).orderBy(F.desc("dist"), "id").limit(want[k] + 1).collect()
+        for k in set(want) - set(planes):
+            far = assign_planes(rows, planes).orderBy(F.desc("dist"), "id").limit(want[k] + 1).collect()
             x = np.array([r.x for r in far])
             mean = x.mean(axis=0) if affine else np.zeros(x.shape[1])
             planes[k] = mean, np.linalg.svd(x - mean, full_matrices=False)[2][: want[k]]
-        # labels are a function of the planes: the plan starts from the points again
-        now = _relabelled(points, planes)
-        after = l2_error(now, planes, want)
+        fixed = dict(planes)
+
+        def nearest(x: np.ndarray, fixed=fixed):
+            keys = sorted(fixed)
+            far = np.stack([((y := x - fixed[k][0]) ** 2).sum(axis=1) - ((y @ fixed[k][1].T) ** 2).sum(axis=1) for k in keys])
+            own = far.argmin(axis=0)
+            return np.array(keys)[own], np.maximum(far[own, np.arange(len(x))], 0)
+
+        # one pass assigns, measures the error and gathers what the next planes need
+        sums = _group_sums(rows, nearest)
+        total = sum(n for n, *_ in sums.values())
+        after = float(np.sqrt(sum(r / (len(s) - want[k]) for k, (n, s, _, r) in sums.items() if n > want[k] < len(s)) / max(total, 1)))
         if error is not None and abs(error - after) <= tol:
             break
         error = after
+        planes = _fit(sums, want, affine)
     return planes, _relabelled(points, planes)
 
 
