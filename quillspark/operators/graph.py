@@ -139,3 +139,78 @@ def wavefront(edges: DataFrame) -> DataFrame:
     rows = first.select(F.col("id").alias("i")).join(opened, "i", "left").select("i", F.coalesce("opened", F.lit(0)).alias("opened"))
     w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("i", (F.sum("opened").over(w) - F.row_number().over(Window.orderBy("i")) + 1).alias("wavefront"))
+
+
+def connected(edges: DataFrame, a: int, b: int) -> bool:
+    """Whether b can be reached from a over directed edges."""
+    return not levels(edges, a).where(F.col("id") == b).isEmpty()
+
+
+def eccentricity(edges: DataFrame, start: int) -> int:
+    """The most steps to any node that can be reached."""
+    return levels(edges, start).agg(F.max("level")).first()[0]
+
+
+def connecting_edges(component: DataFrame) -> DataFrame:
+    """Edges that join all components (id, component) in a row, by their smallest nodes."""
+    roots = component.select("component").distinct()
+    pairs = roots.select(F.col("component").alias("src"), F.lead("component").over(Window.orderBy("component")).alias("dst"))
+    return pairs.where("dst IS NOT NULL")
+
+
+def flow_cost(edges: DataFrame) -> DataFrame:
+    """The sum of flow times cost."""
+    return edges.agg(F.sum(F.col("flow") * F.col("cost")).alias("cost"))
+
+
+def relax(distance: DataFrame, edges: DataFrame) -> DataFrame:
+    """One step of shortest paths: (id, dist) lowered over weighted edges (src, dst, w)."""
+    near = edges.join(distance.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
+    return distance.unionByName(near).groupBy("id").agg(F.min("dist").alias("dist"))
+
+
+def shortest_paths(edges: DataFrame, start: int, *, limit: int = 1000) -> DataFrame:
+    """(id, dist) from `start` over edges (src, dst, w) with weights of 0 or more."""
+    now = edges.sparkSession.createDataFrame([(start, 0.0)], "id long, dist double")
+    for _ in range(limit):
+        after = relax(now, edges).cache()
+        if after.exceptAll(now).isEmpty():
+            return after
+        now = after
+    raise RuntimeError("paths have not settled")
+
+
+def minimum_spanning_forest(edges: DataFrame, *, limit: int = 40) -> DataFrame:
+    """The edges (src, dst, w) of least total weight that keep components: each round, every component takes its lightest edge."""
+    from .cluster import _cut, connected_components
+
+    edges = edges.where("src <> dst")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    own, chosen = nodes.withColumn("component", F.col("id")), edges.limit(0)
+    for _ in range(limit):
+        tagged = edges.join(own.toDF("src", "a"), "src").join(own.toDF("dst", "b"), "dst").where("a <> b")
+        both = tagged.select("a", "src", "dst", "w").union(tagged.select("b", "src", "dst", "w"))
+        key = F.struct("w", F.least("src", "dst"), F.greatest("src", "dst"))
+        light = both.groupBy("a").agg(F.min_by(F.struct("src", "dst", "w"), key).alias("e")).select("e.*").distinct()
+        light = _cut(light)
+        if light.isEmpty():
+            return chosen
+        chosen = _cut(chosen.unionByName(light).distinct())
+        own = connected_components(chosen, nodes)
+    raise RuntimeError("the forest has not settled")
+
+
+def grid_graph(spark, rows: int, columns: int) -> DataFrame:
+    """The edges of a grid, its nodes numbered row by row."""
+    cells = spark.range(rows * columns).select(F.col("id"), (F.col("id") % columns).alias("c"))
+    right = cells.where(F.col("c") < columns - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    down = cells.where(F.col("id") < (rows - 1) * columns).select(F.col("id").alias("src"), (F.col("id") + columns).alias("dst"))
+    return right.unionByName(down)
+
+
+def small_world(spark, n: int, k: int, chance: float, seed: int) -> DataFrame:
+    """A ring with k neighbours to each side, whose edges go elsewhere with the given chance."""
+    ring = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d"))
+    draw = lambda salt: F.pmod(F.xxhash64("src", "d", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    far = F.floor(draw(1) * n)
+    return ring.select("src", F.when(draw(0) < chance, far).otherwise((F.col("src") + F.col("d")) % n).cast("long").alias("dst"))

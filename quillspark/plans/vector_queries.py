@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import vec
-from quillspark.operators import aggregate, cluster, kernels, linalg, neighbors, planes, score, synth
+from quillspark.operators import aggregate, cluster, kernels, linalg, matrix, neighbors, planes, score, synth
 
 from .registry import query
 
@@ -272,3 +272,37 @@ def mds(spark, sf_dir):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     y = linalg.metric_mds(d, len(rows) - 1)
     return _frame(spark, [(bool(np.abs(np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2)) - d).max() < 1e-6),)], "kept boolean")
+
+
+_E = f"WITH {_P}, e AS (SELECT id AS i, unnest(range(len(x))) AS j, unnest(x) AS v FROM p WHERE id < 20)"
+
+
+def entries(spark, sf_dir):
+    return matrix.rows_of(points(spark, sf_dir).where("id < 20")).withColumn("j", F.col("j").cast("long"))
+
+
+@query("matrix_transpose", f"{_E} SELECT j AS i, i AS j, round(v, 6) AS v FROM e")
+def matrix_transpose(spark, sf_dir):
+    return rounded(matrix.transpose(entries(spark, sf_dir)), "v")
+
+
+@query("matrix_reshape", f"{_E} SELECT (j * 20 + i) % 40 AS i, (j * 20 + i) // 40 AS j, round(v, 6) AS v FROM e")
+def matrix_reshape(spark, sf_dir):
+    return rounded(matrix.reshape(entries(spark, sf_dir), 20, 40), "v")
+
+
+@query("matrix_cat", f"{_E} SELECT i, j, round(v, 6) AS v FROM e UNION ALL SELECT i + 20, j, round(v, 6) FROM e")
+def matrix_cat(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return rounded(matrix.cat(e, e, size=20, dimension=1), "v")
+
+
+@query("matrix_product", f"{_E} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (j) GROUP BY ALL")
+def matrix_product(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return rounded(matrix.multiply(e, matrix.transpose(e)), "v")
+
+
+@query("matrix_columns", f"{_E}, c AS (SELECT j, count(*) AS n FROM e GROUP BY j) SELECT j, n AS count, CAST(sum(n) OVER (ORDER BY j) - n AS BIGINT) AS start FROM c")
+def matrix_columns(spark, sf_dir):
+    return matrix.compressed_columns(entries(spark, sf_dir)).select("j", F.size("rows").cast("long").alias("count"), "start")

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import vec
-from quillspark.operators import aggregate, cluster, combinatorics, graph, kernels, linalg, neighbors, planes, score, select, synth
+from quillspark.functions import geometry, vec
+from quillspark.operators import aggregate, cluster, combinatorics, graph, kernels, linalg, matrix, neighbors, planes, score, select, synth
 
 
 def frame(spark, x, labels=None):
@@ -282,3 +282,44 @@ def test_selection_helpers(spark):
     assert select.rand_sample(df, 7, 3).distinct().count() == 7
     assert [r.ix for r in select.sort_with_index(df, "v", "id", descending=True).orderBy("rank").collect()][:4] == [4, 9, 14, 19]
     assert select.dedup_points(frame(spark, [[0, 0], [0.01, 0], [1, 1]]), "id", "x", 0.5).count() == 2
+
+
+def test_matrix_entries(spark):
+    m = np.array([[1.0, 0, 2], [0, 3, 0], [2, 0, 5]])
+    e = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double")
+    dense = lambda df, shape: (lambda out: [out.__setitem__((r.i, r.j), r.v) for r in df.collect()] and out)(np.zeros(shape))
+    assert matrix.is_symmetric(e).first().symmetric and not matrix.is_symmetric(e.where("i <= j")).first().symmetric
+    assert (dense(matrix.slice_matrix(e, [2, 0, 2], [0, 2]), (3, 2)) == m[[2, 0, 2]][:, [0, 2]]).all()
+    assert (dense(matrix.repeat_diagonal(e, 2, 3, 3), (6, 6))[3:, 3:] == m).all()
+    assert np.allclose(dense(matrix.invert_diagonal(matrix.diagonal(e)), (3, 3)), np.diag([1, 1 / 3, 1 / 5]))
+    assert [r.x for r in matrix.points_of(e, 3).orderBy("id").collect()] == m.tolist()
+    csc = matrix.compressed_columns(e).orderBy("j").collect()
+    assert [(r.start, r.rows) for r in csc] == [(0, [0, 2]), (2, [1]), (3, [0, 2])]
+    assert matrix.sparse(e.union(e)).where("i = 1").first().v == 6 and matrix.identity(spark, 4).count() == 4
+
+
+def test_geometry_expressions(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [3.0, 4.0, 0.0])], "p array<double>, a array<double>, b array<double>, q array<double>")
+    p, a, b, q = (F.col(c) for c in "pabq")
+    r = df.select(
+        geometry.project_to_line(p, a, b).alias("line"), geometry.project_to_segment(q, a, b).alias("segment"),
+        geometry.ray_sphere(F.array(*map(F.lit, (-5.0, 0.0, 0.0))), F.array(*map(F.lit, (1.0, 0.0, 0.0))), a, F.lit(2.0)).alias("hits"),
+        geometry.in_polygon(F.lit(0.5), F.lit(0.5), [(0, 0), (1, 0), (1, 1), (0, 1)]).alias("inside"),
+        geometry.in_polygon(F.lit(1.5), F.lit(0.5), [(0, 0), (1, 0), (1, 1), (0, 1)]).alias("outside"),
+        geometry.rgb_to_hsv(F.lit(0.2), F.lit(0.4), F.lit(0.6)).alias("hsv"), geometry.hsv_to_rgb(F.lit(210.0), F.lit(2 / 3), F.lit(0.6)).alias("rgb"),
+    ).first()
+    assert (r.line, r.segment, r.hits, r.inside, r.outside) == (1.0, 17.0, [3.0, 7.0], True, False)
+    assert np.allclose(r.hsv, [210, 2 / 3, 0.6]) and np.allclose(r.rgb, [0.2, 0.4, 0.6])
+
+
+def test_paths_and_forests(spark):
+    w = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 2.0), (7, 8, 1.0)], "src long, dst long, w double")
+    assert {r.id: r.dist for r in graph.shortest_paths(w, 1).collect()} == {1: 0, 2: 1, 3: 2, 4: 4}
+    assert sorted((r.src, r.dst) for r in graph.minimum_spanning_forest(w).collect()) == [(1, 2), (2, 3), (3, 4), (7, 8)]
+    assert graph.connected(w, 1, 4) and not graph.connected(w, 1, 8) and graph.eccentricity(w, 1) == 2
+    assert graph.grid_graph(spark, 3, 4).count() == 17
+    ring = graph.small_world(spark, 50, 2, 0.1, 3).collect()
+    assert len(ring) == 100 and 0 < sum((r.dst - r.src) % 50 > 2 for r in ring) < 30
+    components = cluster.connected_components(w)
+    joined = w.select("src", "dst").union(graph.connecting_edges(components))
+    assert cluster.connected_components(joined).select("component").distinct().count() == 1
