@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -33,10 +34,20 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def keep(df: DataFrame, where: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, on all executors."""
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Delete tables that no later step reads, and let Spark drop the shuffle files of plans that are gone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,15 +62,17 @@ def salt_of(*cols: Column | str, n: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def salted_join(big: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: str, how: str = "left", n: int = SALTS) -> DataFrame:
+def salted_join(
+    big: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: str, how: str = "left", n: int = SALTS, merge: bool = False
+) -> DataFrame:
     """Join `big` with `lookup` (one row per key) so that no key of `big` meets in one task.
 
     `spread` is a column of `big` that varies inside a hot key. The lookup's rows are repeated `n`
-    times, so give it only those keys that matter.
+    times, so give it only those keys that matter. With `merge`, small lookups aren't broadcast either.
     """
     left = big.withColumn("_salt", salt_of(spread, n=n))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_salt", F.col("_salt").cast("int"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if merge else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def bounded_sample(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:

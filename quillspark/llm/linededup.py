@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, salted_join, scratch
+from ._shared import keep, marked, salted_join, scratch
 
 #: Stands for a variable field.
 ANY = "<*>"
@@ -49,15 +49,20 @@ def recurring_lines(lines: DataFrame, where: str, *, depth: int, least_docs: int
     """
     counts = keep(lines.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens")), f"{where}/counts")
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k")).where((F.col("s") >= least_docs) & (F.col("k") > 1)).select("leaf")
-    shared = keep(salted_join(counts, leaves, ["leaf"], "line", "inner").select("line", "leaf", "n_tokens"), f"{where}/shared")
+    leaves = keep(leaves, f"{where}/leaves")
+    some = marked(counts, "leaf", leaves, "leaf").where("_marked").drop("_marked")
+    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens"), f"{where}/shared")
     candidates = counts.where(F.col("n") >= least_docs).select("line", "leaf").unionByName(shared.select("line", "leaf")).distinct()
     candidates = keep(candidates, f"{where}/candidates")
-    seen = salted_join(lines.select("line", "leaf", "rid", "ctx"), candidates.select("line"), ["line"], "rid", "inner")
+    # of the lines, only those that may be candidates are shuffled
+    some = marked(lines.select("line", "leaf", "rid", "ctx"), "line", candidates, "line").where("_marked").drop("_marked")
+    seen = salted_join(some, candidates.select("line"), ["line"], "rid", "inner", merge=True)
     seen = keep(seen.groupBy("line", "leaf").agg(F.count_distinct("rid").alias("docs"), F.count_distinct("ctx").alias("ctx")), f"{where}/seen")
     often = (F.col("ctx") >= least_docs) & (F.col("ctx") * 100 >= F.col("docs") * contexts)
     # leaf templates: the text of each line once
-    text = salted_join(lines.select("line", "m", "rid"), shared.select("line"), ["line"], "rid", "inner").groupBy("line").agg(F.first("m").alias("m"))
-    text = keep(text.join(seen, "line").join(shared.select("line", "n_tokens"), "line"), f"{where}/text")
+    own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
+    text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
+    text = keep(text.join(seen.hint("merge"), "line").join(shared.select("line", "n_tokens").hint("merge"), "line"), f"{where}/text")
     tokens = text.select("line", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")).where(F.col("at") >= depth)
     weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"))
     total = text.groupBy("leaf").agg(F.sum("docs").alias("total"))
@@ -87,8 +92,15 @@ def dedup_lines(
     where = scratch(docs.sparkSession, "lines")
     lines = keep(line_table(docs, depth, least_tokens), f"{where}/lines")
     found = recurring_lines(lines, where, depth=depth, least_docs=least_docs, similarity=similarity, contexts=contexts)
-    dropped = salted_join(lines.select("rid", "pos", "line"), found, ["line"], "rid", "inner").groupBy("rid").agg(F.collect_set("pos").alias("_dropped"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("rid", F.xxhash64("doc_id", "text")).join(dropped, "rid", "left").drop("rid")
+    some = marked(lines.select("rid", "pos", "line"), "line", found, "line").where("_marked").drop("_marked")
+    dropped = salted_join(some, found, ["line"], "rid", "inner", merge=True).groupBy("rid").agg(F.collect_set("pos").alias("_dropped"))
+    dropped = keep(dropped, f"{where}/dropped")
+    # documents that surely keep all lines aren't shuffled
+    rows = docs.drop("n_lines", "n_dropped").withColumn("_rid", F.xxhash64("doc_id", "text"))
+    dropped = dropped.withColumnRenamed("rid", "_rid")
+    rows = marked(rows, "_rid", dropped, "_rid")
+    touched = rows.where("_marked").join(dropped.hint("merge"), "_rid", "left")
+    rows = touched.unionByName(rows.where("NOT _marked").withColumn("_dropped", F.lit(None).cast("array<int>"))).drop("_rid", "_marked")
     # the lines once per row, so that taking one is no new split
     rows = rows.withColumn("_lines", F.split("text", "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_dropped"), lambda i: F.get("_lines", i))

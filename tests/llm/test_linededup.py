@@ -62,9 +62,9 @@ def cases():
 
 
 def run(spark, rows):
-    df = spark.createDataFrame([(d, t, "s", 3) for d, t in rows], "doc_id long, text string, source string, n_lines int")
+    df = spark.createDataFrame([(d, t, "s", 3) for d, t in rows], "doc_id long, text string, rid string, n_lines int")
     out = linededup.dedup_lines(df)
-    assert set(out.columns) == {"doc_id", "text", "source", "n_lines", "n_dropped"}
+    assert set(out.columns) == {"doc_id", "text", "rid", "n_lines", "n_dropped"}
     return sorted((tuple(x) for x in out.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str)
 
 
