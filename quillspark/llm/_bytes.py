@@ -160,7 +160,9 @@ def rolling(buf: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """The minimum of each w consecutive values."""
+    """The minimum of each w consecutive values; none if there are fewer."""
+    if len(x) < w:
+        return x[:0]
     span, out = 1, x
     while span * 2 <= w:
         out = np.minimum(out[: len(out) - span], out[span:])

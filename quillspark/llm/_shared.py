@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -32,20 +31,34 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/quill-{what}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark then deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, where: str, by: str | None = None) -> None:
+    """Write `df` to the shared folder, by the values of a column if asked; its shuffle files go as soon as it is there."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(where)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def keep(df: DataFrame, where: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, on all executors."""
-    df.write.option("compression", "zstd").parquet(where)
+    save(df, where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def discard(spark: SparkSession, *folders: str) -> None:
-    """Delete tables that no later step reads, and let Spark drop the shuffle files of plans that are gone."""
+    """Delete tables that no later step reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import U64, byte_codes, flat, rolling, window_min
 from ._files import Side
-from ._shared import keep, salted_join, scratch, shuffle_partitions, small_batches
+from ._shared import discard, keep, marked, salted_join, save, scratch, shuffle_partitions, small_batches
 from .tokens import merged
 
 #: Bytes of a string that counts as repeated, and of the grams whose minimum names a string's bucket.
@@ -22,7 +22,7 @@ CHUNK, MARK = 256, 16
 #: Bytes of text that are hashed at once, and of strings that are sorted at once.
 BLOCK, SORTED = 1 << 20, 1 << 18
 #: Different strings of a bucket's key beyond which the key is split.
-MANY = 2048
+MANY = 4096
 #: Stands for a null doc_id: greater than all.
 LAST = (1 << 63) - 1
 
@@ -32,7 +32,15 @@ LAST = (1 << 63) - 1
 
 def _names(*keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks of tuples, from 1, and their number."""
-    order = np.lexsort(keys[::-1])
+    wide = int(max(k.max(initial=0) for k in keys)) + 1
+    if wide ** len(keys) < 1 << 62:
+        packed = keys[0].astype(np.int64)
+        for k in keys[1:]:
+            packed = packed * wide + k
+        keys = (packed,)
+        order = np.argsort(packed)
+    else:
+        order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -65,12 +73,12 @@ def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
         rank_of[order] = np.arange(1, len(sample) + 1)
     else:
         rank_of = np.empty(len(sample), np.int64)
-        rank_of[np.argsort(name, kind="stable")] = np.arange(1, len(sample) + 1)
+        rank_of[np.argsort(name)] = np.arange(1, len(sample) + 1)
     rank = np.zeros(len(t) + 3, np.int64)
     rank[sample] = rank_of
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
     scale = np.int64(len(t) + 4)
+    rest = rest[np.argsort(t[rest] * scale + rank[rest + 1])]
     wide = np.int64(int(t.max()) + 1)
     # how many sampled suffixes are less than each of the rest: those of either class have a key of their own
     key = lambda i: t[i] * scale + rank[i + 1]
@@ -83,32 +91,38 @@ def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
         first, _ = _names(pair)
         a = first[: len(two)] * scale + rank[two + 2]
         less = less + np.searchsorted(np.sort(a), first[len(two) :] * scale + rank[rest + 2])
-    by_rank = sample[np.argsort(rank_of, kind="stable")]
-    place = np.concatenate((2 * np.arange(len(by_rank)) + 1, 2 * less))
-    merged_ = np.concatenate((by_rank, rest))[np.argsort(place, kind="stable")]
-    return merged_[merged_ < n]
+    by_rank = np.empty(len(sample), np.int64)
+    by_rank[rank_of - 1] = sample
+    # suffixes that agree in all of the depth may come in any order, also here
+    place = np.maximum.accumulate(less) + np.arange(len(rest))
+    out, free = np.empty(len(sample) + len(rest), np.int64), np.ones(len(sample) + len(rest), bool)
+    out[place], free[place] = rest, False
+    out[free] = by_rank
+    return out[out < n]
 
 
 def classes(strings: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All `span`-byte windows of the strings: string, place in it, and a number that equal windows share."""
-    joined = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 2
-    sizes = np.array([len(s) for s in strings])
-    ends = np.cumsum(sizes)
     # a separator after each string, less than all bytes
-    x = np.ones(len(joined) + len(strings), np.int64)
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    x[np.arange(len(joined)) + owner] = joined
-    starts = ends - sizes + np.arange(len(strings))
+    data = np.frombuffer(b"\0".join([*strings, b"\0" * 8]), np.uint8)
+    sizes = np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    x = data[: int(sizes.sum()) + len(sizes)].astype(np.int64) + 2
+    x[starts + sizes] = 1
     order = suffix_order(x, span)
-    string = np.searchsorted(starts, order, "right") - 1
+    owner = np.repeat(np.arange(len(strings)), sizes + 1)
+    string = owner[order]
     place = order - starts[string]
     own = place + span <= sizes[string]
     order, string, place = order[own], string[own], place[own]
     same = np.zeros(len(order), bool)
-    view = np.lib.stride_tricks.sliding_window_view(x.astype(np.int16), span) if len(x) >= span else np.zeros((0, span), np.int16)
-    for low in range(0, len(order) - 1, 1 << 16):
-        a, b = order[low : min(low + (1 << 16), len(order) - 1)], order[low + 1 : low + 1 + (1 << 16)]
-        same[low + 1 : low + 1 + len(a)] = (view[a] == view[b]).all(axis=1)
+    # eight bytes at a time, wherever they begin
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    a, b = order[:-1], order[1:]
+    if len(order):
+        same[1:] = True
+    for at in [*range(0, span - 8, 8), span - 8]:
+        same[1:] &= words[a + at] == words[b + at]
     return string, place, np.cumsum(~same)
 
 
@@ -132,7 +146,7 @@ def _scan(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, int, np.ndar
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Content-defined chunks of the places where windows begin, named by all bytes of those windows."""
     codes = byte_codes(lower=False)
-    for batch in merged(batches, 2):
+    for batch in merged(batches, 2, 1 << 21):
         cuts = []
         at = flat(batch.column(2))[1]
         buf = flat(batch.column(2))[0]
@@ -176,6 +190,8 @@ def _runs(batch: pa.RecordBatch, gone: Side) -> Iterator[tuple[np.ndarray, np.nd
     spans = gone.of(rows)
     for buf, low, high, row, live in _scan(batch):
         key = window_min(rolling(buf[low : high + SPAN - 1], GRAM, codes), SPAN - GRAM + 1)
+        if not len(key):
+            continue
         live = live[: len(key)].copy()
         a, b = int(row[0]), int(row[-1])
         x, y = np.searchsorted(spans["_at"], a, "left"), np.searchsorted(spans["_at"], b, "right")
@@ -197,7 +213,7 @@ def _keys(gone_folder: str, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = Side(gone_folder, ["at", "n"])
-        for batch in merged(batches, 2):
+        for batch in merged(batches, 2, 1 << 21):
             rows = batch.column(0).to_numpy()
             # rows are numbered on within a file; a batch may hold several files
             for low in _pieces(rows):
@@ -234,7 +250,7 @@ def _pieces(rows: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: the keys that two rows or more hold, by row. What names a key here are its bucket and 32 bits."""
+    """Of each bucket: the keys that two rows or more hold, by file of texts. What names a key here are its bucket and 32 bits."""
 
     def settle(bucket: int, keys: list, rows: list) -> Iterator[pa.RecordBatch]:
         key, row = np.concatenate(keys), np.concatenate(rows)
@@ -244,15 +260,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.minimum.reduceat(row, start) != np.maximum.reduceat(row, start)
         several = np.repeat(several, np.diff(np.append(start, len(key))))
         key, row = key[several], row[several]
-        order = np.argsort(row, kind="stable")
-        key, row = key[order].astype("<u4"), row[order]
         if not len(row):
             return
-        cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        order = np.argsort(row, kind="stable")
+        key, row = key[order].astype("<u4"), row[order]
+        file = row >> 33
+        cut = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
         ends = np.append(cut[1:], len(row))
+        held = zip(cut.tolist(), ends.tolist(), strict=True)
+        rows_, keys_ = zip(*[(row[a:b].astype("<i8").tobytes(), key[a:b].tobytes()) for a, b in held], strict=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row[cut]), pa.array(np.full(len(cut), bucket, np.int32)), pa.array([key[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())],
-            names=["row", "bucket", "keys"],
+            [pa.array(row[cut]), pa.array(np.full(len(cut), bucket, np.int32)), pa.array(rows_, pa.binary()), pa.array(keys_, pa.binary())], names=["row", "bucket", "rows", "keys"]
         )
 
     now, keys, rows = None, [], []
@@ -273,37 +291,78 @@ def _strings(gone_folder: str, shared_folder: str, buckets: int):
     """The runs whose key other rows hold too, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone, shared = Side(gone_folder, ["at", "n"]), Side(shared_folder, ["bucket", "keys"])
-        for batch in merged(batches, 2):
+        gone, shared = Side(gone_folder, ["at", "n"]), _Shared(shared_folder)
+        for batch in merged(batches, 2, 1 << 21):
             rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = flat(batch.column(2))[1]
-            found = shared.of(rows)
-            parts = [np.frombuffer(k, "<u4") for k in found["keys"]]
-            many = [len(p) for p in parts]
-            # row of the batch, then the key's place among buckets and its 32 bits
-            known = np.concatenate(parts or [np.zeros(0, "<u4")]).astype(U64)
-            row = np.repeat(found["_at"], many).astype(U64)
-            which = np.repeat(found["bucket"], many).astype(U64)
-            known = np.sort(_joined(row, which, known, buckets))
+            own, which, known = shared.of(rows)
+            known = np.sort(_joined(own.astype(U64), which, known, buckets))
             if not len(known):
                 continue
+            met = set()
             for buf, start, n, own, key in _runs(batch, gone):
                 name = _joined(own.astype(U64), ((key >> U64(32)) * U64(buckets)) >> U64(32), key & U64(0xFFFFFFFF), buckets)
                 hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
                 start, n, own, key = start[hit], n[hit], own[hit], key[hit]
+                data = memoryview(buf)
                 for low in range(0, len(start), 8192):
                     s, m, o = start[low : low + 8192], n[low : low + 8192], own[low : low + 8192]
+                    texts = [data[a : a + b + SPAN - 1] for a, b in zip(s.tolist(), m.tolist(), strict=True)]
+                    names = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                    # the bytes once for each string of the batch
+                    first = []
+                    for x, t in zip(names, texts, strict=True):
+                        first.append(None if x in met else bytes(t))
+                        met.add(x)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(rows[o]), pa.array(ids[o]), pa.array(s - at[o]), pa.array(m.astype(np.int64)), pa.array(key[low : low + 8192].view(np.int64)),
-                            pa.array([buf[a : a + b + SPAN - 1].tobytes() for a, b in zip(s.tolist(), m.tolist(), strict=True)], pa.binary()),
+                            pa.array(rows[o]), pa.array(ids[o]), pa.array((s - at[o]).astype(np.int64)), pa.array(key[low : low + 8192].view(np.int64)),
+                            pa.array(names, pa.binary()), pa.array(first, pa.binary()),
                         ],
-                        names=["row", "id", "at", "n", "key", "bytes"],
+                        names=["row", "id", "at", "key", "name", "bytes"],
                     )
 
     return run
 
 
+class _Shared(Side):
+    """The shared keys of each file's rows, as flat arrays in the order of rows."""
+
+    def __init__(self, folder: str) -> None:
+        super().__init__(folder, ["bucket", "rows", "keys"])
+
+    def _load(self, file: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        table = super()._load(file)
+        if table is None:
+            return None
+        rows = [np.frombuffer(x.as_buffer(), "<i8") for x in table.column("rows")]
+        key = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")])
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(r) for r in rows])
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        return row[order], bucket[order].astype(U64), key[order].astype(U64)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index in `rows`, bucket and key of all shared keys of the ascending numbers `rows`."""
+        files = np.unique(rows >> 33).tolist()
+        for old in [f for f in self._held if f not in files]:
+            del self._held[old]
+        out = []
+        for file in files:
+            if file not in self._held:
+                self._held[file] = self._load(file)
+            if self._held[file] is not None:
+                row, bucket, key = self._held[file]
+                own = rows[(rows >> 33) == file]
+                a, b = np.searchsorted(row, own[0], "left"), np.searchsorted(row, own[-1], "right")
+                at = np.searchsorted(rows, row[a:b])
+                hit = rows[np.minimum(at, len(rows) - 1)] == row[a:b]
+                out.append((at[hit], bucket[a:b][hit], key[a:b][hit]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _joined(row: np.ndarray, bucket: np.ndarray, key: np.ndarray, buckets: int) -> np.ndarray:
     """One number for a row of a batch, a bucket and a key's 32 bits; at worst two share one, which only adds work."""
     return ((row * U64(buckets) + bucket) << U64(32)) | key
@@ -316,40 +375,53 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     schema = pa.schema([("name", pa.binary()), ("mins", pa.list_(pa.int64())), ("window", pa.binary()), ("place", pa.int64()), ("least", pa.int64())])
 
+    def ready(rows: list) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(rows), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[low : low + 8192], strict=True), schema, strict=True)], schema=schema)
+
     def settle(rows: list) -> Iterator[pa.RecordBatch]:
-        string, place, number = classes([r[2] for r in rows], SPAN)
+        string, place, number = classes([r[3] for r in rows], SPAN)
         if not len(string):
             return
         ids = np.array([r[1] for r in rows], np.int64)
         first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
         least = np.minimum.reduceat(ids[string], first)[number - 1]
-        order = np.lexsort((place, string))
+        order = np.argsort(string * np.int64(int(place.max()) + 1) + place)
         string, place, least = string[order], place[order], least[order]
         cut = np.flatnonzero(np.concatenate(([True], string[1:] != string[:-1])))
         ends = np.append(cut[1:], len(string))
-        whole, split = [], []
-        for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-            name, _, data, parts = rows[string[a]]
-            if parts == 1:
-                whole.append((name, least[a:b], None, None, None))
-            else:
-                split += [(name, None, hashlib.blake2b(data[p : p + SPAN], digest_size=16).digest(), p, m) for p, m in zip(place[a:b].tolist(), least[a:b].tolist(), strict=True)]
-        for low in range(0, len(whole), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*whole[low : low + 8192], strict=True), schema, strict=True)], schema=schema)
-        for low in range(0, len(split), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*split[low : low + 8192], strict=True), schema, strict=True)], schema=schema)
-
-    held, size, now = [], 0, None
+        lowest = np.minimum.reduceat(least, cut)
+        out = []
+        for a, b, low in zip(cut.tolist(), ends.tolist(), lowest.tolist(), strict=True):
+            name, _, most, data, parts = rows[string[a]]
+            if parts > 1:
+                out += [(name, None, hashlib.blake2b(data[p : p + SPAN], digest_size=16).digest(), p, m) for p, m in zip(place[a:b].tolist(), least[a:b].tolist(), strict=True)]
+            elif low < most:
+                out.append((name, least[a:b], None, None, None))
+        yield from ready(out)
+
+    held, group, size, now, alone = [], [], 0, None, []
     for batch in batches:
-        for key, part, parts, name, least, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, part) != now and size >= SORTED:
-                yield from settle(held)
-                held, size = [], 0
-            now = key, part
-            held.append((name, least, data, parts))
-            size += len(data)
-    if held:
-        yield from settle(held)
+        for key, part, parts, name, least, most, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, part) != now:
+                # a string alone with its key is a class by itself
+                if len(group) == 1 and group[0][4] == 1:
+                    if group[0][1] < group[0][2]:
+                        alone.append((group[0][0], [group[0][1]] * (len(group[0][3]) - SPAN + 1), None, None, None))
+                else:
+                    held += group
+                    size += sum(len(g[3]) for g in group)
+                group, now = [], (key, part)
+                if size >= SORTED:
+                    yield from settle(held)
+                    held, size = [], 0
+                if len(alone) >= 8192:
+                    yield from ready(alone)
+                    alone = []
+            group.append((name, least, most, data, parts))
+    if held or group:
+        yield from settle(held + group)
+    yield from ready(alone)
 
 
 def _remove(gone_folder: str, found_folder: str, with_bytes: bool):
@@ -357,7 +429,7 @@ def _remove(gone_folder: str, found_folder: str, with_bytes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone, found = Side(gone_folder, ["at", "n"]), Side(found_folder, ["at", "mins"])
-        for batch in merged(batches, 2):
+        for batch in merged(batches, 2, 1 << 21):
             rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, at = flat(batch.column(2))
             whole, parts = gone.of(rows), found.of(rows)
@@ -398,10 +470,55 @@ def _remove(gone_folder: str, found_folder: str, with_bytes: bool):
 
 def _by_file(df: DataFrame, where: str) -> str:
     """Written so that a task can read what concerns the rows of one file of texts."""
-    df.withColumn("file", F.shiftright("row", 33)).repartition("file").sortWithinPartitions("file", "row").write.partitionBy("file").parquet(where)
+    save(df.withColumn("file", F.shiftright("row", 33)).repartition("file").sortWithinPartitions("file", "row"), where, "file")
     return where
 
 
+def _gone(texts: DataFrame, where: str) -> str:
+    """Chunks whose name a document with a smaller id has, by file of texts."""
+    chunks = keep(texts.mapInArrow(_chunks, "row long, id long, at long, n long, name binary"), f"{where}/chunks")
+    least = chunks.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name", "least")
+    copies = chunks.join(least, "name").where("least < id").select("row", "at", "n")
+    return _by_file(copies, f"{where}/gone")
+
+
+def _shared_keys(texts: DataFrame, gone: str, buckets: int, where: str) -> str:
+    """Keys that two rows hold, by file of texts."""
+    keys = texts.mapInArrow(_keys(gone, buckets), "bucket int, first long, keys binary, rows binary")
+    shared = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row long, bucket int, rows binary, keys binary")
+    return _by_file(shared, f"{where}/shared")
+
+
+def _unique(strings: DataFrame, where: str) -> DataFrame:
+    """Each string once, with the least and the greatest id that hold it."""
+    found = strings.groupBy("key", "name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("bytes", ignorenulls=True).alias("bytes"))
+    return keep(found, f"{where}/unique")
+
+
+def _ranked(unique: DataFrame, where: str) -> DataFrame:
+    """The least ids of the strings' windows, by sorting cells; keys with many strings are dealt to several."""
+    many = unique.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key", F.ceil(F.col("n") / MANY).cast("int").alias("parts"))
+    many = keep(many, f"{where}/many")
+    some = marked(unique, "key", many, "key")
+    dealt = salted_join(some.where("_marked"), many, ["key"], "name").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.unionByName(some.where("NOT _marked").withColumn("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    dealt = dealt.select("key", "part", "parts", "name", "least", "most", "bytes").repartition("key", "part").sortWithinPartitions("key", "part")
+    return keep(dealt.mapInArrow(_sorted, "name binary, mins array<long>, window binary, place long, least long"), f"{where}/ranked")
+
+
+def _found(strings: DataFrame, ranked: DataFrame, where: str) -> str:
+    """Strings some of whose windows a document with a smaller id holds, with their least ids, by file of texts."""
+    split = ranked.where("window IS NOT NULL")
+    whole = salted_join(split.select("name", "place", "window"), split.groupBy("window").agg(F.min("least").alias("least")), ["window"], "name", "inner")
+    whole = whole.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("mins"))
+    mins = ranked.where("window IS NULL").select("name", "mins").unionByName(whole)
+    # strings without such windows aren't shuffled, where a bitmap can tell
+    some = marked(strings.select("row", "id", "at", "name"), "name", mins, "name").where("_marked").drop("_marked")
+    found = some.join(mins, "name").where(F.array_min("mins") < F.col("id")).select("row", "at", "mins")
+    return _by_file(found, f"{where}/found")
+
+
 def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     """`docs` (doc_id, text) without the bytes of strings that a document with a smaller doc_id holds too.
 
@@ -421,34 +538,23 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     Returns row, doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes, else null).
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark)
     where = scratch(spark, "suffixes")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
     texts = keep(texts, f"{where}/texts")
-    chunks = keep(texts.mapInArrow(_chunks, "row long, id long, at long, n long, name binary"), f"{where}/chunks")
-    least = chunks.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name", "least")
-    copies = chunks.join(least, "name").where("least < id").select("row", "at", "n")
-    gone = _by_file(copies, f"{where}/gone")
+    gone = _gone(texts, where)
+    discard(spark, f"{where}/chunks")
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # about 8 MB of keys in a bucket
     buckets = max(shuffle_partitions(spark), int(total * 0.08 * 6 / (8 << 20)) + 1)
-    keys = texts.mapInArrow(_keys(gone, buckets), "bucket int, first long, keys binary, rows binary")
-    shared = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row long, bucket int, keys binary")
-    shared = _by_file(shared, f"{where}/shared")
-    strings = texts.mapInArrow(_strings(gone, shared, buckets), "row long, id long, at long, n long, key long, bytes binary")
-    strings = keep(strings.withColumn("name", F.unhex(F.md5("bytes"))), f"{where}/strings")
-    unique = strings.groupBy("key", "name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("bytes").alias("bytes"))
-    unique = keep(unique, f"{where}/unique")
-    many = unique.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key", F.ceil(F.col("n") / MANY).cast("int").alias("parts"))
-    dealt = salted_join(unique, many, ["key"], "name").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("key", "part", "parts", "name", "least", "bytes")
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
-    ranked = keep(dealt.mapInArrow(_sorted, "name binary, mins array<long>, window binary, place long, least long"), f"{where}/ranked")
-    split = ranked.where("window IS NOT NULL")
-    merged_ = salted_join(split.select("name", "place", "window"), split.groupBy("window").agg(F.min("least").alias("least")), ["window"], "name", "inner")
-    merged_ = merged_.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("mins"))
-    mins = ranked.where("window IS NULL").select("name", "mins").unionByName(merged_)
-    # strings none of whose windows a smaller doc_id holds are of no use
-    found = strings.select("row", "id", "at", "name").join(mins, "name").where(F.array_min("mins") < F.col("id")).select("row", "at", "mins")
-    found = _by_file(found, f"{where}/found")
-    return texts.mapInArrow(_remove(gone, found, with_bytes), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    shared = _shared_keys(texts, gone, buckets, where)
+    strings = keep(texts.mapInArrow(_strings(gone, shared, buckets), "row long, id long, at long, key long, name binary, bytes binary"), f"{where}/strings")
+    unique = _unique(strings, where)
+    discard(spark, shared)
+    ranked = _ranked(unique, where)
+    discard(spark, f"{where}/unique")
+    found = _found(strings, ranked, where)
+    discard(spark, f"{where}/strings", f"{where}/ranked")
+    return texts.mapInArrow(
+        _remove(gone, found, with_bytes), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    )

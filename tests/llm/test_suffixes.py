@@ -86,3 +86,6 @@ def test_against_brute_force(spark, monkeypatch, seed, many, block):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == expected([(1, None)], 50)
+    for n in (25, 26, 33, 40, 49, 50, 57):
+        rows = [(1, "x" * n), (2, "ab" * (n // 2))]
+        assert run(spark, rows) == expected(rows, 50)
