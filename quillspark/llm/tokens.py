@@ -13,7 +13,7 @@ from ._bytes import U64, byte_codes, flat, mix, powers, separators
 #: Words that a worker remembers (about 40 bytes each).
 REMEMBERED = 1_000_000
 #: Bytes that are cut into words at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 #: Next to a space that a text may be cut at: no ASCII white space or control, and no byte that may belong
 #: to other white space (their UTF-8 begins with one of these lead bytes).
@@ -141,16 +141,26 @@ class Encoder:
         data, width = ids.tobytes(), self.kind.itemsize
         return [data[x:y] for x, y in zip((begin * width).tolist(), (cut * width).tolist(), strict=True)]
 
+    def _hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums over the words' bytes, some words at a time so that the arrays stay in a core's cache."""
+        out = np.empty(len(starts), U64)
+        cut = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], 1 << 15)))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(starts)], strict=True):
+            low, at, n = starts[a], starts[a:b] - starts[a], ends[a:b] - starts[a:b]
+            place = np.arange(int(ends[b - 1] - low)) - np.repeat(at, n)
+            out[a:b] = np.add.reduceat(self._codes[buf[low : ends[b - 1]]] * powers(int(n.max()))[place], at)
+        return out
+
     def _learn(self, keys: np.ndarray, ids: list[bytes]) -> None:
         """Remember the ids of new words (keys ascending); of too many, those met in this or the last round stay."""
         size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
         first = len(self._pool) + np.cumsum(size) - size
         self._pool = np.concatenate((self._pool, np.frombuffer(b"".join(ids), self.kind)))
-        order = np.argsort(every := np.concatenate((self._keys, keys)), kind="stable")
-        self._keys = every[order]
-        self._first = np.concatenate((self._first, first))[order]
-        self._size = np.concatenate((self._size, size))[order]
-        self._round = np.concatenate((self._round, np.full(len(keys), self._now)))[order]
+        at = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, at, keys)
+        self._first = np.insert(self._first, at, first)
+        self._size = np.insert(self._size, at, size)
+        self._round = np.insert(self._round, at, self._now)
 
     def _forget(self) -> None:
         if len(self._keys) > REMEMBERED:
@@ -169,8 +179,7 @@ class Encoder:
             rows = at[(at >= low) & (at < high)]
             starts = _ordered([low], rows, self._cuts(buf, low, high))
             ends = np.append(starts[1:], high)
-            place = np.arange(high - low) - np.repeat(starts - low, ends - starts)
-            value = np.add.reduceat(self._codes[buf[low:high]] * powers(int(place.max()) + 1)[place], starts - low)
+            value = self._hashes(buf, starts, ends)
             names, first, which = np.unique(mix(value ^ (ends - starts).astype(U64)), return_index=True, return_inverse=True)
             found = np.searchsorted(self._keys, names)
             new = np.flatnonzero(self._keys[np.minimum(found, len(self._keys) - 1)] != names) if len(self._keys) else np.arange(len(names))
