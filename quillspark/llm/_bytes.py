@@ -9,7 +9,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 20
+#: Bytes that are worked on at once: the arrays about them stay in a core's cache.
+_BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(buf: np.ndarray, at: np.ndarray, sep: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about a MB that end at a row's end or before a separator, so that no word is cut."""
+    """Ranges of about _BLOCK bytes that end at a row's end or before a separator, so that no word is cut."""
     low, end = int(at[0]), int(at[-1])
     while low < end:
         high = min(end, low + _BLOCK)
@@ -86,7 +87,7 @@ def _blocks(buf: np.ndarray, at: np.ndarray, sep: np.ndarray) -> Iterator[tuple[
 
 
 def spans(column: pa.Array, sep: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of about a MB: the places of words in the column's bytes, their lengths and 64-bit hashes."""
+    """For runs of about _BLOCK bytes: the places of words in the column's bytes, their lengths and 64-bit hashes."""
     buf, at = flat(column)
     codes = byte_codes(lower)
     for low, high in _blocks(buf, at, sep):

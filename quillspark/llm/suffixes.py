@@ -19,8 +19,8 @@ from .tokens import merged
 SPAN, GRAM = 50, 26
 #: Mean bytes of a content-defined chunk, and of the gram that ends it.
 CHUNK, MARK = 256, 16
-#: Bytes of text that are hashed at once, and of strings that are sorted at once.
-BLOCK, SORTED = 1 << 20, 1 << 18
+#: Bytes of text that are hashed at once (what a core's cache holds), and of strings that are sorted at once.
+BLOCK, SORTED = 1 << 16, 1 << 18
 #: Different strings of a bucket's key beyond which the key is split.
 MANY = 4096
 #: Stands for a null doc_id: greater than all.
