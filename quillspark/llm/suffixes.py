@@ -485,7 +485,7 @@ def _gone(texts: DataFrame, where: str) -> str:
 def _shared_keys(texts: DataFrame, gone: str, buckets: int, where: str) -> str:
     """Keys that two rows hold, by file of texts."""
     keys = texts.mapInArrow(_keys(gone, buckets), "bucket int, first long, keys binary, rows binary")
-    shared = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row long, bucket int, rows binary, keys binary")
+    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "row long, bucket int, rows binary, keys binary")
     return _by_file(shared, f"{where}/shared")
 
 
