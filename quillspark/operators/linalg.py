@@ -84,12 +84,23 @@ def pca_downsample(points: DataFrame, threshold: float) -> DataFrame:
 
 
 def sparse_svd(entries: DataFrame, k: int) -> np.ndarray:
-    """The k greatest singular values of (i, j, v) entries, by the Lanczos method that Spark's row matrices use."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+    """The k greatest singular values of (i, j, v) entries, by the Lanczos method that Spark's row matrices use.
 
-    rows = entries.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double"))
-    matrix = CoordinateMatrix(rows.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])))
-    return np.array(matrix.toRowMatrix().computeSVD(k).s.toArray())
+    The entries go to the JVM's matrix as they are, and its rows are held while the method passes over them.
+    """
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix
+
+    rows = entries.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("v").cast("double").alias("value"))
+    n, m = rows.agg(F.max("i"), F.max("j")).first()
+    if n is None:
+        return np.zeros(0)
+    matrix = CoordinateMatrix(callMLlibFunc("createCoordinateMatrix", rows, n + 1, m + 1)).toRowMatrix()
+    held = matrix._java_matrix_wrapper._java_model.rows().cache()
+    try:
+        return np.array(matrix.computeSVD(k).s.toArray())
+    finally:
+        held.unpersist(False)
 
 
 def _orthonormal(y: np.ndarray, least: float = 1e-4) -> np.ndarray:

@@ -161,7 +161,9 @@ def tdm_singular_values(spark, sf_dir):
     """The five greatest singular values of the pruned term-document matrix (Lanczos on the sparse rows)."""
     from quillspark.operators.linalg import sparse_svd
 
-    counts = text.prune(tdm(spark, sf_dir), 20)
-    terms = counts.select("term").distinct().rdd.map(lambda r: r[0]).sortBy(lambda t: t).zipWithIndex().toDF("term string, j long")
+    counts = text.prune(tdm(spark, sf_dir), 20).cache()
+    names = counts.select("term", F.lit(0).alias("p")).distinct()
+    terms = select.sort_with_index(names, "term", "p").select("term", F.col("rank").alias("j"))
     s = sparse_svd(counts.join(terms, "term").select(F.col("doc_id").alias("i"), "j", F.col("tf").alias("v")), 5)
+    counts.unpersist()
     return spark.createDataFrame([(i + 1, round(float(v), 4)) for i, v in enumerate(s)], "rank int, singular_value double")
