@@ -84,14 +84,14 @@ def assign(points: DataFrame, centers: list[list[float]]) -> DataFrame:
 
 
 def kmeans(
-    points: DataFrame, k: int, *, steps: int = 100, init: str = "mapa", seed: int = 42, seeds: list[list[float]] | None = None, tol: float = 0.0
+    points: DataFrame, k: int, *, steps: int = 100, init: str = "farthest", seed: int = 42, seeds: list[list[float]] | None = None, tol: float = 0.0
 ) -> tuple[list[list[float]], DataFrame]:
     """Lloyd's algorithm: centres and assignment. A step is one aggregation; an empty cluster keeps its centre."""
     n = points.count()
     if not 1 < k < n:
         raise ValueError("k must be between 1 and the number of points")
     if seeds is None:
-        found = farthest_sum_seeds(points, k, allow_fewer=True) if init == "mapa" else weighted_seeds(points, k, seed=seed)
+        found = farthest_sum_seeds(points, k, allow_fewer=True) if init == "farthest" else weighted_seeds(points, k, seed=seed)
         seeds = [x for _, x in found]
     centers = [list(map(float, c)) for c in seeds]
     for _ in range(steps):

@@ -26,7 +26,7 @@ class Options:
     scales: int = 8
     outliers: int = 0
     normalise_u: bool = True
-    seed_type: str = "mapa"
+    seed_type: str = "farthest"
     seed: int = 7
 
     def settled(self, points: DataFrame) -> Options:

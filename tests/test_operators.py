@@ -125,7 +125,7 @@ def test_farthest_sum_seeds(spark, cloud):
         cluster.farthest_sum_seeds(frame(spark, np.zeros((5, 2))), 3)
 
 
-@pytest.mark.parametrize("init", ["mapa", "plusplus"])
+@pytest.mark.parametrize("init", ["farthest", "plusplus"])
 def test_kmeans(spark, init):
     r = np.random.default_rng(3)
     truth = np.repeat([0, 1, 2], 60)
