@@ -92,6 +92,11 @@ def dedup_lines(
     where = scratch(docs.sparkSession, "lines")
     lines = keep(line_table(docs, depth, least_tokens), f"{where}/lines")
     found = recurring_lines(lines, where, depth=depth, least_docs=least_docs, similarity=similarity, contexts=contexts)
+    return _without(docs, lines, found, where)
+
+
+def _without(docs: DataFrame, lines: DataFrame, found: DataFrame, where: str) -> DataFrame:
+    """`docs` without the `lines` whose key is in `found`, and n_lines, n_dropped."""
     some = marked(lines.select("rid", "pos", "line"), "line", found, "line").where("_marked").drop("_marked")
     dropped = salted_join(some, found, ["line"], "rid", "inner", merge=True).groupBy("rid").agg(F.collect_set("pos").alias("_dropped"))
     dropped = keep(dropped, f"{where}/dropped")
@@ -108,3 +113,88 @@ def dedup_lines(
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     n_dropped = F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long")
     return rows.withColumn("n_lines", n_lines).withColumn("n_dropped", n_dropped).drop("_lines", "_dropped")
+
+
+def host_lines(docs: DataFrame, depth: int) -> DataFrame:
+    """One row per line of `LEAST_TOKENS` or more: its document (rid), that one's masked text (tid) and characters, place, key and leaf."""
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.transform(F.split("text", "\n"), masked).alias("a"))
+    total = F.aggregate("a", F.lit(0).cast("long"), lambda n, m: n + F.length(m))
+    rows = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), F.posexplode("a").alias("pos", "m"))
+    tokens = F.length("m") - F.length(F.translate("m", " ", "")) + 1
+    rows = rows.withColumn("n_tokens", F.when(F.col("m") == "", 0).otherwise(tokens)).where(F.col("n_tokens") >= LEAST_TOKENS)
+    leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.substring_index("m", " ", depth))
+    return rows.select("rid", "tid", "total", "pos", "n_tokens", "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
+
+
+def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) -> DataFrame:
+    """Keys of the lines whose template is in enough different documents, whatever stands beside it.
+
+    Documents with the same masked text are one. A document more than half of whose characters are in lines
+    that other texts hold too is most likely a near copy: all of these count as one document for a template.
+    Leaves and their constants are those of `recurring_lines`; a leaf's documents are counted, not summed by line.
+    """
+    several = F.min("tid") < F.max("tid")
+    counts = lines.groupBy("line", "leaf").agg(several.alias("several"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("n"))
+    counts = keep(counts, f"{where}/counts")
+    again = counts.where("several").select("line", "leaf", "n_tokens")
+    # what other texts hold too, by document
+    some = marked(lines.select("rid", "total", "line", F.length("m").alias("chars")), "line", again, "line").where("_marked").drop("_marked")
+    held = salted_join(some, again.select("line"), ["line"], "rid", "inner", merge=True)
+    copies = held.groupBy("rid").agg((F.sum("chars") * 2 > F.first("total")).alias("copy")).where("copy").select("rid")
+    copies = keep(copies, f"{where}/copies")
+    # leaves of several lines may recur where no line does
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.first("n_tokens").alias("n_tokens"))
+    leaves = keep(leaves.where((F.col("k") > 1) & (F.col("s") >= least_hosts())).select("leaf"), f"{where}/leaves")
+    some = marked(counts, "leaf", leaves, "leaf").where("_marked").drop("_marked")
+    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens"), f"{where}/shared")
+    often = counts.where(F.col("several") & (F.col("n") >= least_hosts())).select("line", "leaf", "n_tokens")
+    candidates = keep(often.unionByName(shared).distinct(), f"{where}/candidates")
+    some = marked(lines.select("line", "rid", "tid"), "line", candidates, "line").where("_marked").drop("_marked")
+    seen = salted_join(some, candidates, ["line"], "rid", "inner", merge=True)
+    seen = marked(seen, "rid", copies, "rid")
+    sure = seen.where("NOT _marked").withColumn("copy", F.lit(None).cast("boolean"))
+    asked = seen.where("_marked").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "rid", "left")
+    host = F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("tid")).alias("host")
+    seen = keep(sure.unionByName(asked).select("line", "leaf", "n_tokens", host).distinct(), f"{where}/seen")
+    exact = seen.groupBy("line", "n_tokens").agg(F.count("*").alias("hosts"))
+    exact = exact.where(F.col("hosts") >= least_hosts()).select("line")
+    # leaf templates: the text of each line once
+    own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
+    text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
+    weights = seen.groupBy("line", "leaf", "n_tokens").agg(F.count("*").alias("docs"))
+    text = keep(text.join(weights.hint("merge"), "line"), f"{where}/text")
+    tokens = text.select("line", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")).where(F.col("at") >= depth)
+    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"))
+    total = text.groupBy("leaf").agg(F.sum("docs").alias("total"))
+    constant = weight.groupBy("leaf", "at").agg(F.max(F.struct("w", "token")).alias("x")).join(total, "leaf").where(F.col("x.w") * 2 > F.col("total"))
+    constant = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.token"))).alias("constants"))
+    constant = keep(constant, f"{where}/constants")
+    own = salted_join(text, constant, ["leaf"], "line")
+    equal = F.size(F.filter(F.transform(F.split("m", " "), lambda t, i: t == F.col("constants")[i]), lambda hit: F.coalesce(hit, F.lit(False))))
+    alike = own.withColumn("equal", F.when(F.col("constants").isNull(), 0).otherwise(equal) + F.least(F.lit(depth), "n_tokens"))
+    alike = keep(alike.where(F.col("equal") * 100 >= F.col("n_tokens") * similarity).select("line"), f"{where}/alike")
+    members = salted_join(marked(seen, "line", alike, "line").where("_marked").drop("_marked"), alike, ["line"], "host", "inner", merge=True)
+    groups = members.select("leaf", "n_tokens", "host").distinct().groupBy("leaf", "n_tokens").agg(F.count("*").alias("hosts"))
+    groups = groups.where(F.col("hosts") >= least_hosts()).select("leaf")
+    group = salted_join(members.select("line", "leaf").distinct(), groups, ["leaf"], "line", "inner").select("line")
+    return keep(exact.unionByName(group).distinct(), f"{where}/found")
+
+
+#: Lines of fewer tokens aren't judged.
+LEAST_TOKENS = 4
+
+
+def least_hosts() -> Column:
+    """In how many different documents a line's template recurs at least."""
+    return F.lit(10)
+
+
+def drop_boilerplate(docs: DataFrame, *, depth: int = 3, similarity: int = 80) -> DataFrame:
+    """`docs` with the lines dropped whose template is in enough different documents, and n_lines, n_dropped.
+
+    Unlike `dedup_lines`, whose rule the SQL of op1_line_dedup fixes, it doesn't ask for varied neighbours, so that
+    blocks of lines go too, and copies of a host don't count; see `boilerplate`. Rows, nulls and columns are as there.
+    """
+    where = scratch(docs.sparkSession, "boilerplate")
+    lines = keep(host_lines(docs, depth), f"{where}/lines")
+    return _without(docs, lines, boilerplate(lines, where, depth=depth, similarity=similarity), where)

@@ -64,6 +64,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@_query("op1_line_dedup_whole")
+def op1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline drops lines: whatever their neighbours are, and however many copies their hosts have."""
+    return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @_query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
