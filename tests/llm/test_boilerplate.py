@@ -60,3 +60,10 @@ def test_near_copies_stay_whole(spark):
 def test_fields_that_vary(spark):
     texts = [page(f"Posted by user {WORDS[i]} in the month of May", "under the terms of this site") for i in range(15)]
     assert [len(x) for x in dropped(spark, texts)] == [2] * 15
+
+
+def test_long_passages_in_few_documents(spark):
+    long, middle, short = prose(60), prose(28), prose(7)
+    texts = [page(long, n=8) for _ in range(2)] + [page(middle, n=8) for _ in range(6)] + [page(short, n=8) for _ in range(6)]
+    texts += [page(n=8) for _ in range(5)]
+    assert dropped(spark, texts) == [[long]] * 2 + [[middle]] * 6 + [[]] * 11
