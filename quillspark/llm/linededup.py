@@ -115,15 +115,31 @@ def _without(docs: DataFrame, lines: DataFrame, found: DataFrame, where: str) ->
     return rows.withColumn("n_lines", n_lines).withColumn("n_dropped", n_dropped).drop("_lines", "_dropped")
 
 
+#: Scripts that are written without blanks.
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+
+
+def _tokens(line: Column) -> Column:
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1)
+
+
 def host_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per line of `LEAST_TOKENS` or more: its document (rid), that one's masked text (tid) and characters, place, key and leaf."""
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.transform(F.split("text", "\n"), masked).alias("a"))
+    """One row per line that isn't empty: its document (rid), that one's template text (tid) and characters, place, size, key and leaf.
+
+    A line's size is its tokens, in scripts without blanks half its characters if these are more. Lines of under
+    four tokens have no variable fields, as little else would tell them apart.
+    """
+    clean = F.transform(F.split("text", "\n"), lambda line: F.trim(F.regexp_replace(line, "[ \t\r\f\x0B]+", " ")))
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), clean.alias("a"))
+    fields = lambda m: F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)  # noqa: E731  as in masked()
+    whole = whole.select("rid", F.transform("a", lambda m: F.when(_tokens(m) < 4, m).otherwise(fields(m))).alias("a"))
     total = F.aggregate("a", F.lit(0).cast("long"), lambda n, m: n + F.length(m))
     rows = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), F.posexplode("a").alias("pos", "m"))
-    tokens = F.length("m") - F.length(F.translate("m", " ", "")) + 1
-    rows = rows.withColumn("n_tokens", F.when(F.col("m") == "", 0).otherwise(tokens)).where(F.col("n_tokens") >= LEAST_TOKENS)
+    rows = rows.withColumn("n_tokens", _tokens(F.col("m"))).where("n_tokens > 0")
+    unspaced = (F.octet_length("m") > F.length("m")) & F.col("m").rlike(UNSPACED)
+    rows = rows.withColumn("size", F.when(unspaced, F.greatest("n_tokens", (F.length("m") / 2).cast("int"))).otherwise(F.col("n_tokens")))
     leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.substring_index("m", " ", depth))
-    return rows.select("rid", "tid", "total", "pos", "n_tokens", "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
+    return rows.select("rid", "tid", "total", "pos", "n_tokens", "size", "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
 
 
 def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) -> DataFrame:
@@ -134,20 +150,20 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     Leaves and their constants are those of `recurring_lines`; a leaf's documents are counted, not summed by line.
     """
     several = F.min("tid") < F.max("tid")
-    counts = lines.groupBy("line", "leaf").agg(several.alias("several"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("n"))
+    counts = lines.groupBy("line", "leaf").agg(several.alias("several"), F.first("n_tokens").alias("n_tokens"), F.first("size").alias("size"), F.count("*").alias("n"))
     counts = keep(counts, f"{where}/counts")
-    again = counts.where("several").select("line", "leaf", "n_tokens")
+    again = counts.where("several").select("line")
     # what other texts hold too, by document
     some = marked(lines.select("rid", "total", "line", F.length("m").alias("chars")), "line", again, "line").where("_marked").drop("_marked")
-    held = salted_join(some, again.select("line"), ["line"], "rid", "inner", merge=True)
+    held = salted_join(some, again, ["line"], "rid", "inner", merge=True)
     copies = held.groupBy("rid").agg((F.sum("chars") * 2 > F.first("total")).alias("copy")).where("copy").select("rid")
     copies = keep(copies, f"{where}/copies")
     # leaves of several lines may recur where no line does
-    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.first("n_tokens").alias("n_tokens"))
+    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.max("size").alias("size"))
     leaves = keep(leaves.where((F.col("k") > 1) & (F.col("s") >= least_hosts())).select("leaf"), f"{where}/leaves")
     some = marked(counts, "leaf", leaves, "leaf").where("_marked").drop("_marked")
-    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens"), f"{where}/shared")
-    often = counts.where(F.col("several") & (F.col("n") >= least_hosts())).select("line", "leaf", "n_tokens")
+    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens", "size"), f"{where}/shared")
+    often = counts.where(F.col("several") & (F.col("n") >= least_hosts())).select("line", "leaf", "n_tokens", "size")
     candidates = keep(often.unionByName(shared).distinct(), f"{where}/candidates")
     some = marked(lines.select("line", "rid", "tid"), "line", candidates, "line").where("_marked").drop("_marked")
     seen = salted_join(some, candidates, ["line"], "rid", "inner", merge=True)
@@ -155,8 +171,8 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     sure = seen.where("NOT _marked").withColumn("copy", F.lit(None).cast("boolean"))
     asked = seen.where("_marked").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "rid", "left")
     host = F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("tid")).alias("host")
-    seen = keep(sure.unionByName(asked).select("line", "leaf", "n_tokens", host).distinct(), f"{where}/seen")
-    exact = seen.groupBy("line", "n_tokens").agg(F.count("*").alias("hosts"))
+    seen = keep(sure.unionByName(asked).select("line", "leaf", "n_tokens", "size", host).distinct(), f"{where}/seen")
+    exact = seen.groupBy("line", "size").agg(F.count("*").alias("hosts"))
     exact = exact.where(F.col("hosts") >= least_hosts()).select("line")
     # leaf templates: the text of each line once
     own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
@@ -174,19 +190,16 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     alike = own.withColumn("equal", F.when(F.col("constants").isNull(), 0).otherwise(equal) + F.least(F.lit(depth), "n_tokens"))
     alike = keep(alike.where(F.col("equal") * 100 >= F.col("n_tokens") * similarity).select("line"), f"{where}/alike")
     members = salted_join(marked(seen, "line", alike, "line").where("_marked").drop("_marked"), alike, ["line"], "host", "inner", merge=True)
-    groups = members.select("leaf", "n_tokens", "host").distinct().groupBy("leaf", "n_tokens").agg(F.count("*").alias("hosts"))
+    groups = members.groupBy("leaf", "host").agg(F.min("size").alias("size")).groupBy("leaf").agg(F.min("size").alias("size"), F.count("*").alias("hosts"))
     groups = groups.where(F.col("hosts") >= least_hosts()).select("leaf")
     group = salted_join(members.select("line", "leaf").distinct(), groups, ["leaf"], "line", "inner").select("line")
     return keep(exact.unionByName(group).distinct(), f"{where}/found")
 
 
-#: Lines of fewer tokens aren't judged.
-LEAST_TOKENS = 4
-
-
 def least_hosts() -> Column:
-    """In how many different documents a line's template recurs at least: 10 for 4 tokens, falling to 2 from 50 tokens on."""
-    return F.greatest(F.lit(2), 10 - F.floor((F.col("n_tokens") - 4) * 8 / 46))
+    """In how many different documents a line's template recurs at least: 20 below size 4, then 10 falling to 2 from size 50 on."""
+    size = F.col("size")
+    return F.when(size < 4, 20).otherwise(F.greatest(F.lit(2), 10 - F.floor((size - 4) * 8 / 46)))
 
 
 def drop_boilerplate(docs: DataFrame, *, depth: int = 3, similarity: int = 80) -> DataFrame:

@@ -67,3 +67,10 @@ def test_long_passages_in_few_documents(spark):
     texts = [page(long, n=8) for _ in range(2)] + [page(middle, n=8) for _ in range(6)] + [page(short, n=8) for _ in range(6)]
     texts += [page(n=8) for _ in range(5)]
     assert dropped(spark, texts) == [[long]] * 2 + [[middle]] * 6 + [[]] * 11
+
+
+def test_short_lines_and_scripts_without_blanks(spark):
+    short, few, chinese = "All rights reserved.", "Read more", "本网站的所有内容均受版权保护未经许可不得转载" * 2
+    texts = [page(short, n=8) for _ in range(25)] + [page(few, n=8) for _ in range(12)] + [page(chinese, n=8) for _ in range(8)]
+    texts += [page(str(i), n=8) for i in range(30)]  # numbers that differ are no template
+    assert dropped(spark, texts) == [[short]] * 25 + [[]] * 12 + [[chinese]] * 8 + [[]] * 30
