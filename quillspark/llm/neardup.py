@@ -122,27 +122,30 @@ def _spell(k: int):
 
 
 def _verify(share: int):
-    """Streams groups (pivot, chunk), the pivot's set first, and keeps pairs that overlap enough."""
+    """Streams groups (pivot, chunk), the pivot's sets first (several if its id is repeated), and keeps pairs that overlap enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
+        pivot, sets, open_ = None, [], False
         for batch in batches:
             src, dst = [], []
             for a, b, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 found = np.frombuffer(data.as_buffer(), U64)
                 if b is None:
-                    pivot, own = a, found
+                    pivot, sets, open_ = a, [*sets, found] if open_ and a == pivot else [found], True
                     continue
+                open_ = False
                 if a != pivot:
                     raise ValueError("a pivot's set is missing")
-                if 100 * min(len(own), len(found)) < share * max(len(own), len(found)):
-                    continue
-                place = np.searchsorted(own, found)
-                place[place == len(own)] = 0
-                both = int((own[place] == found).sum())
-                if 100 * both >= share * (len(own) + len(found) - both):
-                    src.append(a)
-                    dst.append(b)
+                for own in sets:
+                    if not len(own) or 100 * min(len(own), len(found)) < share * max(len(own), len(found)):
+                        continue
+                    place = np.searchsorted(own, found)
+                    place[place == len(own)] = 0
+                    both = int((own[place] == found).sum())
+                    if 100 * both >= share * (len(own) + len(found) - both):
+                        src.append(a)
+                        dst.append(b)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return run
@@ -253,17 +256,22 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = keep(
         salted_join(signed.select("id", "n_shingles", "d1", "d2"), classes, ["d1", "d2", "n_shingles"], "id")
-        .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).alias("first")),
+        .select("id", "n_shingles", "d1", "d2", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).alias("first")),
         f"{where}/classes",
     )
-    # one row of each class goes on, also where an id is repeated
-    heads = full.join(named.where("id <> first").select("id"), "id", "left_anti").dropDuplicates(["id", "d1", "d2", "n_shingles"])
+    # one row of each class goes on, also where an id is repeated; an id with texts of several classes ties these
+    key = ["id", "d1", "d2", "n_shingles"]
+    heads = full.join(named.where("id <> first").select(key), key, "left_anti").dropDuplicates(key)
+    low = named.where("id is not null").groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+    low = keep(low.select("id", "low"), f"{where}/ties")
+    ties = marked(named, "id", low, "id").where("_marked").join(low.hint("merge"), "id").where("first <> low")
+    ties = ties.select(F.col("low").alias("src"), F.col("first").alias("dst")).distinct()
     band = heads.select("id", F.posexplode("bands").alias("band", "value"))
     bucket = band.groupBy("band", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "value", "pivot")
     members = keep(salted_join(band, bucket, ["band", "value"], "id", "inner"), f"{where}/buckets")
     pairs = keep(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), f"{where}/pairs")
     sets = _spelled(pairs, texts, k, where)
-    own = keep(components(_links(pairs, sets, share, f"{where}/first"), f"{where}/first"), f"{where}/first/components")
+    own = keep(components(_links(pairs, sets, share, f"{where}/first").unionByName(ties), f"{where}/first"), f"{where}/first/components")
     second = _links_across(pairs, own, sets, share, f"{where}/second")
     # components that a second link joins: a graph of components
     name = own.withColumnRenamed("component_id", "c")
@@ -274,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int
     linked = salted_join(own, above.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), ["component_id"], "id")
     linked = linked.select("id", F.coalesce("top", "component_id").alias("component_id")).unionByName(single)
     linked = keep(linked, f"{where}/components")
-    out = salted_join(named, linked.withColumnRenamed("id", "first"), ["first"], "id")
+    out = salted_join(named.drop("d1", "d2"), linked.withColumnRenamed("id", "first"), ["first"], "id")
     out = out.select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

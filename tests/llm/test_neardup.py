@@ -91,3 +91,14 @@ def test_signatures_estimate_similarity():
             runs.append((sig[0] == sig[1]).mean())
         assert abs(np.mean(runs) - both) < 0.03
         assert np.std(runs) < 0.06
+
+
+def test_repeated_ids_with_different_texts(spark):
+    r = random.Random(9)
+    a, b = chain(21, 1, 40, 0)[0], chain(22, 1, 60, 0)[0]
+    near = " ".join([*b.split()[:-1], "other"])
+    rows = [(3, a), (7, a), (7, b), (8, b), (9, near), (20, "alone among them all")]
+    assert run(spark, rows) == expected(rows)
+    texts = [t for seed in range(30, 60) for t in chain(seed, 2, 70, 2)]
+    rows = [(r.randrange(100), r.choice(texts)) for _ in range(90)]
+    assert run(spark, rows) == expected(rows)
