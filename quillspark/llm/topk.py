@@ -15,10 +15,14 @@ CANDIDATES, QUERIES, FEW, BINS = 16384, 8192, 1024, 4096
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, as 64-bit numbers; only vectors that are whole and finite."""
+    """(vec_id, v): floor(scale * x) of each component, as 64-bit numbers; only vectors that are whole and finite.
+
+    A component whose product doesn't fit into 64 bits fails the query.
+    """
     x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
-    fine = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**18)))
-    return x.where(fine).select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    fine = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    fits = lambda e: F.when(F.abs(e * scale) < F.lit(2.0**63), F.floor(e * scale).cast("long")).otherwise(F.raise_error(F.lit("a component is too great for scores of 64 bits")))
+    return x.where(fine).select("vec_id", F.transform("x", fits).alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -87,8 +91,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     cell scores all its pairs. Histograms of the scores, summed over the cells, are refined between the
     bounds of the bin that holds a query's kth value until that value is known; then scores from it on
     are gathered, at most k from a cell, and ties go to the smaller vec_id.
-    Vectors that are null or hold null or non-finite components take no part, nor do rows without id; a
-    component of 2**18 or more counts as non-finite, since scores have 64 bits. Vectors of different lengths aren't compared. A repeated vec_id is one row: the row
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without id.
+    Scores have 64 bits: where the norms allow a score of 2**62 or more the query fails. Vectors of different lengths aren't compared. A repeated vec_id is one row: the row
     whose vector is smallest. Fewer than k others: all. Other columns are ignored.
     Returns query_id, rank (from 1), vec_id, score.
     """
@@ -99,9 +103,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, scale: int = 102
     rows = keep(rows.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))), f"{where}/rows")
     total, most = rows.agg(F.count("*"), F.max("square")).first()
     chosen = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = chosen.count()
+    asked, greatest = chosen.agg(F.count("*"), F.max("square")).first()
     if not total or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if (float(most) * float(greatest)) ** 0.5 >= 2.0**62:
+        raise ValueError("vectors are too long for scores of 64 bits")
     columns, lines = max(-(-total // CANDIDATES), min(shuffle_partitions(spark), -(-total // FEW))), -(-asked // QUERIES)
     candidates = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).alias("c")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
     candidates = candidates.withColumn("cell", F.col("c") * lines + F.col("q")).select("cell", "vec_id", "v")

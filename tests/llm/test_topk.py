@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from quillspark.llm import topk
 
 
@@ -44,3 +46,10 @@ def test_small_tables(spark):
     assert run(spark, [(0, [1.0]), (5, [0.5])]) == [(0, 1, 5, 1024 * 512)]
     big = [(0, [2.0**17, 1.0]), (1, [2.0**17, 1.0]), (2, [2.0**16, 3.0])]
     assert run(spark, big) == expected(big)
+
+
+def test_great_components(spark):
+    big = [(0, [2.0**20, 1.0]), (1, [2.0**19, 1.0]), (2, [2.0**18, 3.0]), (3, [-(2.0**20), 0.5]), (100, [0.5, 2.0**19]), (101, [1.0, 1.0])]
+    assert run(spark, big) == expected(big)
+    with pytest.raises(ValueError, match="64 bits"):
+        run(spark, [(0, [2.0**22, 1.0]), (1, [2.0**22, 1.0])])
