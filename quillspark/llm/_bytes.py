@@ -40,6 +40,26 @@ WHITE = separators([(0x20, 0x20), (0x09, 0x0D)])
 #: Between words: all ASCII but digits and letters.
 NOT_WORD = separators([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
+_keys = np.zeros(0, dtype=U64)
+
+
+def keys(n: int) -> np.ndarray:
+    """Fixed random numbers for the first n places of a word."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, max(n, 4096) + 1, dtype=U64) * U64(0xA24BAED4963EE407))
+    return _keys[:n]
+
+
+def scattered(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for each byte at its place: no multiple or sum of others, so that words of any shape differ in their sums."""
+    x = codes ^ keys
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    return x
+
+
 _powers = np.ones(1, dtype=U64)
 
 
@@ -87,7 +107,11 @@ def _blocks(buf: np.ndarray, at: np.ndarray, sep: np.ndarray) -> Iterator[tuple[
 
 
 def spans(column: pa.Array, sep: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of about _BLOCK bytes: the places of words in the column's bytes, their lengths and 64-bit hashes."""
+    """For runs of about _BLOCK bytes: the places of words in the column's bytes, their lengths and 64-bit hashes.
+
+    A hash is the mixed sum of numbers that depend on byte and place in no linear way. Two given words share one with
+    probability 2**-64; no byte is compared afterwards.
+    """
     buf, at = flat(column)
     codes = byte_codes(lower)
     for low, high in _blocks(buf, at, sep):
@@ -105,7 +129,7 @@ def spans(column: pa.Array, sep: np.ndarray, lower: bool = True) -> Iterator[tup
         place = np.zeros(high - low, dtype=np.int64)
         place[starts[0] :] = np.arange(starts[0], high - low) - np.repeat(starts, np.diff(np.append(starts, high - low)))
         place[~inside] = 0
-        value = codes[part] * powers(int(place.max()) + 1)[place]
+        value = scattered(codes[part], keys(int(place.max()) + 1)[place])
         value[~inside] = 0
         yield starts + low, np.add.reduceat(inside, starts, dtype=np.int64), mix(np.add.reduceat(value, starts))
 
@@ -122,7 +146,7 @@ def words(column: pa.Array, sep: np.ndarray, lower: bool = True) -> tuple[np.nda
 def name(word: str, lower: bool = True) -> int:
     """The hash that `words` gives a word."""
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(mix((byte_codes(lower)[data] * powers(len(data))).sum(keepdims=True))[0])
+    return int(mix(scattered(byte_codes(lower)[data], keys(len(data))).sum(keepdims=True))[0])
 
 
 def shingles(word: np.ndarray, k: int) -> np.ndarray:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from ._bytes import U64, byte_codes, flat, mix, powers, separators
+from ._bytes import U64, byte_codes, flat, keys, mix, scattered, separators
 
-#: Words that a worker remembers (about 40 bytes each).
+#: Words that a worker remembers (about 70 bytes each).
 REMEMBERED = 1_000_000
 #: Bytes that are cut into words at once.
 BLOCK = 1 << 20
@@ -35,11 +36,12 @@ def _ordered(*places: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts as the tokenizer file does, without special tokens.
+    """Encodes texts as the library does with add_special_tokens=False, where the file's added tokens stand for themselves.
 
     `spaces` says how: "kept" for byte-level vocabularies whose words begin with their space (a text is cut
     before single spaces between other characters, where no word can go on), "dropped" for those that
-    drop white space. Words met before come from memory, so that the library sees each new one.
+    drop white space. Words met before come from memory, so that the library sees each new one; what memory
+    finds by a hash is compared byte by byte, and a word that only shares another's hash goes to the library.
     """
 
     def __init__(self, path: str, spaces: str) -> None:
@@ -47,13 +49,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        added = [t.content.encode() for t in self._library.get_added_tokens_decoder().values()]
+        self._added = sorted(added, key=len, reverse=True)
         size = self._library.get_vocab_size()
         self.size, self.kind = size, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self._kept = spaces == "kept"
         # words by hash: where their ids begin in the pool, how many, and the round of their last use
         self._keys, self._pool, self._now = np.zeros(0, U64), np.zeros(0, self.kind), 0
-        self._first, self._size, self._round = (np.zeros(0, np.int64) for _ in range(3))
+        self._first, self._size, self._round, self._from, self._long = (np.zeros(0, np.int64) for _ in range(5))
+        # their bytes, one after the other
+        self._text = np.zeros(0, np.uint8)
         if self._kept:
             # a byte-level vocabulary spells one byte with one character
             self._bytes = np.zeros(size, np.int64)
@@ -62,9 +67,11 @@ class Encoder:
         else:
             self._mark = self._library.encode("\x00", add_special_tokens=False).ids
         # where the tokenizer drops case and white space, words that differ in them alone share their ids
-        self._codes = byte_codes(lower=not self._kept)
+        self._fold = np.arange(256, dtype=np.uint8)
         if not self._kept:
-            self._codes[0x0A] = self._codes[0x20]
+            self._fold[0x41:0x5B] += 0x20
+            self._fold[0x0A] = 0x20
+        self._codes = byte_codes(lower=False)[self._fold]
 
     @classmethod
     def of(cls, path: str, spaces: str) -> Encoder:
@@ -87,6 +94,17 @@ class Encoder:
         after = at[buf[at] == 0x0A] + 1
         return _ordered(stop, at, after[after < high])
 
+    def _named(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where added tokens stand in the rows: places (start, end), of overlapping ones the first and longest."""
+        low, high = int(at[0]), int(at[-1])
+        data = buf[low:high].tobytes()
+        found = []
+        if any(t in data for t in self._added):
+            pattern = re.compile(b"|".join(map(re.escape, self._added)))
+            for a, b in zip((at[:-1] - low).tolist(), (at[1:] - low).tolist(), strict=True):
+                found += [m.span() for m in pattern.finditer(data, a, b)]
+        return np.array(found, np.int64).reshape(-1, 2) + low
+
     def _blocks(self, buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         low, end = int(at[0]), int(at[-1])
         while low < end:
@@ -118,6 +136,7 @@ class Encoder:
             alone = _UNSURE[buf[a]] & ~spaced | spaced & ((b - a < 2) | _UNSURE[buf[np.minimum(a + 1, len(buf) - 1)]]) | (b - a < 3) & (buf[b - 1] >= 0x80) | _open(buf, b)
         out: list[bytes | None] = [None] * len(a)
         words = [buf[s:e].tobytes() for s, e in zip(a.tolist(), b.tolist(), strict=True)]
+        alone = alone | np.fromiter((w in self._added for w in words), bool, len(words))
         own = np.flatnonzero(alone).tolist()
         for i, e in zip(own, self._library.encode_batch_fast([words[i].decode() for i in own], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.kind).tobytes()
@@ -148,48 +167,80 @@ class Encoder:
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(starts)], strict=True):
             low, at, n = starts[a], starts[a:b] - starts[a], ends[a:b] - starts[a:b]
             place = np.arange(int(ends[b - 1] - low)) - np.repeat(at, n)
-            out[a:b] = np.add.reduceat(self._codes[buf[low : ends[b - 1]]] * powers(int(n.max()))[place], at)
+            out[a:b] = np.add.reduceat(scattered(self._codes[buf[low : ends[b - 1]]], keys(int(n.max()))[place]), at)
         return out
 
-    def _learn(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """Remember the ids of new words (keys ascending); of too many, those met in this or the last round stay."""
-        size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
-        first = len(self._pool) + np.cumsum(size) - size
+    def _learn(self, names: np.ndarray, ids: list[bytes], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Remember ids and bytes of new words (names ascending)."""
+        size, long = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize, ends - starts
+        first, origin = len(self._pool) + np.cumsum(size) - size, len(self._text) + np.cumsum(long) - long
         self._pool = np.concatenate((self._pool, np.frombuffer(b"".join(ids), self.kind)))
-        at = np.searchsorted(self._keys, keys)
-        self._keys = np.insert(self._keys, at, keys)
-        self._first = np.insert(self._first, at, first)
-        self._size = np.insert(self._size, at, size)
-        self._round = np.insert(self._round, at, self._now)
+        place = np.repeat(starts - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        self._text = np.concatenate((self._text, self._fold[buf[place]]))
+        at = np.searchsorted(self._keys, names)
+        self._keys = np.insert(self._keys, at, names)
+        for name, new in (("_first", first), ("_size", size), ("_from", origin), ("_long", long), ("_round", self._now)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
 
     def _forget(self) -> None:
+        """Of too many words, those met in this or the last round stay."""
         if len(self._keys) > REMEMBERED:
             stay = self._round >= self._now
-            size = self._size[stay]
-            first = np.cumsum(size) - size
-            self._pool = self._pool[np.repeat(self._first[stay] - first, size) + np.arange(int(size.sum()))]
-            self._keys, self._first, self._size, self._round = self._keys[stay], first, size, self._round[stay]
+            for data, begin, count in (("_pool", "_first", "_size"), ("_text", "_from", "_long")):
+                n = getattr(self, count)[stay]
+                first = np.cumsum(n) - n
+                setattr(self, data, getattr(self, data)[np.repeat(getattr(self, begin)[stay] - first, n) + np.arange(int(n.sum()))])
+                setattr(self, begin, first)
+                setattr(self, count, n)
+            self._keys, self._round = self._keys[stay], self._round[stay]
             self._now += 1
 
+    def _others(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which of the adjoining words starts..ends have other bytes than the remembered words `found`."""
+        n, low = ends - starts, int(starts[0])
+        other = self._long[found] != n
+        # one of another length is compared with itself
+        begin = np.where(other, 0, self._from[found]) - (starts - low)
+        place = np.repeat(begin, n) + np.arange(int(ends[-1]) - low)
+        if other.any():
+            place = np.minimum(place, len(self._text) - 1)
+        differ = self._text[place] != self._fold[buf[low : int(ends[-1])]]
+        return other | np.logical_or.reduceat(differ, starts - low) if differ.any() else other
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column, in order, and the offsets of the rows in them."""
         buf, at = flat(column)
         ids, counts, places = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for low, high in self._blocks(buf, at):
-            rows = at[(at >= low) & (at < high)]
-            starts = _ordered([low], rows, self._cuts(buf, low, high))
+        named = self._named(buf, at)
+        edges = _ordered(at, named.ravel()) if len(named) else at
+        for low, high in self._blocks(buf, edges):
+            cuts = self._cuts(buf, low, high)
+            if len(named):
+                k = np.searchsorted(named[:, 0], cuts, "left") - 1
+                cuts = cuts[(k < 0) | (cuts >= named[k, 1])]
+            starts = _ordered([low], edges[(edges >= low) & (edges < high)], cuts)
             ends = np.append(starts[1:], high)
-            value = self._hashes(buf, starts, ends)
-            names, first, which = np.unique(mix(value ^ (ends - starts).astype(U64)), return_index=True, return_inverse=True)
+            value = self._hashes(buf, starts, ends) ^ (ends - starts).astype(U64)
+            if len(named):  # an added token is no word that reads like it in lower case
+                value[np.isin(starts, named[:, 0])] ^= U64(1 << 63)
+            names, first, which = np.unique(mix(value), return_index=True, return_inverse=True)
             found = np.searchsorted(self._keys, names)
             new = np.flatnonzero(self._keys[np.minimum(found, len(self._keys) - 1)] != names) if len(self._keys) else np.arange(len(names))
             if len(new):
-                self._learn(names[new], self._new(buf, starts[first[new]], ends[first[new]]))
+                a, b = starts[first[new]], ends[first[new]]
+                self._learn(names[new], self._new(buf, a, b), buf, a, b)
                 found = np.searchsorted(self._keys, names)
             self._round[found] = self._now
-            n = self._size[found][which]
-            begin = self._first[found][which] - (np.cumsum(n) - n)
-            ids.append(self._pool[np.repeat(begin, n) + np.arange(int(n.sum()))])
+            found = found[which]
+            n, begin, pool = self._size[found], self._first[found], self._pool
+            others = self._others(buf, starts, ends, found)
+            if others.any():
+                own = self._new(buf, starts[others], ends[others])
+                n[others] = [len(x) // self.kind.itemsize for x in own]
+                begin[others] = len(pool) + np.cumsum(n[others]) - n[others]
+                pool = np.concatenate((pool, np.frombuffer(b"".join(own), self.kind)))
+            begin = begin - (np.cumsum(n) - n)
+            ids.append(pool[np.repeat(begin, n) + np.arange(int(n.sum()))])
             self._forget()
             counts.append(n)
             places.append(starts)

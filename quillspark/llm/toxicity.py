@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import NOT_WORD, U64, byte_codes, flat, mix, name, powers, separators, spans
+from ._bytes import NOT_WORD, U64, byte_codes, flat, keys, mix, name, scattered, separators, spans
 from ._shared import bounded_sample, keep, scratch, small_batches
 
 #: Words of each class, in lower case; languages are not told apart.
@@ -114,9 +114,9 @@ class Lexicon:
         codes = byte_codes(lower=True)
         for size, (known, entries) in self._stems.items():
             long = np.flatnonzero(lengths > size)
-            value, scale = np.zeros(len(long), U64), powers(size)
+            value, places = np.zeros(len(long), U64), keys(size)
             for j in range(size):
-                value += codes[buf[starts[long] + j]] * scale[j]
+                value += scattered(codes[buf[starts[long] + j]], places[j])
             value = mix(value)
             at = np.minimum(np.searchsorted(known, value), len(known) - 1)
             for i, k in zip(long[known[at] == value].tolist(), at[known[at] == value].tolist(), strict=True):

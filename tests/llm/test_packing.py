@@ -14,7 +14,6 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 def check(rows, pieces, room=2048):
     """Each id in exactly one piece, sequences gapless; returns the share of padding."""
     library = Tokenizer.from_file(WORD)
-    library.encode_special_tokens = True
     want = defaultdict(list)
     for doc, text in rows:
         want[doc].append([*library.encode(text or "", add_special_tokens=False).ids, 1])

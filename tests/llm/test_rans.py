@@ -24,7 +24,6 @@ def odd_texts():
 def test_encoder_agrees_with_the_library(monkeypatch, path, spaces, block):
     monkeypatch.setattr(tokens, "BLOCK", block)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = odd_texts()
     ids, at = tokens.Encoder(path, spaces).encode(pa.array([*texts, None]))
     for i, text in enumerate(texts):
@@ -32,6 +31,38 @@ def test_encoder_agrees_with_the_library(monkeypatch, path, spaces, block):
     assert at[-1] == at[-2]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize(("path", "spaces"), [(BYTE, "kept"), (WORD, "dropped")])
+def test_words_of_one_polynomial_hash_and_added_tokens(path, spaces):
+    library, encoder = Tokenizer.from_file(path), tokens.Encoder(path, spaces)
+    texts = [w for n in (1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|>y", "<|ENDOFTEXT|> <|endoftext|> <|EndOfText|>", "<|startoftext|>Q, r <|endoftext|", ">", "<|endoftext|>  \n", "a.<|endoftext|>,b"]
+    for _ in range(2):
+        ids, at = encoder.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("path", "spaces"), [(BYTE, "kept"), (WORD, "dropped")])
+@pytest.mark.parametrize("remembered", [1_000_000, 3])
+def test_words_that_share_a_hash(monkeypatch, path, spaces, remembered):
+    real = tokens.Encoder._hashes
+    monkeypatch.setattr(tokens.Encoder, "_hashes", lambda *a: real(*a) % tokens.U64(5))
+    monkeypatch.setattr(tokens, "mix", lambda x: x % tokens.U64(7))
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    library, encoder, texts = Tokenizer.from_file(path), tokens.Encoder(path, spaces), odd_texts()[:200]
+    for low in range(0, 200, 20):
+        ids, at = encoder.encode(pa.array(texts[low : low + 20]))
+        for i, text in enumerate(texts[low : low + 20]):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("symbols", [1, 2, 300])
 def test_blocks_round_trip(symbols):
     r = np.random.default_rng(0)
@@ -59,7 +90,6 @@ def expected(rows, library):
 
 def test_round_trip(spark, monkeypatch):
     library = Tokenizer.from_file(BYTE)
-    library.encode_special_tokens = True
     r = random.Random(9)
     rows = [(i * 3, t) for i, t in enumerate(odd_texts()[-300:])] + [(1, None), (2, ""), (None, "no id"), (5, "same"), (5, "same"), (-7, "word " * 70_000)]
     r.shuffle(rows)
