@@ -73,7 +73,7 @@ def op1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end=1, room=2048, with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, end=1, room=2048)
 
 
 @_query("op3_token_output")
@@ -95,14 +95,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op6_exact_topk",
     """
-    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                FROM embeddings
-               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
-    s AS (SELECT q.vec_id AS query_id, v.vec_id,
+    s AS (SELECT q.own, q.vec_id AS query_id, v.vec_id,
                  CAST(list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-          FROM q, v WHERE q.vec_id <> v.vec_id),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+          FROM q, v WHERE q.own <> v.own AND len(q.v) = len(v.v)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
 )
