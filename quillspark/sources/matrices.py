@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import delete, join_parts, open_output, part_name, shared_folder
+
 
 def _dmat(content: bytes) -> np.ndarray:
     """Columns and rows, then the values column by column; 0 0 comes before a binary body."""
@@ -41,24 +43,52 @@ def read_dmat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dmat(points: DataFrame, path: str, *, binary: bool = False) -> None:
-    """Write (id, x) in the order of ids as one local DMAT file, a column at a time.
+    """Write (id, x) in the order of ids as one DMAT file at `path`, in any store that Spark writes.
 
-    The format is one file in column order: each column is one pass, and only one row is held at once.
+    The format is one file in column order: the values are sorted by range of (column, id), each range is
+    written by its task, and the parts are joined behind the header. No task or driver holds a column.
     """
+    spark = points.sparkSession
     rows, columns = points.count(), (points.select(F.size("x")).first() or [0])[0]
-    ordered = points.orderBy("id").cache()
-    with open(path, "wb") as f:
-        f.write(b"0 0\n" * binary + f"{columns} {rows}\n".encode())
-        for j in range(columns):
-            for r in ordered.select(F.get("x", F.lit(j)).alias("v")).toLocalIterator():
-                f.write(struct.pack("<d", r.v) if binary else f"{r.v:.17g}\n".encode())
-    ordered.unpersist()
+    values = points.select("id", F.posexplode(F.col("x").cast("array<double>")).alias("j", "v"))
+    folder = shared_folder(spark, "dmat")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, order, out = part_name(), None, None
+        for b in batches:
+            if len(b):
+                if out is None:
+                    out, order = open_output(folder, name), TaskContext.get().partitionId()
+                v = b["v"].to_numpy("<f8")
+                out.write(v.tobytes() if binary else "".join(f"{x:.17g}\n" for x in v).encode())
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"order": [order], "file": [name]})
+
+    ordered = values.repartitionByRange("j", "id").sortWithinPartitions("j", "id").select("v")
+    parts = ordered.mapInPandas(write, "order int, file string").persist(StorageLevel.DISK_ONLY)
+    join_parts(spark, folder, parts, path, b"0 0\n" * binary + f"{columns} {rows}\n".encode())
+    parts.unpersist()
+    delete(spark, folder)
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`rows` with their place (from 0) in the order of `order`, counted per range so that no task holds all rows."""
+    keys = [F.col(c) for c in order]
+    parts = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    parts = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = parts.join(F.broadcast(before.drop("_n")), "_part")
+    return found.withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_part", "_own", "_before")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file with their numbers from 0."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("line", "value"))
+    """(line, value): the lines of one file with their numbers from 0. The file is read in splits."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_split"), F.regexp_replace("value", "\\r$", "").alias("value"))
+    return numbered(rows, ["_split", "_at"], "line").select("line", "value")
 
 
 def read_table(spark: SparkSession, path: str, *, permissive: bool = False) -> DataFrame:
@@ -69,7 +99,7 @@ def read_table(spark: SparkSession, path: str, *, permissive: bool = False) -> D
     clean = F.trim(F.regexp_replace(F.substring_index("value", ",", 1), "\\s+", " "))
     rows = _lines(spark, path).select("line", clean.alias("value")).where("value <> ''")
     rows = rows.select(F.col("line").cast("long").alias("line"), F.split("value", " ").cast("array<double>").alias("x"))
-    rows = rows.select((F.row_number().over(_by_line()) - 1).cast("long").alias("id"), "x")
+    rows = numbered(rows, ["line"], "id").select("id", "x")
     low, high = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
     if low != high:
         if not permissive:
@@ -78,12 +108,6 @@ def read_table(spark: SparkSession, path: str, *, permissive: bool = False) -> D
     return rows
 
 
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.orderBy("line")
-
-
 def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v) of lines of id and value tokens with any one character between; repeated equal tokens count once.
 
@@ -101,7 +125,41 @@ def read_arrays(spark: SparkSession, path: str, n: int) -> DataFrame:
     return rows.select(F.col("line").cast("long").alias("line"), F.slice(F.split(F.trim("value"), "\\s+"), 1, n).cast("array<double>").alias("x"))
 
 
-def write_factors(folder: str, **factors: DataFrame) -> None:
-    """Each factor as a table below the folder, by its name (U, S, V; pc, score; evec, eval)."""
+def write_factors(folder: str, *, text: bool = False, **factors: DataFrame) -> None:
+    """Each factor as a table below the folder, by its name (U, S, V; pc, score; evec, eval).
+
+    With `text`, a factor (id, x) is lines of signed numbers with six digits, in the order of ids.
+    """
     for name, df in factors.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        if text:
+            line = F.array_join(F.transform("x", lambda v: F.concat(F.when(v < 0, "").otherwise("+"), F.format_string("%.6f", v))), " ")
+            df.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+#: Number types by name, and their numpy codes.
+TYPES = {"double": "<f8", "single": "<f4", "int64": "<i8", "int32": "<i4"}
+
+
+def write_typed(points: DataFrame, folder: str, kind: str = "double") -> None:
+    """Rows (id, x) as a folder of binary records of one number type: row by row, with the ids beside."""
+    code = TYPES[kind]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["x"] = [np.asarray(x, np.float64).astype(code).tobytes() for x in b["x"]]
+            yield b
+
+    points.select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(pack, "id long, x binary").write.mode("overwrite").parquet(f"{folder}/{kind}")
+
+
+def read_typed(spark: SparkSession, folder: str, kind: str = "double") -> DataFrame:
+    code = TYPES[kind]
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["x"] = [np.frombuffer(x, code).astype(np.float64) for x in b["x"]]
+            yield b
+
+    return spark.read.parquet(f"{folder}/{kind}").mapInPandas(unpack, "id long, x array<double>")
