@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import stored
+
 
 def mean_vector(points: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """(…by, dim, mean): the mean of `x` in each dimension, weighted if asked."""
@@ -42,9 +44,36 @@ def variance(points: DataFrame) -> DataFrame:
 
 def variance_scale(points: DataFrame) -> DataFrame:
     """Each coordinate over its standard deviation, without centring; one without spread stays as it is."""
-    std = variance(points).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "std"))), lambda s: s["std"]).alias("std"))
-    scaled = F.zip_with("x", "std", lambda v, s: v / F.when(s > 0, s).otherwise(1.0))
-    return points.join(F.broadcast(std)).withColumn("x", scaled).drop("std")
+    return scaled_by(points, spreads(points), inverse=False)
+
+
+def spreads(points: DataFrame) -> DataFrame:
+    """One row (std): the factor of each dimension, 1 where there is no spread."""
+    one = F.transform(F.array_sort(F.collect_list(F.struct("dim", "std"))), lambda s: F.when(s["std"] > 0, s["std"]).otherwise(1.0))
+    return variance(points).agg(one.alias("std"))
+
+
+def scaled_by(points: DataFrame, factors: DataFrame, *, inverse: bool) -> DataFrame:
+    """Points over the factors of `spreads`, or times them: the inverse of the scaling."""
+    f = (lambda v, s: v * s) if inverse else (lambda v, s: v / s)
+    return points.join(F.broadcast(factors)).withColumn("x", F.zip_with("x", "std", f)).drop("std")
+
+
+def row_spread(points: DataFrame) -> DataFrame:
+    """(id, mean, std) of each row's own coordinates, with n - 1."""
+    n = F.size("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
+    rows = points.select("id", F.col("x").cast("array<double>").alias("x")).withColumn("mean", mean)
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))
+    return rows.select("id", "mean", F.when(n > 1, F.sqrt(square / (n - 1))).otherwise(0.0).alias("std"))
+
+
+def column_normalise(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with columns of unit length, and the lengths (dim, factor); a zero column stays as it is with factor 1."""
+    rows = points.select(F.posexplode("x").alias("dim", "v")).groupBy("dim").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    factors = rows.select("dim", F.when(F.col("n") > 0, F.col("n")).otherwise(1.0).alias("factor"))
+    one = factors.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "factor"))), lambda s: s["factor"]).alias("std"))
+    return scaled_by(points, one, inverse=False), factors
 
 
 def mode(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -69,12 +98,20 @@ def mode_with_fallback(df: DataFrame, by: str, value: str, groups: DataFrame) ->
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Element n // 2 of the sorted values: no averaging."""
+    """Element n // 2 of the sorted values: no averaging. Equal values are counted first, then ranges of values;
+    only the range that holds a group's median is sorted within the group, so that no task holds a large group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    parts = stored(counts.repartitionByRange(F.col(value), *by).withColumn("_part", F.spark_partition_id()), "median")
+    sizes = parts.groupBy(*by, "_part").agg(F.sum("_n").alias("_m"))
     w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *by, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n")
-    )
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("median"))
+    before = F.coalesce(F.sum("_m").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("_before", before).withColumn("_want", F.floor(F.sum("_m").over(w) / 2) + 1)
+    own = placed.where((F.col("_want") > F.col("_before")) & (F.col("_want") <= F.col("_before") + F.col("_m"))).drop("_m")
+    own = own.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)} | {"_part": "_place"})
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    inside = parts.join(own, [F.col("_part") == F.col("_place"), *same])
+    upto = F.sum("_n").over(w.orderBy(value)) + F.col("_before")
+    return inside.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_want")).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def histogram_bin(value: Column, edges: Sequence[float]) -> Column:
@@ -131,6 +168,12 @@ def tail(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
     return df.select(*by, value, F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
 
+def head(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
+    """The k least values of each group, by rank."""
+    w = Window.partitionBy(*by).orderBy(value)
+    return df.select(*by, value, F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
 def sparse_sum(coo: DataFrame, dimension: int) -> DataFrame:
     """Sums of (i, j, v): per column for 1, per row for 2."""
     key = "j" if dimension == 1 else "i"

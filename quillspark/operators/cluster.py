@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.vec import plane_residual, sqdist
+from quillspark.sources.files import stored
 
 from .aggregate import mean_vector
+from .rows import stacked, whole
 
 Plane = tuple[np.ndarray, np.ndarray]
 
@@ -119,7 +123,7 @@ def _group_sums(points: DataFrame, place, *, squares: bool = True, label: str |
         for b in batches:
             if not len(b):
                 continue
-            x = np.stack(b["x"].to_numpy())
+            x = stacked(b["x"])
             at = 0
             while at < len(x):
                 part = x[at : at + 2048]
@@ -136,7 +140,7 @@ def _group_sums(points: DataFrame, place, *, squares: bool = True, label: str |
             rows = [(k, n, [r, *s.tolist(), *(g.ravel().tolist() if squares else [])]) for k, (n, s, g, r) in total.items()]
             yield pd.DataFrame(rows, columns=["k", "n", "v"])
 
-    parts = points.select(*columns).mapInPandas(sums, "k int, n long, v array<double>").select("k", "n", F.posexplode("v").alias("at", "v"))
+    parts = whole(points).select(*columns).mapInPandas(sums, "k int, n long, v array<double>").select("k", "n", F.posexplode("v").alias("at", "v"))
     held: dict[int, dict] = {}
     for r in parts.groupBy("k", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         held.setdefault(r.k, {"n": r.n})[r.at] = r.v
@@ -230,7 +234,46 @@ def ksubspaces(points: DataFrame, dims: list[int], *, steps: int = 100, seed: in
     return kflats(points, dims, steps=steps, seed=seed, affine=False)
 
 
-def cluster_subspaces(bases: list[np.ndarray], k: int, *, steps: int = 100, seed: int = 1) -> tuple[list[int], list[np.ndarray]]:
+@dataclass
+class Subspaces:
+    """Linear flats, labelled rows, the root mean squared distance, the steps taken and how it ended: settled or steps."""
+
+    planes: dict[int, Plane]
+    labelled: DataFrame
+    error: float
+    steps: int
+    status: str
+
+
+def ksubspaces_restarted(points: DataFrame, dims: list[int], *, restarts: int = 5, steps: int = 50, angle: float = 1e-6, seed: int = 1) -> Subspaces:
+    """The best of several runs from random labels (the first from `label`, if there is one).
+
+    A run ends when no subspace turns by more than `angle` between two steps.
+    """
+    from .linalg import subspace_angle
+
+    best = None
+    given = "label" in points.columns
+    for run in range(restarts):
+        start = points if given and run == 0 else random_labels(points.drop("label"), len(dims), seed + run)
+        planes = group_planes(start, "label", dict(enumerate(dims)), affine=False)
+        status, step = "steps", 0
+        for step in range(1, steps + 1):  # noqa: B007  the last is reported
+            after, labelled = kflats(assign_planes(points.drop("label"), planes).withColumn("label", F.col("cluster")).drop("cluster", "dist"), dims, steps=1, affine=False)
+            turned = max((subspace_angle(planes[k][1].T, after[k][1].T) if k in planes else np.inf for k in after), default=0.0)
+            planes = after
+            if turned <= angle:
+                status = "settled"
+                break
+        labelled = _relabelled(points.drop("label"), planes)
+        error = assign_planes(points, planes).agg(F.avg("dist")).first()[0] or 0.0
+        found = Subspaces(planes, labelled, float(np.sqrt(error)), step, status)
+        if best is None or found.error < best.error:
+            best = found
+    return best
+
+
+def kmeans_subspaces(bases: list[np.ndarray], k: int, *, steps: int = 100, seed: int = 1) -> tuple[list[int], list[np.ndarray]]:
     """k-means of subspaces (orthonormal columns) by the angles to the span that fits a class best."""
     from .linalg import subspace_angle
 
@@ -250,32 +293,38 @@ def cluster_subspaces(bases: list[np.ndarray], k: int, *, steps: int = 100, seed
     return labels, centers
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, limit: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, limit: int = 60) -> DataFrame:
     """(id, component): the smallest id that can be reached over undirected edges (src, dst).
 
-    Labels spread and jump to their label's label, so that long chains settle in few steps; each step is
-    checkpointed to the shared folder where one is set.
+    Alternates large-star and small-star steps (Kiveris et al., 2014); each is written to the shared folder. Joins
+    on a node are salted by its neighbour, so that no node's edges meet in one task. Nodes without an edge (from
+    `nodes`, or with an edge to themselves alone) are their own component.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    ids = both.select(F.col("src").alias("id")).union(edges.select(F.col("src").alias("id"))).union(edges.select(F.col("dst").alias("id")))
-    if nodes is not None:
-        ids = ids.union(nodes.select("id"))
-    now = _cut(ids.distinct().withColumn("component", F.col("id")))
-    both = _cut(both)
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    ids = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+    ids = (ids.union(nodes.select("id")) if nodes is not None else ids).distinct()
+    now = stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     for _ in range(limit):
-        near = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "id")
-        spread = now.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = spread.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        after = _cut(spread.join(jump, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("component"), F.col("component").alias("old")))
-        changed = not after.where("component <> old").isEmpty()
-        now = after.drop("old")
-        if not changed:
-            return now
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _salted(both.where("v > u"), low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _salted(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, after))
+        now = after
+        if tuple(a) == tuple(b):
+            found = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+            return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     raise RuntimeError("components have not settled")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage where the cluster names a checkpoint folder; else keep the rows in memory."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+#: Ways a node's edges are spread over.
+SALTS = 8
+
+
+def _salted(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Rows (u, v) with the one value m of their u, joined by u and a part of v."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    every = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return spread.join(every, ["u", "_salt"]).drop("_salt")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import stored
+
+from .select import numbered
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
@@ -31,6 +35,11 @@ def condensation(edges: DataFrame, component: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+def stored_step(df: DataFrame) -> DataFrame:
+    """One step's result, written: lineage doesn't grow with the steps."""
+    return stored(df, "graph")
+
+
 def levels(edges: DataFrame, start: int, *, limit: int = 100) -> DataFrame:
     """(id, level): steps of a breadth-first search from `start` over directed edges."""
     spark = edges.sparkSession
@@ -38,7 +47,8 @@ def levels(edges: DataFrame, start: int, *, limit: int = 100) -> DataFrame:
     front = seen
     for step in range(1, limit):
         reached = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        front = reached.join(seen, "id", "left_anti").withColumn("level", F.lit(step)).cache()
+        front = reached.join(seen, "id", "left_anti").withColumn("level", F.lit(step))
+        front = stored_step(front)
         if front.isEmpty():
             return seen
         seen = seen.union(front)
@@ -51,7 +61,8 @@ def topological_order(edges: DataFrame, *, limit: int = 1000) -> DataFrame:
     now = nodes.withColumn("level", F.lit(0))
     for _ in range(min(limit, nodes.count() + 1)):
         far = edges.join(now.withColumnRenamed("id", "src"), "src").groupBy("dst").agg((F.max("level") + 1).alias("l")).withColumnRenamed("dst", "id")
-        after = now.join(far, "id", "left").select("id", F.coalesce("l", F.lit(0)).alias("level"), F.col("level").alias("old")).cache()
+        after = now.join(far, "id", "left").select("id", F.coalesce("l", F.lit(0)).alias("level"), F.col("level").alias("old"))
+        after = stored_step(after)
         changed = not after.where("level <> old").isEmpty()
         now = after.drop("old")
         if not changed:
@@ -137,8 +148,8 @@ def wavefront(edges: DataFrame) -> DataFrame:
     first = both.groupBy("dst").agg(F.min("src").alias("first")).select(F.col("dst").alias("id"), F.least("first", "dst").alias("first"))
     opened = first.groupBy(F.col("first").alias("i")).agg(F.count("*").alias("opened"))
     rows = first.select(F.col("id").alias("i")).join(opened, "i", "left").select("i", F.coalesce("opened", F.lit(0)).alias("opened"))
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("i", (F.sum("opened").over(w) - F.row_number().over(Window.orderBy("i")) + 1).alias("wavefront"))
+    placed = numbered(numbered(rows, ["i"], "before", weight="opened"), ["i"], "place")
+    return placed.select("i", (F.col("before") + F.col("opened") - F.col("place")).alias("wavefront"))
 
 
 def connected(edges: DataFrame, a: int, b: int) -> bool:
@@ -153,9 +164,9 @@ def eccentricity(edges: DataFrame, start: int) -> int:
 
 def connecting_edges(component: DataFrame) -> DataFrame:
     """Edges that join all components (id, component) in a row, by their smallest nodes."""
-    roots = component.select("component").distinct()
-    pairs = roots.select(F.col("component").alias("src"), F.lead("component").over(Window.orderBy("component")).alias("dst"))
-    return pairs.where("dst IS NOT NULL")
+    roots = numbered(component.select("component").distinct(), ["component"], "n")
+    after = roots.select((F.col("n") - 1).alias("n"), F.col("component").alias("dst"))
+    return roots.join(after, "n").select(F.col("component").alias("src"), "dst")
 
 
 def flow_cost(edges: DataFrame) -> DataFrame:
@@ -173,7 +184,7 @@ def shortest_paths(edges: DataFrame, start: int, *, limit: int = 1000) -> DataFr
     """(id, dist) from `start` over edges (src, dst, w) with weights of 0 or more."""
     now = edges.sparkSession.createDataFrame([(start, 0.0)], "id long, dist double")
     for _ in range(limit):
-        after = relax(now, edges).cache()
+        after = stored_step(relax(now, edges))
         if after.exceptAll(now).isEmpty():
             return after
         now = after
@@ -182,7 +193,7 @@ def shortest_paths(edges: DataFrame, start: int, *, limit: int = 1000) -> DataFr
 
 def minimum_spanning_forest(edges: DataFrame, *, limit: int = 40) -> DataFrame:
     """The edges (src, dst, w) of least total weight that keep components: each round, every component takes its lightest edge."""
-    from .cluster import _cut, connected_components
+    from .cluster import connected_components
 
     edges = edges.where("src <> dst")
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -192,10 +203,10 @@ def minimum_spanning_forest(edges: DataFrame, *, limit: int = 40) -> DataFrame:
         both = tagged.select("a", "src", "dst", "w").union(tagged.select("b", "src", "dst", "w"))
         key = F.struct("w", F.least("src", "dst"), F.greatest("src", "dst"))
         light = both.groupBy("a").agg(F.min_by(F.struct("src", "dst", "w"), key).alias("e")).select("e.*").distinct()
-        light = _cut(light)
+        light = stored_step(light)
         if light.isEmpty():
             return chosen
-        chosen = _cut(chosen.unionByName(light).distinct())
+        chosen = stored_step(chosen.unionByName(light).distinct())
         own = connected_components(chosen, nodes)
     raise RuntimeError("the forest has not settled")
 

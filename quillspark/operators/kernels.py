@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .neighbors import _cells, knn
+from quillspark.functions import vec
+
+from .neighbors import _cells, _squares, knn
+from .rows import stacked, whole
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -58,12 +63,12 @@ def _sums(queries: DataFrame, points: DataFrame, kernel: Kernel, value: str | No
     def work(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"q": [], "w": [], "wy": []})
-        all_, ids = np.stack(c["x"].to_numpy()), c["i"].to_numpy()
+        all_, ids = stacked(c["x"]), c["i"].to_numpy()
         x, y = all_[:, :width], all_[:, width:]
         out, step = [], max(1, (1 << 22) // max(1, x.size))
         for at in range(0, len(q), step):
             part = q.iloc[at : at + step]
-            d2 = ((np.stack(part["x"].to_numpy())[:, None] - x[None]) ** 2).sum(axis=2)
+            d2 = _squares(stacked(part["x"]), x)
             w = kernel(d2)
             if cut is not None:
                 w = np.where(d2 <= cut * cut, w, 0.0)
@@ -118,6 +123,106 @@ def local_linear(queries: DataFrame, points: DataFrame, k: int, s: float, value:
     return near.groupBy("q").applyInPandas(fit, "q long, y double, slope array<double>, error double")
 
 
+@dataclass(frozen=True)
+class Radial:
+    """A kernel of the distance with its derivatives: by the point (`gradient`) and by its scale (`by_scale`)."""
+
+    value: Callable[[Column], Column]
+    slope: Callable[[Column], Column]  # of the kernel by the squared distance
+    by_scale: Callable[[Column], Column]
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return self.value(vec.sqdist(a, b))
+
+    def gradient(self, a: Column, b: Column) -> Column:
+        """By a's coordinates."""
+        return vec.scale(vec.subtract(a, b), 2 * self.slope(vec.sqdist(a, b)))
+
+
+def radial(kind: str, s: float, dim: int = 1) -> Radial:
+    """gaussian, epanechnikov, triangle or triweight with scale s."""
+    inside = lambda d, v: F.when(d <= s * s, v).otherwise(0.0)
+    root = lambda d: F.when(d > 0, F.sqrt(d)).otherwise(1e-300)
+    u = lambda d: 1 - d / (s * s)
+    c = 0.75**dim
+    return {
+        "gaussian": Radial(lambda d: vec.gaussian(d, s), lambda d: -vec.gaussian(d, s) / (2 * s * s), lambda d: vec.gaussian(d, s) * d / s**3),
+        "epanechnikov": Radial(lambda d: vec.epanechnikov(d, s, dim), lambda d: inside(d, F.lit(-c / (s * s))), lambda d: inside(d, 2 * c * d / s**3)),
+        "triangle": Radial(lambda d: vec.triangle(d, s), lambda d: inside(d, -1 / (2 * s * root(d))), lambda d: inside(d, F.sqrt(d) / (s * s))),
+        "triweight": Radial(lambda d: vec.triweight(d, s), lambda d: inside(d, -3 * u(d) * u(d) / (s * s)), lambda d: inside(d, 6 * u(d) * u(d) * d / s**3)),
+    }[kind]
+
+
+def interpolator(points: DataFrame, s: float, value: str, *, ridge: float = 0.0, most: int = 4000) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives (q, y) for queries: Gaussian sums through the points' values.
+
+    The weights solve the points' kernel matrix, which is on the driver: more than `most` points are refused.
+    """
+    rows = whole(points).select("id", F.col("x").cast("array<double>").alias("x"), F.col(value).cast("double").alias("y")).orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"interpolation holds all pairs: at most {most} points")
+    x = np.array([r.x for r in rows])
+    d2 = _squares(x, x)
+    weights = np.linalg.solve(np.exp(-d2 / (2 * s * s)) + ridge * np.eye(len(x)), np.array([r.y for r in rows]))
+    spark = points.sparkSession
+    table = spark.createDataFrame([(r.id, r.x, [float(w)]) for r, w in zip(rows, weights, strict=True)], "id long, x array<double>, w array<double>")
+
+    def ask(queries: DataFrame) -> DataFrame:
+        return _sums(queries, table, gaussian(s), "w", False, None).select("q", F.get("wy", F.lit(0)).alias("y"))
+
+    return ask
+
+
+def project(queries: DataFrame, points: DataFrame, k: int, s: float) -> DataFrame:
+    """(q, y): each query moved to the kernel-weighted mean of its k nearest points."""
+    near = knn(queries, points, k).join(points.select(F.col("id").alias("i"), F.col("x").cast("array<double>").alias("x")), "i")
+    w = F.exp(-F.col("dist") * F.col("dist") / (2 * s * s))
+    flat = near.select("q", w.alias("w"), F.posexplode("x").alias("dim", "v")).groupBy("q", "dim").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    return flat.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda r: r["m"]).alias("y"))
+
+
+def tangent_project(queries: DataFrame, points: DataFrame, k: int, dim: int) -> DataFrame:
+    """(q, y): each query moved to the plane of `dim` directions that fits its k nearest points."""
+    near = knn(queries, points, k).join(points.select(F.col("id").alias("i"), F.col("x").cast("array<double>").alias("x")), "i")
+    near = near.join(queries.select(F.col("id").alias("q"), F.col("x").cast("array<double>").alias("_q")), "q")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, q = stacked(pdf["x"]), np.asarray(pdf["_q"].iloc[0])
+        mean = x.mean(axis=0)
+        basis = np.linalg.svd(x - mean, full_matrices=False)[2][:dim]
+        return pd.DataFrame({"q": [pdf["q"].iloc[0]], "y": [(mean + (q - mean) @ basis.T @ basis).tolist()]})
+
+    return near.groupBy("q").applyInPandas(fit, "q long, y array<double>")
+
+
+def conditional_columns(points: DataFrame, target: int, *, weight: str | None = None) -> DataFrame:
+    """(id, expected, variance, density): one coordinate given the others, under the Gaussian of all (weighted) points.
+
+    Mean and covariance are summed inside each partition; each row is then an expression of its own. The variance
+    is 1e-8 at least.
+    """
+    from .linalg import partial_moments
+
+    sums = partial_moments(points, weight).groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sw", "sa", "sb", "ab"))).collect()
+    d = max(r.i for r in sums) + 1
+    mean, c = np.zeros(d), np.zeros((d, d))
+    for r in sums:
+        mean[r.i] = r.sa / r.sw
+        c[r.i, r.j] = (r.ab - r.sa * r.sb / r.sw) / (r.sw if weight else r.n - 1)
+    others = [i for i in range(d) if i != target]
+    try:
+        beta = np.linalg.solve(c[np.ix_(others, others)], c[others, target])
+    except np.linalg.LinAlgError:
+        beta = np.zeros(len(others))
+    variance = float(max(c[target, target] - beta @ c[others, target], 1e-8))
+    expected = F.lit(float(mean[target]))
+    for i, b in zip(others, beta, strict=True):
+        expected = expected + float(b) * (F.get("x", F.lit(i)) - float(mean[i]))
+    rest = F.get("x", F.lit(target)) - F.col("expected")
+    rows = whole(points).select("id", F.col("x").cast("array<double>").alias("x")).withColumn("expected", expected)
+    return rows.select("id", "expected", F.lit(variance).alias("variance"), (F.exp(-rest * rest / (2 * variance)) / math.sqrt(2 * math.pi * variance)).alias("density"))
+
+
 def conditional_gaussian(mean: np.ndarray, covariance: np.ndarray, target: int, rest: np.ndarray) -> tuple[float, float]:
     """Expectation and variance of one coordinate given the others; the variance is 1e-8 at least."""
     others = [i for i in range(len(mean)) if i != target]

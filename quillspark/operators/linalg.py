@@ -10,17 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import stacked, whole
+
 
 def partial_moments(points: DataFrame, weight: str | None = None) -> DataFrame:
     """Per partition and pair of dimensions: n, and the sums of w, w*a, w*b, w*a*b."""
-    rows = points.select(F.col("x").cast("array<double>").alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = whole(points).select(F.col("x").cast("array<double>").alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, sw, sa, ab = 0, 0.0, None, None
         for b in batches:
             if not len(b):
                 continue
-            x, w = np.stack(b["x"].to_numpy()), b["w"].to_numpy()
+            x, w = stacked(b["x"]), b["w"].to_numpy()
             if sa is None:
                 sa, ab = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
             n, sw = n + len(x), sw + w.sum()
@@ -60,22 +62,181 @@ class Factors:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    b["x"] = list((np.stack(b["x"].to_numpy()) - mean) @ v)
+                    b["x"] = list((stacked(b["x"]) - mean) @ v)
                     yield b
 
-        return points.select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(run, "id long, x array<double>")
+        return whole(points).select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(run, "id long, x array<double>")
+
+
+#: Triangles that one task or the driver joins.
+FAN = 32
+
+
+def triangle(points: DataFrame, mean: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """Rows, and the triangle R of a QR decomposition of all rows less `mean`.
+
+    Each partition keeps a triangle of the width; triangles are joined FAN at a time until the driver can take them.
+    """
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        n, r = 0, None
+        for b in batches:
+            if len(b):
+                x = stacked(b["x"])
+                x = x if mean is None else x - mean
+                n += len(x)
+                r = np.linalg.qr(x if r is None else np.concatenate((r, x)), mode="r")
+        if r is not None:
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "n": [n], "width": [r.shape[1]], "r": [r.ravel()]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.concatenate([x.reshape(-1, w) for x, w in zip(pdf["r"], pdf["width"], strict=True)]), mode="r")
+        return pd.DataFrame({"at": [int(pdf["at"].iloc[0]) // FAN], "n": [int(pdf["n"].sum())], "width": [r.shape[1]], "r": [r.ravel()]})
+
+    kind = "at long, n long, width int, r array<double>"
+    rows = whole(points).select(F.col("x").cast("array<double>").alias("x"))
+    many, parts = rows.rdd.getNumPartitions(), rows.mapInPandas(own, kind)
+    while many > FAN:
+        parts = parts.groupBy(F.floor(F.col("at") / FAN)).applyInPandas(joined, kind)
+        many = -(-many // FAN)
+    found = parts.collect()
+    if not found:
+        return 0, np.zeros((0, 0))
+    return sum(r.n for r in found), np.linalg.qr(np.concatenate([np.array(r.r).reshape(-1, r.width) for r in found]), mode="r")
 
 
 def svd(points: DataFrame, k: int | None = None, *, center: bool = False, cut: float = 0.0) -> Factors:
-    """Truncated SVD of a tall matrix by its Gram matrix; singular values up to `cut` times the first are left out."""
-    n, mean, g = gram(points)
-    mean = mean if center else np.zeros_like(mean)
-    g = g - n * np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(g)
-    s, v = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
+    """Truncated SVD of a tall matrix by its triangle; singular values up to `cut` times the first are left out.
+
+    Small singular values are as exact as the rows allow: nothing is squared.
+    """
+    mean = gram_mean(points) if center else None
+    _, r = triangle(points, mean)
+    _, s, vt = np.linalg.svd(r, full_matrices=False)
     keep = s > cut * s[0] if cut and len(s) else np.ones(len(s), bool)
-    k = min(k or len(s), int(keep.sum()), n)
-    return Factors(s[:k], v[:, :k], mean)
+    k = min(k or len(s), int(keep.sum()))
+    return Factors(s[:k], vt[:k].T, mean if center and mean is not None else np.zeros(vt.shape[1]))
+
+
+def gram_mean(points: DataFrame) -> np.ndarray | None:
+    """The mean of the rows, None without any."""
+    from .aggregate import mean_vector
+
+    rows = mean_vector(whole(points).withColumn("x", F.col("x").cast("array<double>"))).orderBy("dim").collect()
+    return np.array([r["mean"] for r in rows]) if rows else None
+
+
+def jacobi_svd(matrix: np.ndarray, *, sweeps: int = 60, eps: float = 1e-14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """U, S and V of a small matrix by one-sided rotations of its columns, to compare other methods with."""
+    u, v = matrix.astype(float).copy(), np.eye(matrix.shape[1])
+    for _ in range(sweeps):
+        turned = False
+        for p in range(u.shape[1] - 1):
+            for q in range(p + 1, u.shape[1]):
+                a, b, c = u[:, p] @ u[:, p], u[:, q] @ u[:, q], u[:, p] @ u[:, q]
+                if abs(c) <= eps * np.sqrt(a * b):
+                    continue
+                turned = True
+                zeta = (b - a) / (2 * c)
+                t = (1.0 if zeta >= 0 else -1.0) / (abs(zeta) + np.hypot(1, zeta))
+                cos = 1 / np.hypot(1, t)
+                turn = np.array([[cos, cos * t], [-cos * t, cos]])
+                u[:, [p, q]], v[:, [p, q]] = u[:, [p, q]] @ turn, v[:, [p, q]] @ turn
+        if not turned:
+            break
+    s = np.linalg.norm(u, axis=0)
+    order = np.argsort(-s)
+    return u[:, order] / np.where(s[order] > 0, s[order], 1), s[order], v[:, order]
+
+
+@dataclass
+class SparseFactors:
+    """U (i, x), V (j, x) with one coordinate per singular value, and S; U and V are written tables."""
+
+    u: DataFrame
+    s: np.ndarray
+    v: DataFrame
+
+    def coordinates(self, side: str = "i") -> DataFrame:
+        """(id, x): the rows' (or columns') coordinates, U or V times the singular values."""
+        own, scale = (self.u, "i") if side == "i" else (self.v, "j"), F.array(*(F.lit(float(x)) for x in self.s))
+        return own[0].select(F.col(own[1]).alias("id"), F.zip_with("x", scale, lambda a, b: a * b).alias("x"))
+
+
+def sparse_factors(entries: DataFrame, k: int, *, extra: int = 8, power: int = 3, seed: int = 7) -> SparseFactors:
+    """The k first singular triples of a sparse matrix (i, j, v) by subspace iteration; any number of rows and columns.
+
+    Blocks of k + extra vectors are tables by row and by column; a pass joins them with the entries and sums by
+    the other side, with sums inside each partition first. Only matrices of that size reach the driver. Vectors
+    are made orthonormal by their Gram matrix, twice. Repeated entries add up; a rank below k gives fewer.
+    """
+    from quillspark.sources.files import shared_folder
+
+    spark = entries.sparkSession
+    where, count = shared_folder(spark, "factors"), iter(range(1 << 30))
+    held = entries.where("v IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{where}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    held = keep(held)
+    width = k + extra
+
+    def times(block: DataFrame, by: str, to: str, n: int) -> DataFrame:
+        """The matrix (or its transpose) times a block (by, x): (to, x)."""
+        parts = [F.sum(F.col("v") * F.get("x", F.lit(c))).alias(f"c{c}") for c in range(n)]
+        return held.join(block, by).groupBy(to).agg(*parts).select(to, F.array(*(f"c{c}" for c in range(n))).alias("x"))
+
+    def turned(block: DataFrame, by: str, m: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    b["x"] = list(np.stack(b["x"].to_numpy()) @ m)
+                    yield b
+
+        return block.mapInPandas(run, f"{by} long, x array<double>")
+
+    def gram_of(block: DataFrame, by: str, n: int) -> np.ndarray:
+        g = _sketch(block.withColumnRenamed(by, "id"), lambda ids, x: x.T @ x, n)
+        return g if len(g) else np.zeros((n, n))
+
+    def orthonormal(block: DataFrame, by: str, n: int, times_: int = 1) -> tuple[DataFrame, int]:
+        for _ in range(times_):
+            block = keep(block)
+            values, vectors = np.linalg.eigh(gram_of(block, by, n))
+            stay = values > 1e-12 * max(values.max(initial=0), 1e-300)
+            if not stay.any():
+                return block, 0
+            block, n = turned(block, by, vectors[:, stay] / np.sqrt(values[stay])), int(stay.sum())
+        return block, n
+
+    # independent normal numbers of each column's number
+    draw = lambda c: F.sqrt(-2 * F.log(_uniform("j", seed, 2 * c))) * F.cos(2 * np.pi * _uniform("j", seed, 2 * c + 1))
+    start = held.select("j").distinct().select("j", F.array(*(draw(c) for c in range(width))).alias("x"))
+    q, n = orthonormal(times(start, "j", "i", width), "i", width, 2 if not power else 1)
+    for step in range(power):
+        if n:
+            z, n = orthonormal(times(q, "i", "j", n), "j", n)
+            q, n = orthonormal(times(z, "j", "i", n), "i", n, 2 if step == power - 1 else 1)
+    if not n:
+        empty = spark.createDataFrame([], "i long, x array<double>")
+        return SparseFactors(empty, np.zeros(0), empty.withColumnRenamed("i", "j"))
+    q = keep(q)
+    b = keep(times(q, "i", "j", n))
+    values, vectors = np.linalg.eigh(gram_of(b, "j", n))
+    order = np.argsort(-values)
+    order = order[values[order] > 1e-20 * max(values.max(), 1e-300)][:k]
+    s = np.sqrt(values[order])
+    return SparseFactors(keep(turned(q, "i", vectors[:, order])), s, keep(turned(b, "j", vectors[:, order] / s)))
+
+
+def _uniform(key: str, seed: int, draw: int):
+    """Between 0 and 1, both left out, by a hash of the key."""
+    return (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(draw)), F.lit(1 << 50)) + 0.5) / float(1 << 50)
 
 
 def pca_downsample(points: DataFrame, threshold: float) -> DataFrame:
@@ -116,13 +277,13 @@ def _sketch(points: DataFrame, what, width: int) -> np.ndarray:
         out = None
         for b in batches:
             if len(b):
-                part = what(b["id"].to_numpy(), np.stack(b["x"].to_numpy()))
+                part = what(b["id"].to_numpy(), stacked(b["x"]))
                 out = part if out is None else out + part
         if out is not None:
             i, j = np.indices(out.shape).reshape(2, -1)
             yield pd.DataFrame({"i": i, "j": j, "v": out.ravel()})
 
-    rows = points.select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(run, "i int, j int, v double")
+    rows = whole(points).select("id", F.col("x").cast("array<double>").alias("x")).mapInPandas(run, "i int, j int, v double")
     rows = rows.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     out = np.zeros((max((r.i for r in rows), default=-1) + 1, width))
     for r in rows:
@@ -154,6 +315,51 @@ def randomised_svd(points: DataFrame, k: int, *, extra: int = 8, power: int = 2,
     return Factors(np.sqrt(np.maximum(values[order], 0)), y @ vectors[:, order], np.zeros(len(y)))
 
 
+def double_sided_svd(points: DataFrame, k: int, *, extra: int = 8, seed: int = 7) -> Factors:
+    """SVD by sketches of both sides: rows are cut to the span of A'O, and their products with random combinations
+    of those columns give the other side, in which a small core is decomposed. Two passes over the rows."""
+    width = k + extra
+
+    def draw(ids: np.ndarray) -> np.ndarray:
+        return np.stack([np.random.default_rng((seed, int(i) & ((1 << 63) - 1))).standard_normal(width) for i in ids])
+
+    y = _orthonormal(_sketch(points, lambda ids, x: x.T @ draw(ids), width))
+    n = y.shape[1]
+    if not n:
+        return Factors(np.zeros(0), np.zeros((len(y), 0)), np.zeros(len(y)))
+    mixed = np.random.default_rng(seed + 1).standard_normal((n, n))
+    cut = Factors(np.ones(n), y, np.zeros(len(y))).coordinates(points)
+    # B = A Y and Z = B P share a triangle: that of [Z B]
+    both = Factors(np.ones(2 * n), np.concatenate((mixed, np.eye(n)), axis=1), np.zeros(n)).coordinates(cut)
+    r = triangle(both)[1]
+    z, b = r[:, :n], r[:, n:]
+    core = _orthonormal(z, 1e-12).T @ b
+    _, s, vt = np.linalg.svd(core, full_matrices=False)
+    return Factors(s[:k], y @ vt[:k].T, np.zeros(len(y)))
+
+
+def symmetric_sketch(rows: DataFrame, k: int, *, extra: int = 8, power: int = 1, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of greatest size, and vectors (columns), of a symmetric matrix whose rows are (id, x) with ids 0, 1, ...
+
+    The range of A O is taken on both sides: Q'AQ is decomposed. Bounded by the width.
+    """
+    width = k + extra
+    test = np.random.default_rng(seed).standard_normal((rows.select(F.size("x")).first()[0], width))
+    q = _orthonormal(_sketch(rows, lambda ids, x: _scatter(ids, x @ test, len(test)), width), 1e-10)
+    for _ in range(power):
+        q = _orthonormal(_sketch(rows, lambda ids, x, q=q: _scatter(ids, x @ q, len(test)), q.shape[1]), 1e-10)
+    core = _sketch(rows, lambda ids, x: q[ids].T @ (x @ q), q.shape[1])
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    order = np.argsort(-np.abs(values))[:k]
+    return values[order], q @ vectors[:, order]
+
+
+def _scatter(ids: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, block.shape[1]))
+    out[ids] = block
+    return out
+
+
 def symmetric_eigen(matrix: np.ndarray, low: int | None = None, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, ascending, and vectors; those from index `low` to `high` if given."""
     values, vectors = np.linalg.eigh(matrix)
@@ -169,6 +375,17 @@ def metric_mds(distances: np.ndarray, k: int) -> np.ndarray:
     return vectors[:, order] * np.sqrt(np.abs(values[order]))
 
 
+def mds(points: DataFrame, k: int, most: int = 4000) -> DataFrame:
+    """(id, x): coordinates by all pairs' distances. All pairs are on the driver: more than `most` points are refused."""
+    rows = whole(points).select("id", F.col("x").cast("array<double>").alias("x")).orderBy("id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"mds holds all pairs: at most {most} points")
+    x = np.array([r.x for r in rows])
+    square = (x * x).sum(axis=1)
+    y = metric_mds(np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0)), k)
+    return points.sparkSession.createDataFrame([(r.id, [float(v) for v in row]) for r, row in zip(rows, y, strict=True)], "id long, x array<double>")
+
+
 def shortest_paths(weights: np.ndarray) -> np.ndarray:
     """All-pairs shortest paths of a dense matrix of edge lengths (inf: none)."""
     d = weights.copy()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .select import numbered
+
 
 def sparse(entries: DataFrame) -> DataFrame:
     """Entries with equal places added up."""
@@ -68,8 +70,7 @@ def is_symmetric(entries: DataFrame) -> DataFrame:
 def compressed_columns(entries: DataFrame) -> DataFrame:
     """(j, start, rows, values): each column's entries in row order, and how many come before it."""
     columns = entries.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"))
-    before = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    counts = columns.select("j", F.size("e").cast("long").alias("n")).select("j", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    counts = numbered(columns.select("j", F.size("e").cast("long").alias("n")), ["j"], "start", weight="n").select("j", "start")
     return columns.join(counts, "j").select("j", "start", F.transform("e", lambda x: x["i"]).alias("rows"), F.transform("e", lambda x: x["v"]).alias("values"))
 
 

@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import stored
+
 from .cluster import Plane, assign_planes, group_planes, kmeans
-from .neighbors import knn
+from .neighbors import farthest, knn
+from .rows import stacked, whole
 
 
 @dataclass
@@ -28,21 +31,31 @@ class Options:
     normalise_u: bool = True
     seed_type: str = "farthest"
     seed: int = 7
+    dimension_limit: int | None = None  # a hard bound of dmax
+    discard_rows: tuple[int, ...] = ()
+    discard_columns: tuple[int, ...] = ()
 
     def settled(self, points: DataFrame) -> Options:
         """All values set."""
         width = points.select(F.size("x")).first()[0]
-        return Options(**{**self.__dict__, "n0": self.n0 or 20 * (self.k or self.kmax), "dmax": self.dmax or max(1, width - 1)})
+        dmax = min(self.dmax or max(1, width - 1), self.dimension_limit or width)
+        return Options(**{**self.__dict__, "n0": self.n0 or 20 * (self.k or self.kmax), "dmax": dmax})
 
 
 def plane_distances(points: DataFrame, planes: dict[int, Plane]) -> DataFrame:
     """(id, cluster, dist): the squared distance of every point to every plane."""
-    from quillspark.functions.vec import plane_residual
+    keys = sorted(planes)
 
-    from .cluster import _literal, _nested
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
+                x = stacked(part["x"])
+                far = [((y := x - planes[k][0]) ** 2).sum(axis=1) - ((y @ planes[k][1].T) ** 2).sum(axis=1) for k in keys]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), len(keys)), "cluster": np.tile(keys, len(part)), "dist": np.maximum(np.stack(far, axis=1), 0).ravel()})
 
-    rows = [F.struct(F.lit(int(k)).alias("cluster"), plane_residual(F.col("x"), _literal(c), _nested(b)).alias("dist")) for k, (c, b) in sorted(planes.items())]
-    return points.select("id", F.explode(F.array(*rows)).alias("p")).select("id", "p.cluster", "p.dist")
+    rows = whole(points).select("id", F.col("x").cast("array<double>").alias("x"))
+    return rows.mapInPandas(run, "id long, cluster int, dist double") if keys else rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist")).limit(0)
 
 
 def l2_error(points: DataFrame, planes: dict[int, Plane], dims: dict[int, int], *, label: str = "label") -> float:
@@ -95,7 +108,7 @@ class LocalPlanes:
     seeds: list[int] = field(default_factory=list)
     dims: list[int] = field(default_factory=list)
     scales: list[tuple[int, int]] = field(default_factory=list)
-    regions: list[list[int]] = field(default_factory=list)
+    regions: list[tuple[int, float]] = field(default_factory=list)  # points, and the sum of their squared distances to the plane
     planes: list[Plane] = field(default_factory=list)
 
 
@@ -114,39 +127,42 @@ def local_svd(points: DataFrame, options: Options) -> LocalPlanes:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["dist", "i"])
-        x = np.stack(pdf["x"].to_numpy())
+        x = stacked(pdf["x"])
         sizes = np.unique(np.linspace(least, len(x), scales).astype(int))
         spectra = np.array([np.linalg.svd(x[:m] - x[:m].mean(axis=0), compute_uv=False)[: min(least - 1, width)] / np.sqrt(m) for m in sizes])
         dim, low, high = estimate_dimension(pdf["dist"].to_numpy()[sizes - 1], spectra, alpha0, dmax)
         own = x[: sizes[high]]
         center = own.mean(axis=0)
         basis = np.linalg.svd(own - center, full_matrices=False)[2][:dim]
+        # the region's squared distances to its plane: only their sum goes on
+        rest = ((own - center) ** 2).sum() - (((own - center) @ basis.T) ** 2).sum()
         return pd.DataFrame(
-            {"q": [pdf["q"].iloc[0]], "dim": [dim], "low": [low], "high": [high], "region": [pdf["i"].iloc[: sizes[high]].tolist()], "center": [center.tolist()], "basis": [basis.ravel().tolist()]}
+            {"q": [pdf["q"].iloc[0]], "dim": [dim], "low": [low], "high": [high], "size": [int(sizes[high])], "rest": [max(float(rest), 0.0)], "center": [center.tolist()], "basis": [basis.ravel().tolist()]}
         )
 
-    schema = "q long, dim int, low int, high int, region array<long>, center array<double>, basis array<double>"
+    schema = "q long, dim int, low int, high int, size long, rest double, center array<double>, basis array<double>"
     out = LocalPlanes()
     for r in near.groupBy("q").applyInPandas(fit, schema).orderBy("q").collect():
         out.seeds.append(r.q)
         out.dims.append(r.dim)
         out.scales.append((r.low, r.high))
-        out.regions.append(list(r.region))
+        out.regions.append((r["size"], r.rest))
         out.planes.append((np.array(r.center), np.array(r.basis).reshape(r.dim, width)))
     return out
 
 
+def noise_scale(local: LocalPlanes) -> float:
+    """The mean squared distance of the regions' points to their planes."""
+    n = sum(m for m, _ in local.regions)
+    return max(sum(r for _, r in local.regions) / n if n else 0.0, 1e-12)
+
+
 def affinity_coordinates(points: DataFrame, local: LocalPlanes, k: int, *, normalise_u: bool = True) -> DataFrame:
     """Rows of the first k left singular vectors of exp(-dist² / (2 eps)) between points and local planes."""
     from .linalg import Factors, partial_moments
 
-    planes = dict(enumerate(local.planes))
+    planes, eps = dict(enumerate(local.planes)), noise_scale(local)
     dist = plane_distances(points, planes)
-    # the noise scale: the mean squared distance of the regions' points to their planes
-    members = points.sparkSession.createDataFrame(
-        [(int(i), c) for c, region in enumerate(local.regions) for i in region], "id long, cluster int"
-    )
-    eps = max(members.join(dist, ["id", "cluster"]).agg(F.avg("dist")).first()[0] or 0.0, 1e-12)
     rows = dist.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "dist"))), lambda s: F.exp(-s["dist"] / (2 * eps))).alias("x"))
     g = partial_moments(rows).groupBy("i", "j").agg(F.sum("ab").alias("ab")).collect()
     m = np.zeros((len(planes), len(planes)))
@@ -163,47 +179,84 @@ def affinity_coordinates(points: DataFrame, local: LocalPlanes, k: int, *, norma
     return u
 
 
-def arrange(points: DataFrame, options: Options | None = None) -> tuple[DataFrame, dict[int, int], float]:
-    """Labels (null: outlier), plane dimensions and model error of a plane arrangement.
+def cluster_rows(u: DataFrame, k: int, *, seed_type: str = "farthest") -> DataFrame:
+    """(id, label): clusters of the rows of U by k-means; one cluster needs no search."""
+    if k == 1:
+        return u.select("id", F.lit(0).alias("label"))
+    _, labelled = kmeans(u, k, init=seed_type)
+    return labelled.select("id", F.col("cluster").alias("label"))
+
 
-    Local planes around seeds give an affinity; its left singular vectors are clustered; dimensions are the
-    modes of the seeds' in each cluster; planes are fitted, points assigned to the nearest, and the error
-    chooses the number of planes where it isn't given. Outliers, if any, are the farthest points.
+@dataclass
+class Arrangement:
+    """Planes that were found: labelled rows (null: outlier), per plane its dimension, centre and basis (rows), the error, the
+    error for each number of planes that was tried, and the noise scale."""
+
+    labelled: DataFrame
+    dims: dict[int, int]
+    planes: dict[int, Plane]
+    error: float
+    errors: dict[int, float]
+    eps: float
+
+
+def spectral_analysis(points: DataFrame, local: LocalPlanes, k: int, options: Options) -> Arrangement:
+    """The arrangement of k planes: rows of U are clustered, dimensions are the modes of the seeds' in each cluster,
+    and planes are fitted and points assigned in turns while the distances fall."""
+    o = options
+    dims_of = dict(zip(local.seeds, local.dims, strict=True))
+    whole_dim = int(np.bincount(local.dims).argmax())
+    u = stored(affinity_coordinates(points, local, k, normalise_u=o.normalise_u), "rows-of-u") if k > 1 else points
+    now = points.join(cluster_rows(u, k, seed_type=o.seed_type), "id")
+    now = stored(now, "clusters")
+    own = now.where(F.col("id").isin(local.seeds)).select("id", "label").collect()
+    dims = {}
+    for c in range(k):
+        found = [dims_of[r.id] for r in own if r.label == c]
+        dims[c] = int(np.bincount(found).argmax()) if found else whole_dim
+    planes = group_planes(now, "label", dims)
+    labelled, error, used = now, None, planes
+    for _ in range(10):  # refit while the distances fall
+        placed = assign_planes(points, planes)
+        if o.outliers:
+            placed = farthest(placed, o.outliers).withColumn("label", F.when(~F.col("outlier"), F.col("cluster"))).drop("outlier")
+        else:
+            placed = placed.withColumn("label", F.col("cluster"))
+        total = placed.where("label IS NOT NULL").agg(F.sum(F.sqrt("dist"))).first()[0] or 0.0
+        if error is not None and total >= error * (1 - 1e-9):
+            break
+        labelled, error, used = placed.select("id", "x", "label"), total, planes
+        planes = planes | group_planes(labelled, "label", dims)
+    model = l2_error(labelled, planes, dims)
+    return Arrangement(labelled, dims, planes if labelled is not now else used, model, {k: model}, noise_scale(local))
+
+
+def arrangement(points: DataFrame, options: Options | None = None) -> Arrangement:
+    """Planes through the points, with all that the analysis finds.
+
+    Local planes around seeds give an affinity; `spectral_analysis` is done for the given number of planes or
+    for 1 up to kmax, where a further plane must halve the error. Outliers, if any, are the farthest points;
+    points in `discard_rows` and coordinates in `discard_columns` take no part.
     """
-    o = (options or Options()).settled(points)
-    points = points.select("id", F.col("x").cast("array<double>").alias("x"))
+    o = options or Options()
+    points = whole(points).select("id", F.col("x").cast("array<double>").alias("x"))
+    if o.discard_rows:
+        points = points.where(~F.col("id").isin([int(i) for i in o.discard_rows]))
+    if o.discard_columns:
+        points = points.withColumn("x", F.filter("x", lambda _, i: ~i.isin([int(c) for c in o.discard_columns])))
+    o = o.settled(points)
     local = local_svd(points, o)
-    dims_of = dict(zip(local.seeds, local.dims, strict=True))
-    whole = int(np.bincount(local.dims).argmax())
-    best = None
+    best, errors = None, {}
     for k in [o.k] if o.k else range(1, o.kmax + 1):
-        if k == 1:
-            now = points.withColumn("label", F.lit(0))
-        else:
-            u = affinity_coordinates(points, local, k, normalise_u=o.normalise_u).cache()
-            _, labelled = kmeans(u, k, init=o.seed_type)
-            now = points.join(labelled.select("id", F.col("cluster").alias("label")), "id").cache()
-        own = now.where(F.col("id").isin(local.seeds)).select("id", "label").collect()
-        dims = {}
-        for c in range(k):
-            found = [dims_of[r.id] for r in own if r.label == c]
-            dims[c] = int(np.bincount(found).argmax()) if found else whole
-        planes = group_planes(now, "label", dims)
-        labelled, error = now, None
-        for _ in range(10):  # refit while the distances fall
-            placed = assign_planes(points, planes)
-            if o.outliers:
-                far = placed.orderBy(F.desc("dist"), "id").limit(o.outliers).select("id", F.lit(True).alias("far"))
-                placed = placed.join(far, "id", "left").withColumn("label", F.when(F.col("far").isNull(), F.col("cluster"))).drop("far")
-            else:
-                placed = placed.withColumn("label", F.col("cluster"))
-            total = placed.where("label IS NOT NULL").agg(F.sum(F.sqrt("dist"))).first()[0] or 0.0
-            if error is not None and total >= error * (1 - 1e-9):
-                break
-            labelled, error = placed.select("id", "x", "label"), total
-            planes = planes | group_planes(labelled, "label", dims)
-        model = l2_error(labelled, planes, dims)
-        # a further plane must halve the error
-        if best is None or model < 0.5 * best[2]:
-            best = labelled, dims, model
+        now = spectral_analysis(points, local, k, o)
+        errors[k] = now.error
+        if best is None or now.error < 0.5 * best.error:
+            best = now
+    best.errors = errors
     return best
+
+
+def arrange(points: DataFrame, options: Options | None = None) -> tuple[DataFrame, dict[int, int], float]:
+    """Labels (null: outlier), plane dimensions and model error of `arrangement`."""
+    found = arrangement(points, options)
+    return found.labelled, found.dims, found.error

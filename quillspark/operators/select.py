@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import stored
+
 _COMPARE = {
     "gt": lambda a, b: a > b,
     "lt": lambda a, b: a < b,
@@ -24,16 +26,38 @@ def where_compare(df: DataFrame, column: str, op: str, value: float) -> DataFram
     return df.where(_COMPARE[op](F.col(column), F.lit(value)))
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of a column: the values at two places in its order for each.
+
+    Equal values are counted, ranges of values are summed, and only the ranges that hold a wanted place are
+    looked through: no task holds all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    parts = stored(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "quantiles")
+    sizes = sorted((r.p, r.n) for r in parts.groupBy("p").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None for _ in shares]
+    at = [q * (total - 1) for q in shares]
+    places = sorted({f for x in at for f in (int(x), min(int(x) + 1, total - 1))})
+    found, before = {}, 0
+    for p, n in sizes:
+        for place in (x for x in places if before <= x < before + n):
+            upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+            found[place] = parts.where(F.col("p") == p).withColumn("u", upto).where(F.col("u") > place - before).agg(F.min("v")).first()[0]
+        before += n
+    return [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, total - 1)] - found[int(x)]) for x in at]
+
+
 def above_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows strictly above the linearly interpolated quantile."""
-    cut = df.agg(F.percentile(column, F.lit(q)).alias("_cut"))
-    return df.join(F.broadcast(cut), F.col(column) > F.col("_cut")).drop("_cut")
+    return df.where(F.col(column) > F.lit(quantiles(df, column, [q])[0]))
 
 
 def quantile_segment(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows from the lower quantile up to, but without, the upper one."""
-    cut = df.agg(F.percentile(column, F.lit(low)).alias("_low"), F.percentile(column, F.lit(high)).alias("_high"))
-    return df.join(F.broadcast(cut), (F.col(column) >= F.col("_low")) & (F.col(column) < F.col("_high"))).drop("_low", "_high")
+    a, b = quantiles(df, column, [low, high])
+    return df.where((F.col(column) >= F.lit(a)) & (F.col(column) < F.lit(b)))
 
 
 def slice_rows(df: DataFrame, indices: DataFrame, key: str) -> DataFrame:
@@ -68,8 +92,19 @@ def unique_members(df: DataFrame, *arrays: str) -> DataFrame:
 
 def unique_rows(df: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
     """The distinct rows with the first position of each (ia) and a number in their order from 0 (ic)."""
-    found = df.groupBy(*columns).agg(F.min(position).alias("ia"))
-    return found.withColumn("ic", F.row_number().over(Window.orderBy(*columns)) - 1)
+    return numbered(df.groupBy(*columns).agg(F.min(position).alias("ia")), columns, "ic").withColumn("ic", F.col("ic").cast("int"))
+
+
+def unique_map(df: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
+    """Each row's position with the number of its distinct row (ic)."""
+    found = unique_rows(df, columns, position).drop("ia")
+    same = [df[c].eqNullSafe(found[c]) for c in columns]
+    return df.join(found, same).select(df[position], "ic")
+
+
+def sort_rows(df: DataFrame, columns: Sequence[str], *, descending: bool = False) -> DataFrame:
+    """`df` with each row's rank (from 0) in the order of the columns, counted by range."""
+    return numbered(df, columns, "rank", descending=descending)
 
 
 def sort_with_index(df: DataFrame, value: str, position: str, *, descending: bool = False) -> DataFrame:
@@ -77,14 +112,26 @@ def sort_with_index(df: DataFrame, value: str, position: str, *, descending: boo
 
     Ranks are counted per range partition, so that no task sorts all rows.
     """
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    parts = df.select(value, position).repartitionByRange(order, F.col(position)).sortWithinPartitions(order, F.col(position))
-    tagged = parts.withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(order, F.col(position))
-    tagged = tagged.withColumn("_own", F.row_number().over(own))
-    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(position).asc()]
+    return numbered(df.select(value, position), order, "rank").select("rank", value, F.col(position).alias("ix"))
+
+
+def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, *, descending: bool = False, weight: str | None = None) -> DataFrame:
+    """`rows` with their place (from 0) in the order of `order`: places within ranges, after the rows of the ranges before.
+
+    With `weight`, the sum of that column over the rows before instead of their number.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [k.desc() for k in keys] if descending else keys
+    # written, as ranges drawn anew could differ between the two uses
+    parts = stored(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    one = F.col(weight) if weight else F.lit(1)
+    upto = F.sum(one).over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = parts.groupBy("_part").agg(F.sum(one).alias("_n"))
+    # one row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return tagged.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_own") - 1).alias("rank"), value, F.col(position).alias("ix"))
+    found = parts.withColumn("_own", upto).join(F.broadcast(before.drop("_n")), "_part")
+    return found.withColumn(name, (F.col("_before") + F.col("_own") - one).cast("long")).drop("_part", "_own", "_before")
 
 
 def rand_sample(df: DataFrame, k: int, seed: int) -> DataFrame:

@@ -85,16 +85,30 @@ def integer_recovery(weights: DataFrame, value: str = "weight") -> DataFrame:
     return weights.join(least, "doc_id").select("doc_id", "term", F.round(F.col(value) / F.col("least")).cast("long").alias("tf"))
 
 
-def cosine_pairs(weights: DataFrame, value: str = "weight") -> DataFrame:
-    """Cosine similarity of the documents that share a term, by term: (a, b, cosine) with a < b.
-
-    The work is the sum of the squared document frequencies: drop common terms first.
-    """
+def unit_rows(weights: DataFrame, value: str = "weight") -> DataFrame:
+    """(doc_id, term, u): documents scaled to length 1; those without weight have no rows."""
     w = weights.where(F.col(value) != 0)
     length = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("n"))
-    unit = w.join(length, "doc_id").select("doc_id", "term", (F.col(value) / F.col("n")).alias("u"))
+    return w.join(length, "doc_id").select("doc_id", "term", (F.col(value) / F.col("n")).alias("u"))
+
+
+def cosine_pairs(weights: DataFrame, least: float, value: str = "weight") -> DataFrame:
+    """(a, b, cosine) with a < b of all documents whose cosine similarity is `least` (above 0) or more.
+
+    Terms are ordered from rare to common. A document's prefix ends where the rest of its unit vector is shorter
+    than `least`: two documents with nothing in common there can't reach it, as one's rest bounds their product.
+    So only prefixes meet, rare terms first, and pairs that do are computed in full.
+    """
+    unit = unit_rows(weights, value)
+    df = unit.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    tail = F.sum(F.col("u") * F.col("u")).over(order)
+    # a term belongs to the prefix while the vector from it on is long enough; a little slack for rounding
+    prefix = unit.join(df, "term").withColumn("tail", tail).where(F.col("tail") >= least * least * (1 - 1e-9)).select("doc_id", "term")
+    pairs = prefix.toDF("a", "term").join(prefix.toDF("b", "term"), "term").where("a < b").select("a", "b").distinct()
     left, right = unit.toDF("a", "term", "ua"), unit.toDF("b", "term", "ub")
-    return left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    found = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    return found.where(F.col("cosine") >= least)
 
 
 def zero_norm_documents(weights: DataFrame, value: str = "weight") -> DataFrame:
@@ -113,3 +127,46 @@ def lsa_features(docs: DataFrame, *, first: int = 100, least: int = 10) -> DataF
 def backproject(coordinates: DataFrame, basis: DataFrame) -> DataFrame:
     """(id, component, v) times (component, term, u): each id's weight of each term."""
     return coordinates.join(basis, "component").groupBy("id", "term").agg(F.sum(F.col("v") * F.col("u")).alias("weight"))
+
+
+def keep_labelled(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of the documents that have a label, with it."""
+    known = labels.where(F.col("label").isNotNull()).groupBy(key).agg(F.min("label").alias("label"))
+    return rows.join(known, key)
+
+
+def top_centroid_terms(weights: DataFrame, labels: DataFrame, k: int, value: str = "weight") -> DataFrame:
+    """(label, rank, term, weight): the k heaviest terms of each class's mean document, terms a document lacks being 0."""
+    known = keep_labelled(weights, labels)
+    sizes = labels.where("label IS NOT NULL").groupBy("label").agg(F.count_distinct("doc_id").alias("n"))
+    means = known.groupBy("label", "term").agg(F.sum(value).alias("s")).join(F.broadcast(sizes), "label").select("label", "term", (F.col("s") / F.col("n")).alias("weight"))
+    order = Window.partitionBy("label").orderBy(F.desc(F.round("weight", 9)), "term")
+    return means.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("label", "rank", "term", "weight")
+
+
+def signed_terms(weights: DataFrame, k: int, by: str = "id", value: str = "weight") -> DataFrame:
+    """(by, sign, rank, term, weight): the k terms of the greatest and of the least weight, marked + and -; zeros have neither."""
+    rows = weights.where(F.col(value) != 0).withColumn("sign", F.when(F.col(value) > 0, "+").otherwise("-"))
+    order = Window.partitionBy(by, "sign").orderBy(F.desc(F.round(F.abs(value), 9)), "term")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(by, "sign", "rank", "term", F.col(value).alias("weight"))
+
+
+def numbered_features(features: DataFrame, order: DataFrame) -> DataFrame:
+    """LSA features (doc_id, term) with term numbers in the order in which terms are first seen: by `order` (doc_id, term, place)."""
+    from .select import numbered
+
+    seen = order.groupBy("term").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("term", "at.doc_id", "at.place")
+    names = numbered(seen, ["doc_id", "place"], "j").select("term", "j")
+    return features.join(names, "term").select("doc_id", "term", "j")
+
+
+def lsa_places(docs: DataFrame, *, first: int = 100, least: int = 10) -> DataFrame:
+    """(doc_id, term, place): the distinct words of `lsa_features` with the place where each is first seen."""
+    words = F.filter(F.transform(F.split("text", "[ \\t\\n\\r\\f\\x0B]+"), lsa_word), lambda w: w != "")
+    found = docs.select("doc_id", F.array_distinct(F.slice(words, 1, first)).alias("words")).where(F.size("words") >= least)
+    return found.select("doc_id", F.posexplode("words").alias("place", "term"))
+
+
+def directory_matrix(docs: DataFrame, *, least_length: int = 2, least_count: int = 2) -> DataFrame:
+    """The term-document matrix of a directory: terms of `least_length` letters or more that occur `least_count` times or more in all."""
+    return prune(term_counts(docs, least_length=least_length), least_count)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import aggregate, combinatorics, graph, select
@@ -85,14 +84,14 @@ def mode_first_by_group(spark, sf_dir):
     return aggregate.mode_first(read(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id")
 
 
-@query("mode_with_fallback", """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY ALL),
+@query("mode_with_fallback", """WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS r FROM c),
-    a AS (SELECT c_mktsegment AS whole FROM customer WHERE c_nationkey < 20 GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1)
-    SELECT n_nationkey AS c_nationkey, coalesce(c_mktsegment, whole) AS mode FROM nation LEFT JOIN r ON r.c_nationkey = n_nationkey AND r = 1, a""")
+    a AS (SELECT c_mktsegment AS whole FROM customer GROUP BY c_mktsegment ORDER BY count(*) DESC, c_mktsegment LIMIT 1)
+    SELECT n.c_nationkey, coalesce(c_mktsegment, whole) AS mode FROM (SELECT CAST(k AS INT) AS c_nationkey FROM range(32) x(k)) n LEFT JOIN r ON r.c_nationkey = n.c_nationkey AND r = 1, a""")
 def mode_with_fallback(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").where("c_nationkey < 20")
-    groups = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    return aggregate.mode_with_fallback(rows, "c_nationkey", "c_mktsegment", groups)
+    # some groups have no customers
+    groups = spark.range(32).select(F.col("id").cast("int").alias("c_nationkey"))
+    return aggregate.mode_with_fallback(read(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", groups)
 
 
 @query("upper_median", """WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r,
@@ -153,8 +152,8 @@ def sort_with_index(spark, sf_dir):
 
 @query("sortrows_desc", """SELECT row_number() OVER (ORDER BY c_mktsegment DESC, c_acctbal DESC, c_custkey DESC) - 1 AS rank, c_custkey FROM customer""")
 def sortrows_desc(spark, sf_dir):
-    order = Window.orderBy(F.desc("c_mktsegment"), F.desc("c_acctbal"), F.desc("c_custkey"))
-    return read(spark, sf_dir, "customer").select((F.row_number().over(order).cast("long") - 1).alias("rank"), "c_custkey")
+    rows = read(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal", "c_custkey")
+    return select.sort_rows(rows, rows.columns, descending=True).select("rank", "c_custkey")
 
 
 @query("group_sum", "SELECT l_suppkey, round(sum(l_quantity), 2) AS sum FROM lineitem GROUP BY l_suppkey")
@@ -230,13 +229,31 @@ def graph_bandwidth(spark, sf_dir):
     return graph.bandwidth(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")))
 
 
+def _spread(steps: int) -> str:
+    """c<n>: the least label within n steps."""
+    out = ["c0 AS MATERIALIZED (SELECT DISTINCT a AS id, a AS c FROM u)"]
+    for n in range(steps):
+        out.append(f"c{n + 1} AS MATERIALIZED (SELECT x.id, least(any_value(x.c), min(y.c)) AS c FROM c{n} x JOIN u ON u.a = x.id JOIN c{n} y ON y.id = u.b GROUP BY x.id)")
+    return ", ".join(out)
+
+
 @query(
     "graph_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_partkey % 50 = 0),
-    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT DISTINCT a AS id FROM u),
-    r(id, c) AS (SELECT id, id FROM v UNION SELECT u.b, r.c FROM r JOIN u ON r.id = u.a WHERE r.c < u.b)
-    SELECT id, min(c) AS component FROM r GROUP BY id""",
+    f"""WITH e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    {_spread(16)} SELECT id, c AS component FROM c16""",
 )
 def graph_components(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0")
+    """Suppliers and parts that orders link; sixteen steps of labels reach as far as these components do."""
+    rows = read(spark, sf_dir, "lineitem")
     return connected_components(rows.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")).distinct())
+
+
+@query(
+    "graph_components_orders",
+    """SELECT id, min(c) OVER (PARTITION BY k) AS component FROM (SELECT o_custkey AS id, o_custkey AS c, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM orders)
+        UNION ALL SELECT o_orderkey + 10000000, o_orderkey + 10000000, o_custkey FROM orders)""",
+)
+def graph_components_orders(spark, sf_dir):
+    """Each customer with all orders: stars, some of them large."""
+    rows = read(spark, sf_dir, "orders")
+    return connected_components(rows.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 10000000).alias("dst")))

@@ -121,14 +121,13 @@ def integer_recovery(spark, sf_dir):
 
 @query(
     "cosine_pairs",
-    f"""WITH {_TDM}, f AS (SELECT term FROM tdm GROUP BY term HAVING count(*) BETWEEN 2 AND 20), k AS (SELECT tdm.* FROM tdm JOIN f USING (term)),
-    n AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM k GROUP BY doc_id), u AS (SELECT doc_id, term, tf / n AS u FROM k JOIN n USING (doc_id))
-    SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL""",
+    f"""WITH {_WEIGHT}, n AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM t GROUP BY doc_id HAVING sum(weight * weight) > 0), u AS (SELECT doc_id, term, weight / n AS u FROM t JOIN n USING (doc_id)),
+    s AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.u * b.u) AS c FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT a, b, round(c, 6) AS cosine FROM s WHERE c >= 0.7""",
 )
 def cosine_pairs(spark, sf_dir):
-    counts = tdm(spark, sf_dir)
-    rare = text.doc_freq(counts).where("df BETWEEN 2 AND 20").select("term")
-    return text.cosine_pairs(counts.join(rare, "term"), "tf").withColumn("cosine", F.round("cosine", 6))
+    """All pairs of documents whose weights' cosine is 0.7 or more, by all terms."""
+    return text.cosine_pairs(text.tfidf(tdm(spark, sf_dir)), 0.7).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(

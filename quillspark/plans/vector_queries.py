@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import vec
-from quillspark.operators import aggregate, cluster, kernels, linalg, matrix, neighbors, planes, score, synth
+from quillspark.operators import aggregate, cluster, kernels, linalg, matrix, neighbors, planes, score
 
 from .registry import query
 
@@ -20,8 +20,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ten(df: DataFrame) -> DataFrame:
-    """The query points of the neighbour queries: every fiftieth."""
-    return df.where("id % 50 = 0")
+    """The query points of the neighbour queries: those whose id is divisible by 100."""
+    return df.where("id % 100 = 0")
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -33,22 +33,19 @@ def dist_l2(spark, sf_dir):
     return rounded(neighbors.pairs(points(spark, sf_dir)), "dist")
 
 
-@query("dist_l1", f"WITH {_P} SELECT a.id AS q, b.id AS i, round({_L1}, 6) AS dist FROM p a, p b WHERE a.id % 50 = 0")
+@query("dist_l1", f"WITH {_P} SELECT a.id AS q, b.id AS i, round({_L1}, 6) AS dist FROM p a, p b WHERE a.id % 100 = 0")
 def dist_l1(spark, sf_dir):
     pts = points(spark, sf_dir)
-    q = ten(pts).select(F.col("id").alias("q"), F.col("x").alias("y"))
-    # the query points are a stated set, and a block of them joins each row
-    return rounded(pts.join(F.broadcast(q)).select("q", F.col("id").alias("i"), vec.l1(F.col("x"), F.col("y")).alias("dist")), "dist")
+    return rounded(neighbors.between(ten(pts), pts, metric="l1"), "dist")
 
 
-@query("dist_sq", f"WITH {_P} SELECT a.id AS q, b.id AS i, round(power(list_distance(a.x, b.x), 2), 6) AS dist FROM p a, p b WHERE a.id % 50 = 0")
+@query("dist_sq", f"WITH {_P} SELECT a.id AS q, b.id AS i, round(power(list_distance(a.x, b.x), 2), 6) AS dist FROM p a, p b WHERE a.id % 100 = 0")
 def dist_sq(spark, sf_dir):
     pts = points(spark, sf_dir)
-    q = ten(pts).select(F.col("id").alias("q"), F.col("x").alias("y"))
-    return rounded(pts.join(F.broadcast(q)).select("q", F.col("id").alias("i"), vec.sqdist(F.col("x"), F.col("y")).alias("dist")), "dist")
+    return rounded(neighbors.between(ten(pts), pts, metric="sq"), "dist")
 
 
-@query("knn_k", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE a.id % 50 = 0),
+@query("knn_k", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE a.id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) AS rank FROM d)
     SELECT q, CAST(rank AS INT) AS rank, i, round(dist, 6) AS dist FROM r WHERE rank <= 6""")
 def knn_k(spark, sf_dir):
@@ -56,7 +53,7 @@ def knn_k(spark, sf_dir):
     return rounded(neighbors.knn(ten(pts), pts, 6), "dist")
 
 
-@query("knn_radius", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE a.id % 50 = 0),
+@query("knn_radius", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE a.id % 100 = 0),
     c AS (SELECT q, count(*) FILTER (dist <= 1.2) AS n FROM d GROUP BY q),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) AS rank FROM d WHERE dist <= 1.2)
     SELECT c.q, n, CAST(s.k AS INT) AS rank, r.i, CASE WHEN r.i IS NULL THEN 'Infinity'::DOUBLE ELSE round(r.dist, 6) END AS dist
@@ -67,7 +64,7 @@ def knn_radius(spark, sf_dir):
     return found.withColumn("dist", F.when(F.col("i").isNull(), float("inf")).otherwise(F.round("dist", 6)))
 
 
-@query("snap_nearest", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE b.id % 50 = 0),
+@query("snap_nearest", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, list_distance(a.x, b.x) AS dist FROM p a, p b WHERE b.id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, i) AS rank FROM d) SELECT q, i, round(dist, 6) AS dist FROM r WHERE rank = 1""")
 def snap_nearest(spark, sf_dir):
     pts = points(spark, sf_dir)
@@ -140,13 +137,13 @@ def p2c_assign(spark, sf_dir):
 
 
 @query("kernel_density", f"""WITH {_P} SELECT a.id AS q, round(sum(exp(-power(list_distance(a.x, b.x), 2) / 2)), 6) AS density
-    FROM p a, p b WHERE a.id % 50 = 0 AND a.id <> b.id GROUP BY a.id""")
+    FROM p a, p b WHERE a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id""")
 def kernel_density(spark, sf_dir):
     pts = points(spark, sf_dir)
     return rounded(kernels.density(ten(pts), pts, kernels.gaussian(1.0), leave_out=True), "density")
 
 
-@query("adaptive_density", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, power(list_distance(a.x, b.x), 2) AS d FROM p a, p b WHERE a.id % 50 = 0),
+@query("adaptive_density", f"""WITH {_P}, d AS (SELECT a.id AS q, b.id AS i, power(list_distance(a.x, b.x), 2) AS d FROM p a, p b WHERE a.id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, i) AS rank FROM d), k AS (SELECT *, max(d) OVER (PARTITION BY q) AS dk FROM r WHERE rank <= 8)
     SELECT q, round(sum(0.75 * (1 - d / dk) / sqrt(dk)), 6) AS density FROM k GROUP BY q""")
 def adaptive_density(spark, sf_dir):
@@ -155,7 +152,7 @@ def adaptive_density(spark, sf_dir):
 
 
 @query("kernel_regression", f"""WITH {_P} SELECT a.id AS q, round(sum(exp(-power(list_distance(a.x, b.x), 2) / 2) * b.label) / sum(exp(-power(list_distance(a.x, b.x), 2) / 2)), 6) AS y
-    FROM p a, p b WHERE a.id % 50 = 0 GROUP BY a.id""")
+    FROM p a, p b WHERE a.id % 100 = 0 GROUP BY a.id""")
 def kernel_regression(spark, sf_dir):
     pts = points(spark, sf_dir).withColumn("y", F.array(F.col("label").cast("double")))
     found = kernels.regression(ten(pts), pts, kernels.gaussian(1.0), "y")
@@ -255,30 +252,27 @@ def ksubspaces(spark, sf_dir):
 
 @query("arrangement")
 def arrangement(spark, sf_dir):
-    """Planted planes of dimensions 1, 2 and 1 in space, found again: the error rate and the dimensions."""
-    pts = synth.generate_samples(3, [200, 200, 200], [1, 2, 1], noise=0.01, least_angle=0.6, seed=42).points(spark).cache()
-    labelled, dims, model = planes.arrange(pts, planes.Options(k=3, dmax=2, n0=60))
-    error, _, _ = score.clustering_error(pts, labelled)
-    return _frame(spark, [(sorted(dims.values()), error < 0.1, model < 0.05)], "dims array<int>, found boolean, close boolean")
+    """Four planes of three dimensions at most through all points: each one's plane."""
+    found = planes.arrangement(points(spark, sf_dir), planes.Options(k=4, dmax=3, n0=40))
+    return found.labelled.select("id", "label")
 
 
-@query("mds")
+@query("mds", "SELECT true AS kept FROM (SELECT count(*) FROM embeddings)")
 def mds(spark, sf_dir):
-    """Coordinates of twenty points by their distances keep those distances: the greatest deviation."""
+    """Coordinates of all points by their distances keep those distances."""
     import numpy as np
 
-    rows = points(spark, sf_dir).where("id < 20").orderBy("id").collect()
-    x = np.array([r.x for r in rows])
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    y = linalg.metric_mds(d, len(rows) - 1)
-    return _frame(spark, [(bool(np.abs(np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2)) - d).max() < 1e-6),)], "kept boolean")
+    pts = points(spark, sf_dir)
+    x, y = (np.array([r.x for r in df.select("id", "x").orderBy("id").collect()]) for df in (pts, linalg.mds(pts, 64)))
+    square = lambda m: neighbors._squares(m, m)
+    return _frame(spark, [(bool(np.abs(square(x) - square(y)).max() < 1e-6),)], "kept boolean")
 
 
-_E = f"WITH {_P}, e AS (SELECT id AS i, unnest(range(len(x))) AS j, unnest(x) AS v FROM p WHERE id < 20)"
+_E = f"WITH {_P}, e AS (SELECT id AS i, unnest(range(len(x))) AS j, unnest(x) AS v FROM p), n AS (SELECT count(*) AS n FROM p)"
 
 
 def entries(spark, sf_dir):
-    return matrix.rows_of(points(spark, sf_dir).where("id < 20")).withColumn("j", F.col("j").cast("long"))
+    return matrix.rows_of(points(spark, sf_dir)).withColumn("j", F.col("j").cast("long"))
 
 
 @query("matrix_transpose", f"{_E} SELECT j AS i, i AS j, round(v, 6) AS v FROM e")
@@ -286,21 +280,22 @@ def matrix_transpose(spark, sf_dir):
     return rounded(matrix.transpose(entries(spark, sf_dir)), "v")
 
 
-@query("matrix_reshape", f"{_E} SELECT (j * 20 + i) % 40 AS i, (j * 20 + i) // 40 AS j, round(v, 6) AS v FROM e")
+@query("matrix_reshape", f"{_E} SELECT (j * n + i) % (2 * n) AS i, (j * n + i) // (2 * n) AS j, round(v, 6) AS v FROM e, n")
 def matrix_reshape(spark, sf_dir):
-    return rounded(matrix.reshape(entries(spark, sf_dir), 20, 40), "v")
+    n = points(spark, sf_dir).count()
+    return rounded(matrix.reshape(entries(spark, sf_dir), n, 2 * n), "v")
 
 
-@query("matrix_cat", f"{_E} SELECT i, j, round(v, 6) AS v FROM e UNION ALL SELECT i + 20, j, round(v, 6) FROM e")
+@query("matrix_cat", f"{_E} SELECT i, j, round(v, 6) AS v FROM e UNION ALL SELECT i + n, j, round(v, 6) FROM e, n")
 def matrix_cat(spark, sf_dir):
     e = entries(spark, sf_dir)
-    return rounded(matrix.cat(e, e, size=20, dimension=1), "v")
+    return rounded(matrix.cat(e, e, size=points(spark, sf_dir).count(), dimension=1), "v")
 
 
-@query("matrix_product", f"{_E} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (j) GROUP BY ALL")
+@query("matrix_product", f"{_E} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 4) AS v FROM e a JOIN e b USING (i) GROUP BY ALL")
 def matrix_product(spark, sf_dir):
     e = entries(spark, sf_dir)
-    return rounded(matrix.multiply(e, matrix.transpose(e)), "v")
+    return rounded(matrix.multiply(matrix.transpose(e), e), "v", places=4)
 
 
 @query("matrix_columns", f"{_E}, c AS (SELECT j, count(*) AS n FROM e GROUP BY j) SELECT j, n AS count, CAST(sum(n) OVER (ORDER BY j) - n AS BIGINT) AS start FROM c")

@@ -85,3 +85,10 @@ def join_parts(spark: SparkSession, folder: str, parts: DataFrame, target: str,
 def _names(parts: DataFrame) -> Iterator[str]:
     for r in parts.orderBy("order").toLocalIterator():
         yield r.file
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """`df` written to a fresh shared folder and read back: computed once, whatever is lost or asked twice later."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.select import numbered
+
 from .files import delete, join_parts, open_output, part_name, shared_folder
 
 
@@ -72,18 +74,6 @@ def write_dmat(points: DataFrame, path: str, *, binary: bool = False) -> None:
     delete(spark, folder)
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """`rows` with their place (from 0) in the order of `order`, counted per range so that no task holds all rows."""
-    keys = [F.col(c) for c in order]
-    parts = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = parts.join(F.broadcast(before.drop("_n")), "_part")
-    return found.withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_part", "_own", "_before")
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the lines of one file with their numbers from 0. The file is read in splits."""
     rows = spark.read.option("lineSep", "\n").text(path)

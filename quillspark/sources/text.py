@@ -39,8 +39,8 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     cut = rows.where("value = '#'").agg(F.min("line").alias("cut"))
     rows = rows.join(F.broadcast(cut))
     words = F.split("value", "\\s+")
-    nodes = rows.where("line < cut OR cut IS NULL").select(words[0].cast("long").alias("id"), F.array_join(F.slice(words, 2, 1000), " ").alias("name"))
-    edges = rows.where("line > cut").select(words[0].cast("long").alias("src"), words[1].cast("long").alias("dst"))
+    nodes = rows.where("line < cut OR cut IS NULL").select(words[0].try_cast("long").alias("id"), F.array_join(F.slice(words, 2, 1000), " ").alias("name"))
+    edges = rows.where("line > cut").select(words[0].try_cast("long").alias("src"), words[1].try_cast("long").alias("dst"))
     return nodes, edges
 
 
@@ -54,7 +54,7 @@ def _mesh(spark: SparkSession, path: str, vertex: str, face: str) -> tuple[DataF
 
     rows = _lines(spark, path).select("line", F.split(F.trim("value"), "\\s+").alias("w"))
     rest = lambda: F.slice("w", 2, 1000)
-    vertices = numbered(rows.where(F.col("w")[0] == vertex), ["line"], "id").select("id", F.slice(rest(), 1, 3).cast("array<double>").alias("x"))
+    vertices = numbered(rows.where(F.col("w")[0] == vertex), ["line"], "id").select("id", F.slice(rest(), 1, 3).try_cast("array<double>").alias("x"))
     corner = lambda t: F.substring_index(t, "/", 1).cast("long") - 1
     faces = numbered(rows.where(F.col("w")[0] == face), ["line"], "face").select("face", F.transform(rest(), corner).alias("vertices"))
     return vertices, faces
@@ -71,18 +71,18 @@ def _words(spark: SparkSession, path: str, without: str = "") -> DataFrame:
 def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, x) and faces (face, vertices) of an OFF file."""
     rows = _words(spark, path, "OFF").withColumn("at", F.col("at") - 1)
-    sizes = rows.where("at = -1").select(F.col("w")[0].cast("long").alias("n"))
+    sizes = rows.where("at = -1").select(F.col("w")[0].try_cast("long").alias("n"))
     rows = rows.where("at >= 0").join(F.broadcast(sizes))
-    vertices = rows.where("at < n").select(F.col("at").alias("id"), F.slice("w", 1, 3).cast("array<double>").alias("x"))
-    faces = rows.where("at >= n").select((F.col("at") - F.col("n")).alias("face"), F.slice("w", 2, 1000).cast("array<bigint>").alias("vertices"))
+    vertices = rows.where("at < n").select(F.col("at").alias("id"), F.slice("w", 1, 3).try_cast("array<double>").alias("x"))
+    faces = rows.where("at >= n").select((F.col("at") - F.col("n")).alias("face"), F.slice("w", 2, 1000).try_cast("array<bigint>").alias("vertices"))
     return vertices, faces
 
 
 def read_node(spark: SparkSession, path: str) -> DataFrame:
     """(id, x) of a NODE file: a head line, then a number and the coordinates on each line."""
     rows = _words(spark, path)
-    head = rows.where("at = 0").select(F.col("w")[1].cast("int").alias("d"))
-    return rows.where("at > 0").join(F.broadcast(head)).select(F.col("w")[0].cast("long").alias("id"), F.expr("slice(w, 2, d)").cast("array<double>").alias("x"))
+    head = rows.where("at = 0").select(F.col("w")[1].try_cast("int").alias("d"))
+    return rows.where("at > 0").join(F.broadcast(head)).select(F.col("w")[0].try_cast("long").alias("id"), F.expr("slice(w, 2, d)").try_cast("array<double>").alias("x"))
 
 
 def read_stl(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def read_stl(spark: SparkSession, path: str) -> DataFrame:
     from .matrices import numbered
 
     rows = _words(spark, path).where(F.lower(F.col("w")[0]) == "vertex")
-    rows = numbered(rows, ["at"], "n").select("n", F.slice("w", 2, 3).cast("array<double>").alias("x"))
+    rows = numbered(rows, ["at"], "n").select("n", F.slice("w", 2, 3).try_cast("array<double>").alias("x"))
     return rows.select(F.floor(F.col("n") / 3).alias("face"), (F.col("n") % 3).cast("int").alias("corner"), "x")
 
 
@@ -102,7 +102,7 @@ def read_mesh(spark: SparkSession, path: str, section: str = "Vertices") -> Data
     own = names.where(F.lower("name") == section.lower()).agg(F.min("begin").alias("begin"))
     after = names.join(F.broadcast(own.withColumnRenamed("begin", "b")), F.col("begin") > F.col("b")).agg(F.min("begin").alias("end"))
     picked = rows.join(F.broadcast(own)).join(F.broadcast(after)).where("at > begin + 1 AND (end IS NULL OR at < end)")
-    return picked.select((F.col("at") - F.col("begin") - 2).alias("at"), F.col("w").cast("array<double>").alias("x"))
+    return picked.select((F.col("at") - F.col("begin") - 2).alias("at"), F.col("w").try_cast("array<double>").alias("x"))
 
 
 def read_wrl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +118,6 @@ def read_wrl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         end = rows.join(begin).where((F.col("at") > F.col("begin")) & text.contains("]")).agg(F.min("at").alias("end"))
         return rows.join(begin).join(F.broadcast(end)).where("at > begin AND at < end").select("at", F.split(F.trim(F.regexp_replace(text, ",", " ")), "\\s+").alias("v"))
 
-    vertices = numbered(body("point"), ["at"], "id").select("id", F.slice("v", 1, 3).cast("array<double>").alias("x"))
-    faces = numbered(body("coordIndex"), ["at"], "face").select("face", F.filter(F.col("v").cast("array<bigint>"), lambda i: i >= 0).alias("vertices"))
+    vertices = numbered(body("point"), ["at"], "id").select("id", F.slice("v", 1, 3).try_cast("array<double>").alias("x"))
+    faces = numbered(body("coordIndex"), ["at"], "face").select("face", F.filter(F.col("v").try_cast("array<bigint>"), lambda i: i >= 0).alias("vertices"))
     return vertices, faces

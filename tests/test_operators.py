@@ -106,7 +106,7 @@ def test_radius_and_approximate(spark, cloud):
     for r in got:
         assert r.n == (d[r.q] <= 2.0).sum() and (r.i is None) == (r["rank"] > r.n)
     exact = {(r.q, r.i) for r in neighbors.knn(pts, pts, 3).collect()}
-    near = {(r.q, r.i) for r in neighbors.approximate_knn(pts, pts, 3, bucket=8.0, tables=4).collect()}
+    near = {(r.q, r.i) for r in neighbors.approximate_knn(pts, pts, 3, eps=0.5, leaves=16).collect()}
     assert len(exact & near) > 0.9 * len(exact)
 
 
