@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 class Shared:
@@ -38,6 +37,10 @@ class Shared:
         self._stream.write(data)
         self.size += len(data)
 
+    def abort(self) -> None:
+        """Close without the final name: no reader takes the file for a whole one."""
+        self._stream.close()
+
     def close(self) -> None:
         self._stream.close()
         if self._fs is None:
@@ -52,14 +55,31 @@ def attempt_name(sequence: int, suffix: str) -> str:
     return f"part-{task.partitionId() if task else 0:06d}-{task.taskAttemptId() if task else 0}-{sequence:05d}{suffix}"
 
 
-def read_back(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Rows (file, content) of those files that the manifest's committed tasks wrote; no row is shuffled.
+def read_back(folder: str, files: DataFrame) -> DataFrame:
+    """Rows (file, content) of the files that `files` (file) lists, each opened by the task that reads it.
 
-    The driver holds their names, as it does for any table that it lists.
+    The names stay a table: no driver lists them. A task holds one file at a time.
     """
-    names = sorted(r.file for r in manifest.select("file").distinct().collect())
-    found = spark.read.format("binaryFile").load([f"{folder}/{x}" for x in names])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    names = files.select("file").distinct()
+
+    def run(batches):
+        where = urlparse(folder)
+        store, root = None, where.path
+        if where.scheme not in ("", "file"):
+            from pyarrow import fs
+
+            store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if store is None:
+                    with open(f"{root}/{name}", "rb") as f:
+                        content = f.read()
+                else:
+                    with store.open_input_stream(f"{root}/{name}") as f:
+                        content = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["file", "content"])
+
+    return names.repartition("file").mapInArrow(run, "file string, content binary")
 
 
 class Side:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.files import shared_folder
+
 #: Ways a hot join key is spread over; the lookup side is repeated this often.
 SALTS = 8
 
@@ -19,16 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the cluster's shared checkpoint folder; see `shared_folder`."""
+    return shared_folder(spark, what)
+
+
+def named_apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with its columns called _c0, _c1, ..., copies of the `needed` ones by their names, and all its names.
 
-    The setting ``spark.checkpoint.dir`` names it; only where that is unset (tests on one machine) a
-    temporary folder is chosen.
+    Whatever the caller's columns are called, they don't meet those that an operator adds.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillspark.scratch", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("quillspark.scratch", base)
-    return f"{base.rstrip('/')}/quill-{what}-{uuid.uuid4().hex[:12]}"
+    names = docs.columns
+    apart = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    return apart.select("*", *(F.col(f"_c{names.index(n)}").alias(n) for n in needed)), names
+
+
+def named_back(rows: DataFrame, names: Sequence[str], *more: Column | str) -> DataFrame:
+    """The caller's columns by their names, and `more`."""
+    return rows.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(names)), *more)
 
 
 #: Spark then deletes an execution's shuffle files when it ends.
@@ -132,10 +139,10 @@ def components(edges: DataFrame, where: str, limit: int = 60) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            salted_join(both.where("v > u"), low, ["u"], "v", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            salted_join(both.where("v > u"), low, ["u"], "v", "inner", merge=True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, ["u"], "v", "inner")
+        small = salted_join(large, low, ["u"], "v", "inner", merge=True)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = keep(small.distinct(), f"{where}/e{step}")
         a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, after))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import NOT_WORD, U64, minima, mix, powers, shingles, words
-from ._shared import keep, scratch, small_batches
+from ._shared import keep, named_apart, named_back, scratch, small_batches
 
 #: Consecutive words that make a hit, and the words of a fingerprinted gram. A span of WINDOW words holds
 #: WINDOW - GRAM + 1 grams, whose minimum is kept on both sides: no shared span is missed.
@@ -146,56 +146,76 @@ def _dropper(index, text: int):
     return run
 
 
-def _indexes(benchmark: DataFrame, where: str, pass_windows: int) -> list:
-    """Broadcast indexes of the benchmark's items, each of about `pass_windows` windows."""
-    spark = benchmark.sparkSession
+def _dealt(benchmark: DataFrame, where: str, pass_windows: int) -> tuple[DataFrame, int]:
+    """The items' windows, dealt to passes of about `pass_windows` windows each, and the number of passes."""
     items = keep(
         benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_windows, "item_id long, size int, windows binary, prints binary, n long"), f"{where}/items"
     )
     sizes = items.agg(F.sum(F.length("windows") / 8)).first()[0] or 0
     n = max(1, -(-int(sizes) // pass_windows))
-    dealt = items.withColumn("pass", F.pmod(F.xxhash64("item_id", "windows"), F.lit(n)))
-    return [spark.sparkContext.broadcast(Index(dealt.where(F.col("pass") == k).collect())) for k in range(n)]
+    return items.withColumn("pass", F.pmod(F.xxhash64("item_id", "windows"), F.lit(n))), n
+
+
+def _index(dealt: DataFrame, k: int):
+    """The broadcast index of one pass."""
+    return dealt.sparkSession.sparkContext.broadcast(Index(dealt.where(F.col("pass") == k).collect()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, pass_windows: int = PASS_WINDOWS) -> DataFrame:
-    """`docs` with all its columns, without the rows that hold a benchmark window; see `decontaminate`."""
+    """`docs` with all its columns, without the rows that hold a benchmark window; see `decontaminate`.
+
+    Rows without text or words stay, repeated rows are judged one by one, and an empty table gives an empty result.
+    A benchmark of several passes is scanned for one at a time; rows that any pass hits go.
+    """
     small_batches(docs.sparkSession)
-    out = docs
-    for index in _indexes(benchmark, scratch(docs.sparkSession, "winnow"), pass_windows):
-        out = out.mapInArrow(_dropper(index, docs.columns.index("text")), docs.schema)
-    return out
+    where = scratch(docs.sparkSession, "winnow")
+    dealt, n = _dealt(benchmark, where, pass_windows)
+    apart, names = named_apart(docs, "text")
+    if n == 1:
+        rows = apart.drop("text")
+        return named_back(rows.mapInArrow(_dropper(_index(dealt, 0), names.index("text")), rows.schema), names)
+    rows = keep(apart.withColumn("row", F.monotonically_increasing_id()), f"{where}/docs")
+    gone = None
+    for k in range(n):
+        index = _index(dealt, k)
+        hit = keep(rows.select(F.lit(0).cast("long").alias("doc_id"), "text", "row").mapInArrow(_finder(index), _HITS).where("hits IS NOT NULL").select("row"), f"{where}/hit{k}")
+        index.destroy()
+        gone = hit if gone is None else gone.unionByName(hit)
+    return named_back(rows.join(gone.distinct().hint("merge"), "row", "left_anti"), names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Which words of each document (doc_id, text) lie in a window of a benchmark item (item_id, text).
 
     A window is WINDOW consecutive words of an item, or all of a shorter one. Items are carried to the
-    documents in passes of `pass_windows` windows (a longer item alone), so what is broadcast is bounded
-    for any benchmark; each pass is one scan of the documents without a shuffle, and more than one pass is
-    merged by row. Null or wordless texts have no words and no hits, a wordless item has no window, items
-    with a null id count as hits but not as items, repeated documents are judged one by one, an empty
-    benchmark hits nothing. Other columns are ignored.
+    documents in passes of `pass_windows` windows (a longer item alone), one at a time: what the driver and the
+    workers hold is bounded for any benchmark. Each pass is one scan of the documents without a shuffle; more
+    than one is written, and merged by row. Words, grams and windows are compared by 64-bit hashes: two given
+    ones are taken for equal with probability 2**-64. Null or wordless texts have no words and no hits, a
+    wordless item has no window, items with a null id count as hits but not as items, repeated documents are
+    judged one by one, very long texts are read whole, an empty benchmark hits nothing, an empty table gives an
+    empty result. Other columns are ignored.
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
     """
     spark = docs.sparkSession
     small_batches(spark)
     where = scratch(spark, "winnow")
-    indexes = _indexes(benchmark, where, pass_windows)
-    n = len(indexes)
-    source = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("row"))
-    if n > 1:
+    dealt, n = _dealt(benchmark, where, pass_windows)
+    if n == 1:
+        source = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("row"))
+        found = source.mapInArrow(_finder(_index(dealt, 0)), _HITS)
+        found = found.withColumn("hits", F.when(F.col("hits").isNull(), F.array().cast("array<binary>")).otherwise(F.array("hits"))).withColumn("items", F.array("items"))
+    else:
         source = keep(docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row")), f"{where}/docs")
-    found = None
-    for index in indexes:
-        part = source.mapInArrow(_finder(index), _HITS)
-        found = part if found is None else found.unionByName(part)
-    if n > 1:
+        found = None
+        for k in range(n):
+            index = _index(dealt, k)
+            part = keep(source.mapInArrow(_finder(index), _HITS), f"{where}/pass{k}")
+            index.destroy()
+            found = part if found is None else found.unionByName(part)
         found = found.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")
         )
-    else:
-        found = found.withColumn("hits", F.when(F.col("hits").isNull(), F.array().cast("array<binary>")).otherwise(F.array("hits"))).withColumn("items", F.array("items"))
     return found.select("doc_id", "n_words", "hits", "items").mapInArrow(
         _merge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     )

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U64, WHITE, mix, shingles, words
-from ._shared import components, keep, marked, salted_join, scratch, small_batches
+from ._shared import components, keep, marked, named_apart, named_back, salted_join, scratch, small_batches
 
 #: With 32 bands of 5 values, a pair at similarity 0.85 shares no band with probability 7e-9; with 4 values, one
 #: at 0.8 with 5e-8.
 BANDS = 32
 #: Members of a bucket that are compared in one run with its pivot.
 CHUNK = 256
+#: Shingles of a cell that are compared at once.
+COLUMNS = 8192
 
 _SIGNED = "n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -161,13 +163,13 @@ def _links(pairs: DataFrame, sets: DataFrame, share: int, where: str) -> DataFra
     """Those pairs (a, b, with a as the pivot) whose whole sets overlap by `share` percent; written."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     # the pivot's set goes once to each chunk of about CHUNK members
-    heads = sizes.join(sets, sizes["a"] == sets["id"]).select(
+    heads = sizes.join(sets.hint("merge"), sizes["a"] == sets["id"]).select(
         "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "shingles"
     )
     many = sizes.where("chunks > 1").select("a", "chunks")
-    dealt = salted_join(pairs, many, ["a"], "b").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
+    dealt = salted_join(pairs, many, ["a"], "b", merge=True).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
     # a member is in few pairs (at most one per band), so that its id is no hot key
-    members = dealt.join(sets, dealt["b"] == sets["id"]).select("a", "chunk", "b", "shingles")
+    members = dealt.join(sets.hint("merge"), dealt["b"] == sets["id"]).select("a", "chunk", "b", "shingles")
     rows = heads.select("a", F.col("chunk").cast("int").alias("chunk"), "b", "shingles").unionByName(members)
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return keep(rows.mapInArrow(_verify(share), "src long, dst long"), f"{where}/links")
@@ -182,11 +184,18 @@ def _across(share: int):
         columns, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[which]
         line = np.repeat(np.arange(len(rows)), n)
-        both = np.zeros((len(rows), int((counts > 1).sum())), np.float32)
-        both[line[place >= 0], place[place >= 0]] = 1
         asks = np.flatnonzero([r[0] for r in rows])
         told = np.flatnonzero([not r[0] for r in rows])
-        common = np.rint(both[asks] @ both[told].T).astype(np.int64)
+        # shingles that two documents hold, some at a time: the memory doesn't grow with the texts
+        order = np.argsort(place, kind="stable")
+        place, line = place[order], line[order]
+        common = np.zeros((len(asks), len(told)))
+        for at in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+            x, y = np.searchsorted(place, at, "left"), np.searchsorted(place, at + COLUMNS, "left")
+            both = np.zeros((len(rows), COLUMNS), np.float32)
+            both[line[x:y], place[x:y] - at] = 1
+            common += both[asks] @ both[told].T
+        common = np.rint(common).astype(np.int64)
         ids, own = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         alike = 100 * common >= share * (n[asks][:, None] + n[told][None, :] - common)
         x, y = np.nonzero(alike & (own[asks][:, None] != own[told][None, :]))
@@ -223,7 +232,7 @@ def _links_across(pairs: DataFrame, own: DataFrame, sets: DataFrame, share: int,
     groups = sizes.groupBy("a").agg(F.sum("n").alias("g"), F.count("*").alias("parts"), F.max(F.struct("n", "own")).alias("top")).where("parts > 1")
     blocks = lambda n: F.ceil(n / CHUNK).cast("int")
     groups = groups.select("a", F.col("top.own").alias("major"), blocks(F.col("g")).alias("js"), blocks(F.col("g") - F.col("top.n")).alias("is"))
-    rows = salted_join(placed, keep(groups, f"{where}/groups"), ["a"], "b", "inner")
+    rows = salted_join(placed, keep(groups, f"{where}/groups"), ["a"], "b", "inner", merge=True)
     rows = rows.join(sets.withColumnRenamed("id", "b").hint("merge"), "b")
     block = lambda n, seed: F.pmod(F.xxhash64("b", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -241,8 +250,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int
     text of each class (the smallest doc_id) is compared. In every bucket of a band, members are compared
     with the bucket's smallest id, its pivot; a pivot's members that are then still in several components
     are compared across them, so that links between members are found too. Each link is confirmed on
-    whole sets.
-    Documents without words have n_shingles 0 and stand alone. Rows that share a doc_id share a component
+    whole sets of 64-bit hashes of shingles (two given shingles share one with probability 2**-64).
+    Very long texts are compared whole, in blocks of shingles. Documents without words have n_shingles 0 and stand alone. Rows that share a doc_id share a component
     if one of them is linked; a null doc_id takes part under no id and comes back alone. Other columns are
     ignored; an empty table gives an empty result.
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
@@ -255,34 +264,34 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int
     full = signed.where("n_shingles > 0 and id is not null")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = keep(
-        salted_join(signed.select("id", "n_shingles", "d1", "d2"), classes, ["d1", "d2", "n_shingles"], "id")
+        salted_join(signed.select("id", "n_shingles", "d1", "d2"), classes, ["d1", "d2", "n_shingles"], "id", merge=True)
         .select("id", "n_shingles", "d1", "d2", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")).alias("first")),
         f"{where}/classes",
     )
     # one row of each class goes on, also where an id is repeated; an id with texts of several classes ties these
     key = ["id", "d1", "d2", "n_shingles"]
-    heads = full.join(named.where("id <> first").select(key), key, "left_anti").dropDuplicates(key)
+    heads = full.join(named.where("id <> first").select(key).hint("merge"), key, "left_anti").dropDuplicates(key)
     low = named.where("id is not null").groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
     low = keep(low.select("id", "low"), f"{where}/ties")
     ties = marked(named, "id", low, "id").where("_marked").join(low.hint("merge"), "id").where("first <> low")
     ties = ties.select(F.col("low").alias("src"), F.col("first").alias("dst")).distinct()
     band = heads.select("id", F.posexplode("bands").alias("band", "value"))
     bucket = band.groupBy("band", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "value", "pivot")
-    members = keep(salted_join(band, bucket, ["band", "value"], "id", "inner"), f"{where}/buckets")
+    members = keep(salted_join(band, bucket, ["band", "value"], "id", "inner", merge=True), f"{where}/buckets")
     pairs = keep(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), f"{where}/pairs")
     sets = _spelled(pairs, texts, k, where)
     own = keep(components(_links(pairs, sets, share, f"{where}/first").unionByName(ties), f"{where}/first"), f"{where}/first/components")
     second = _links_across(pairs, own, sets, share, f"{where}/second")
     # components that a second link joins: a graph of components
     name = own.withColumnRenamed("component_id", "c")
-    joined = second.join(name.withColumnRenamed("id", "src"), "src", "left").select("dst", F.coalesce("c", "src").alias("src"))
-    joined = joined.join(name.withColumnRenamed("id", "dst"), "dst", "left").select("src", F.coalesce("c", "dst").alias("dst"))
+    joined = second.join(name.withColumnRenamed("id", "src").hint("merge"), "src", "left").select("dst", F.coalesce("c", "src").alias("src"))
+    joined = joined.join(name.withColumnRenamed("id", "dst").hint("merge"), "dst", "left").select("src", F.coalesce("c", "dst").alias("dst"))
     above = keep(components(joined, f"{where}/second"), f"{where}/second/components")
-    single = above.join(own, "id", "left_anti")
-    linked = salted_join(own, above.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), ["component_id"], "id")
+    single = above.join(own.hint("merge"), "id", "left_anti")
+    linked = salted_join(own, above.select(F.col("id").alias("component_id"), F.col("component_id").alias("top")), ["component_id"], "id", merge=True)
     linked = linked.select("id", F.coalesce("top", "component_id").alias("component_id")).unionByName(single)
     linked = keep(linked, f"{where}/components")
-    out = salted_join(named.drop("d1", "d2"), linked.withColumnRenamed("id", "first"), ["first"], "id")
+    out = salted_join(named.drop("d1", "d2"), linked.withColumnRenamed("id", "first"), ["first"], "id", merge=True)
     out = out.select(F.col("id").alias("doc_id"), F.col("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -291,16 +300,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80, values: int
 def drop_near_duplicates(docs: DataFrame, *, k: int = 5, share: int = 80) -> DataFrame:
     """`docs` with all its columns, with one row of each group of near-duplicates: the smallest doc_id's.
 
-    Of rows with the same doc_id and text one stays. Documents without id or without words stay.
+    Of rows with the same doc_id and text one stays. Documents without id or without words stay; very long texts
+    are compared whole; an empty table gives an empty result.
     """
     where = scratch(docs.sparkSession, "dropped")
-    found = near_duplicates(docs, k=k, share=share)
-    gone = found.where("NOT kept").select("doc_id", F.lit(True).alias("_gone"))
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("_gone"))
-    gone = keep(gone.unionByName(again).groupBy("doc_id").agg(F.max("_gone").alias("_gone")), f"{where}/gone")
-    # only rows that may go, or be there twice, are shuffled
-    rows = marked(docs, "doc_id", gone, "doc_id")
-    touched = rows.where("_marked").join(gone.hint("merge"), "doc_id", "left").where("_gone IS NULL OR NOT _gone")
-    once = touched.where("_gone IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    rest = touched.where("_gone IS NULL").unionByName(once).drop("_gone")
-    return rows.where("NOT _marked").unionByName(rest).drop("_marked").select(docs.columns)
+    found = near_duplicates(docs.select("doc_id", "text"), k=k, share=share)
+    gone = found.where("NOT kept").select("doc_id", F.lit(True).alias("gone"))
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("gone"))
+    gone = keep(gone.unionByName(again).groupBy("doc_id").agg(F.max("gone").alias("gone")), f"{where}/gone")
+    # only rows that may go, or be there twice, are shuffled; the caller's columns go by numbers meanwhile
+    apart, names = named_apart(docs, "doc_id", "text")
+    rows = marked(apart, "doc_id", gone, "doc_id")
+    touched = rows.where("_marked").join(gone.hint("merge"), "doc_id", "left").where("gone IS NULL OR NOT gone")
+    once = touched.where("gone IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    rest = touched.where("gone IS NULL").unionByName(once)
+    return named_back(rows.where("NOT _marked").drop("_marked"), names).unionByName(named_back(rest, names))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.select import numbered
+
 from ._bytes import U64
 from ._files import Shared, attempt_name, read_back
 from ._shared import keep, scratch, shuffle_partitions, small_batches
@@ -24,6 +26,8 @@ LOW, WORD = 31, 32
 SUFFIX = ".rans"
 #: Blocks that are coded side by side.
 ABREAST = 64
+#: Bytes of ids that one task writes, about.
+PART_BYTES = 64 << 20
 
 _HEADER = struct.Struct("<8sIIII")  # magic, precision, symbols, bytes and crc32 of the packed table
 _BLOCK = struct.Struct("<IIIIIQ")  # tokens, pieces, words, crc32 of ids, crc32 of the body, ids before it in the file
@@ -302,7 +306,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, *, spaces: str = "
     independently by interleaved lanes, and hold an index of their documents, checkpoints (all lanes'
     states at every 256th step, from which decoding may start) and checksums of body and ids.
     A null or empty text is the end id alone, documents without id come first, rows with the same doc_id
-    follow each other. An empty table writes nothing. Other columns are ignored.
+    follow each other, in the order of a hash of their ids; very long texts are one document's pieces over many
+    blocks. An empty table writes nothing. Other columns are ignored.
     Returns file, base (ids before it in all files), tokens.
     """
     spark = docs.sparkSession
@@ -314,17 +319,15 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, *, spaces: str = "
     ids = keep(ids, f"{where}/ids")
     counts = ids.select("ids").mapInArrow(_count(size, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     table = Table.fit(np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64), size)
-    parts = max(shuffle_partitions(spark), 1)
-    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    total = ids.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
+    parts = max(shuffle_partitions(spark), -(-total // PART_BYTES))
+    # rows of one id, or without any, are spread by what they hold
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     files = keep(
         ordered.mapInArrow(_writer(folder, spark.sparkContext.broadcast(table), file_tokens, kind), "file string, part int, sequence int, tokens long"), f"{where}/files"
     )
-    # one row per file: the driver lists them anyway
-    rows, base = [], 0
-    for r in files.orderBy("part", "sequence").collect():
-        rows.append((r.file, base, r.tokens))
-        base += r.tokens
-    return spark.createDataFrame(rows, "file string, base long, tokens long")
+    return keep(numbered(files, ["part", "sequence"], "base", weight="tokens").select("file", "base", "tokens"), f"{where}/bases")
 
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:
@@ -332,8 +335,8 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
     spark = files.sparkSession
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    found = read_back(spark, folder, files).mapInArrow(_reader, "doc_id long, local long, n_tokens long, ids_crc32 long, file string")
-    return found.join(files, "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    found = read_back(folder, files).mapInArrow(_reader, "doc_id long, local long, n_tokens long, ids_crc32 long, file string")
+    return found.join(files.hint("merge"), "file").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

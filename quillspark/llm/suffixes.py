@@ -172,7 +172,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_id.append(ids[i])
                 out_at.append(a - low)
                 out_n.append(b - a)
-                out_name.append(hashlib.blake2b(data[a : b + SPAN - 1], digest_size=16).digest())
+                out_name.append(hashlib.blake2b(data[a : b + SPAN - 1], digest_size=32).digest())
             if len(out_row) >= 8192:
                 yield ready()
                 out_row, out_id, out_at, out_n, out_name = [], [], [], [], []
@@ -209,7 +209,7 @@ def _runs(batch: pa.RecordBatch, gone: Side) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _keys(gone_folder: str, buckets: int):
-    """The keys of all rows, by bucket: 32 bits of each, and its row counted from the first of the batch's."""
+    """The keys of all rows, by bucket: 32 bits of each, once for a run of texts, and whether several rows of the run hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = Side(gone_folder, ["at", "n"])
@@ -222,23 +222,22 @@ def _keys(gone_folder: str, buckets: int):
                 if not found:
                     continue
                 key, row = np.concatenate([k for _, k in found]), np.concatenate([r for r, _ in found])
-                order = np.lexsort((row, key))
+                order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, row = key[new], row[new]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                several = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
+                key = key[first]
                 bucket = ((key >> U64(32)) * U64(buckets)) >> U64(32)
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                small, place = (key & U64(0xFFFFFFFF)).astype("<u4"), row.astype("<u2" if part.num_rows < 65536 else "<u4")
-                ends = np.append(cut[1:], len(key))
+                small, ends = (key & U64(0xFFFFFFFF)).astype("<u4"), np.append(cut[1:], len(key))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket[cut].astype(np.int32)),
                         pa.array(np.full(len(cut), rows[low[0]])),
                         pa.array([small[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                        pa.array([place[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                        pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary()),
                     ],
-                    names=["bucket", "first", "keys", "rows"],
+                    names=["bucket", "first", "keys", "several"],
                 )
 
     return run
@@ -252,39 +251,40 @@ def _pieces(rows: np.ndarray) -> list[tuple[int, int]]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket: the keys that two rows or more hold, by file of texts. What names a key here are its bucket and 32 bits."""
 
-    def settle(bucket: int, keys: list, rows: list) -> Iterator[pa.RecordBatch]:
-        key, row = np.concatenate(keys), np.concatenate(rows)
+    def settle(bucket: int, keys: list, files: list, several: list) -> Iterator[pa.RecordBatch]:
+        key, file, many = np.concatenate(keys), np.repeat(files, [len(k) for k in keys]), np.concatenate(several)
         order = np.argsort(key, kind="stable")
-        key, row = key[order], row[order]
+        key, file, many = key[order], file[order], many[order]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        several = np.minimum.reduceat(row, start) != np.maximum.reduceat(row, start)
-        several = np.repeat(several, np.diff(np.append(start, len(key))))
-        key, row = key[several], row[several]
-        if not len(row):
+        n = np.diff(np.append(start, len(key)))
+        # two runs hold different rows
+        held = np.repeat((n > 1) | np.logical_or.reduceat(many, start), n)
+        key, file = key[held], file[held]
+        if not len(key):
             return
-        order = np.argsort(row, kind="stable")
-        key, row = key[order].astype("<u4"), row[order]
-        file = row >> 33
+        order = np.lexsort((key, file))
+        key, file = key[order].astype("<u4"), file[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (file[1:] != file[:-1])))
+        key, file = key[new], file[new]
         cut = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
-        ends = np.append(cut[1:], len(row))
-        held = zip(cut.tolist(), ends.tolist(), strict=True)
-        rows_, keys_ = zip(*[(row[a:b].astype("<i8").tobytes(), key[a:b].tobytes()) for a, b in held], strict=True)
+        ends = np.append(cut[1:], len(file))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(row[cut]), pa.array(np.full(len(cut), bucket, np.int32)), pa.array(rows_, pa.binary()), pa.array(keys_, pa.binary())], names=["row", "bucket", "rows", "keys"]
+            [pa.array(file[cut] << 33), pa.array(np.full(len(cut), bucket, np.int32)), pa.array([key[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())],
+            names=["row", "bucket", "keys"],
         )
 
-    now, keys, rows = None, [], []
+    now, keys, files, several = None, [], [], []
     for batch in batches:
-        for bucket, first, k, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+        for bucket, first, k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if bucket != now and keys:
-                yield from settle(now, keys, rows)
-                keys, rows = [], []
+                yield from settle(now, keys, files, several)
+                keys, files, several = [], [], []
             now = bucket
-            k, r = np.frombuffer(k.as_buffer(), "<u4"), r.as_buffer()
-            keys.append(k)
-            rows.append(np.frombuffer(r, "<u2" if r.size == 2 * len(k) else "<u4").astype(np.int64) + first)
+            keys.append(np.frombuffer(k.as_buffer(), "<u4"))
+            files.append(first >> 33)
+            several.append(np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8), count=len(keys[-1])).astype(bool))
     if keys:
-        yield from settle(now, keys, rows)
+        yield from settle(now, keys, files, several)
 
 
 def _strings(gone_folder: str, shared_folder: str, buckets: int):
@@ -295,20 +295,19 @@ def _strings(gone_folder: str, shared_folder: str, buckets: int):
         for batch in merged(batches, 2, 1 << 21):
             rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = flat(batch.column(2))[1]
-            own, which, known = shared.of(rows)
-            known = np.sort(_joined(own.astype(U64), which, known, buckets))
+            known = shared.of(rows)
             if not len(known):
                 continue
             met = set()
             for buf, start, n, own, key in _runs(batch, gone):
-                name = _joined(own.astype(U64), ((key >> U64(32)) * U64(buckets)) >> U64(32), key & U64(0xFFFFFFFF), buckets)
+                name = (((key >> U64(32)) * U64(buckets)) >> U64(32)) << U64(32) | (key & U64(0xFFFFFFFF))
                 hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
                 start, n, own, key = start[hit], n[hit], own[hit], key[hit]
                 data = memoryview(buf)
                 for low in range(0, len(start), 8192):
                     s, m, o = start[low : low + 8192], n[low : low + 8192], own[low : low + 8192]
                     texts = [data[a : a + b + SPAN - 1] for a, b in zip(s.tolist(), m.tolist(), strict=True)]
-                    names = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+                    names = [hashlib.blake2b(t, digest_size=32).digest() for t in texts]
                     # the bytes once for each string of the batch
                     first = []
                     for x, t in zip(names, texts, strict=True):
@@ -326,52 +325,35 @@ def _strings(gone_folder: str, shared_folder: str, buckets: int):
 
 
 class _Shared(Side):
-    """The shared keys of each file's rows, as flat arrays in the order of rows."""
+    """The shared keys that each file's rows hold, ascending: bucket and 32 bits."""
 
     def __init__(self, folder: str) -> None:
-        super().__init__(folder, ["bucket", "rows", "keys"])
+        super().__init__(folder, ["bucket", "keys"])
 
-    def _load(self, file: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def _load(self, file: int) -> np.ndarray | None:
         table = super()._load(file)
         if table is None:
             return None
-        rows = [np.frombuffer(x.as_buffer(), "<i8") for x in table.column("rows")]
-        key = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")])
-        bucket = np.repeat(table.column("bucket").to_numpy(), [len(r) for r in rows])
-        row = np.concatenate(rows)
-        order = np.argsort(row, kind="stable")
-        return row[order], bucket[order].astype(U64), key[order].astype(U64)
-
-    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index in `rows`, bucket and key of all shared keys of the ascending numbers `rows`."""
+        keys = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("keys")]
+        bucket = np.repeat(table.column("bucket").to_numpy(), [len(k) for k in keys])
+        return np.sort(bucket.astype(U64) << U64(32) | np.concatenate(keys).astype(U64))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """All shared keys of the files of the ascending numbers `rows`."""
         files = np.unique(rows >> 33).tolist()
         for old in [f for f in self._held if f not in files]:
             del self._held[old]
-        out = []
         for file in files:
             if file not in self._held:
                 self._held[file] = self._load(file)
-            if self._held[file] is not None:
-                row, bucket, key = self._held[file]
-                own = rows[(rows >> 33) == file]
-                a, b = np.searchsorted(row, own[0], "left"), np.searchsorted(row, own[-1], "right")
-                at = np.searchsorted(rows, row[a:b])
-                hit = rows[np.minimum(at, len(rows) - 1)] == row[a:b]
-                out.append((at[hit], bucket[a:b][hit], key[a:b][hit]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _joined(row: np.ndarray, bucket: np.ndarray, key: np.ndarray, buckets: int) -> np.ndarray:
-    """One number for a row of a batch, a bucket and a key's 32 bits; at worst two share one, which only adds work."""
-    return ((row * U64(buckets) + bucket) << U64(32)) | key
+        found = [self._held[f] for f in files if self._held[f] is not None]
+        return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per string of whole cells (key, part): the least id that holds each of its windows.
 
-    For keys that are split into parts, one row per window with a hash of it, to be merged.
+    For keys that are split into parts, one row per window with its bytes, to be merged.
     """
     schema = pa.schema([("name", pa.binary()), ("mins", pa.list_(pa.int64())), ("window", pa.binary()), ("place", pa.int64()), ("least", pa.int64())])
 
@@ -395,7 +377,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, low in zip(cut.tolist(), ends.tolist(), lowest.tolist(), strict=True):
             name, _, most, data, parts = rows[string[a]]
             if parts > 1:
-                out += [(name, None, hashlib.blake2b(data[p : p + SPAN], digest_size=16).digest(), p, m) for p, m in zip(place[a:b].tolist(), least[a:b].tolist(), strict=True)]
+                out += [(name, None, data[p : p + SPAN], p, m) for p, m in zip(place[a:b].tolist(), least[a:b].tolist(), strict=True)]
             elif low < most:
                 out.append((name, least[a:b], None, None, None))
         yield from ready(out)
@@ -475,7 +457,7 @@ def _by_file(df: DataFrame, where: str) -> str:
 
 
 def _gone(texts: DataFrame, where: str) -> str:
-    """Chunks whose name a document with a smaller id has, by file of texts."""
+    """Chunks whose name a document with a smaller id has, by file of texts. Names are 256-bit digests of all bytes."""
     chunks = keep(texts.mapInArrow(_chunks, "row long, id long, at long, n long, name binary"), f"{where}/chunks")
     least = chunks.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name", "least")
     copies = chunks.join(least, "name").where("least < id").select("row", "at", "n")
@@ -484,8 +466,8 @@ def _gone(texts: DataFrame, where: str) -> str:
 
 def _shared_keys(texts: DataFrame, gone: str, buckets: int, where: str) -> str:
     """Keys that two rows hold, by file of texts."""
-    keys = texts.mapInArrow(_keys(gone, buckets), "bucket int, first long, keys binary, rows binary")
-    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "row long, bucket int, rows binary, keys binary")
+    keys = texts.mapInArrow(_keys(gone, buckets), "bucket int, first long, keys binary, several binary")
+    shared = keys.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "row long, bucket int, keys binary")
     return _by_file(shared, f"{where}/shared")
 
 
@@ -524,15 +506,15 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
 
     Every SPAN-byte string that also begins in a document with a smaller doc_id is removed with all its
     bytes; overlaps count; strings are judged on the input. Steps:
-    1. Content-defined chunks, each with the SPAN - 1 bytes after it, are named by hashes. All windows that
-       begin in a chunk whose name a smaller doc_id has are gone; copies take no part in what follows.
+    1. Content-defined chunks, each with the SPAN - 1 bytes after it, are named by 256-bit digests. All windows
+       that begin in a chunk whose name a smaller doc_id has are gone; copies take no part in what follows.
     2. The least gram hash of a window is its key. Keys that only one document holds are dropped.
     3. The strings of windows with shared keys, once each with their least doc_id, are dealt out by key and
        sorted by their suffixes (difference cover); adjacent suffixes with equal first SPAN bytes are a
-       class, whose least doc_id is known then. Keys with very many strings are split, and their classes
-       merged by hash.
+       class, whose least doc_id is known then. Keys with very many strings are split over tasks, and their
+       classes merged by the windows' bytes.
     Texts are never shuffled: what concerns a document is written by the file of texts that holds it.
-    A null text is empty; texts below SPAN bytes stay; a null doc_id is greater than all others; rows with
+    A null text is empty; texts below SPAN bytes stay; very long texts are cut into runs like others; a null doc_id is greater than all others; rows with
     the same doc_id don't remove each other's bytes; an empty table gives an empty result. Other columns
     are ignored.
     Returns row, doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (bytes, else null).

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._files import Shared, attempt_name, read_back
-from ._shared import bounded_sample, keep, salted_join, scratch, small_batches
+from ._shared import bounded_sample, keep, marked, salted_join, scratch, small_batches
 
 #: Fixed values of the formats: magic numbers of a skippable frame and of a Zstandard frame.
 SKIPPABLE = 0x184D2A5D
@@ -23,13 +23,14 @@ _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def train(pages: DataFrame, records: int, record_bytes: int, size: int) -> bytes:
-    """A dictionary from the heads of a bounded sample of records (at most records * record_bytes bytes).
+    """A dictionary from a bounded sample of whole records: at most `records`, none above `record_bytes`.
 
     The sample only steers compression. With too little text to train on, its bytes are the dictionary.
     """
-    picked = bounded_sample(pages.where("html <> ''"), ["page_id", "url"], records)
-    rows = sorted(picked.select("page_id", "url", F.substring("html", 1, record_bytes).alias("html")).collect(), key=str)
-    sample = [(_http(len(r.html.encode())) + r.html.encode())[:record_bytes] for r in rows]
+    short = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= record_bytes))
+    picked = bounded_sample(short, ["page_id", "url"], records)
+    rows = sorted(picked.select("page_id", "url", "html").collect(), key=str)
+    sample = [_http(len(r.html.encode())) + r.html.encode() for r in rows]
     try:
         return zstandard.train_dictionary(size, sample, level=3, d=8, k=256).as_bytes()
     except zstandard.ZstdError:
@@ -40,34 +41,40 @@ def _http(n: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, row: int) -> str:
+    """A record's name: its page and its row, as rows may share a page."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_row: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     block = _http(len(payload)) + payload if refers_to is None else b""
     fields = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, row)}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
         fields.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
-        fields += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        fields += [f"WARC-Refers-To: {_urn(refers_to, refers_row)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return ("\r\n".join(fields) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def classify(pages: DataFrame, least: int) -> DataFrame:
-    """Adds payload_digest, and refers_to: the smallest page_id among equal payloads of `least` bytes or more."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_digest", F.sha2("html", 256))
-    first = (
-        pages.where(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    )
-    joined = salted_join(pages.withColumn("_r", F.xxhash64("page_id", "url")), first.drop("n"), ["payload_digest"], "_r")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("refers_to", F.when(again, F.col("first"))).select("page_id", "url", "html", "payload_digest", "refers_to")
+    """Adds payload_digest, row (a number), and refers_to and refers_row: the smallest page_id, and of its rows the
+    first, among equal payloads of `least` bytes or more."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    pages = pages.withColumn("payload_digest", F.sha2("html", 256))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
+    first = pages.where(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # only pages whose digest may repeat are shuffled
+    rows = marked(pages, "payload_digest", first, "payload_digest")
+    some = salted_join(rows.where("_marked"), first.drop("n"), ["payload_digest"], "row", merge=True)
+    joined = some.unionByName(rows.where("NOT _marked"), allowMissingColumns=True)
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    refers = lambda c: F.when(again, F.col(f"first.{c}"))
+    return joined.select("page_id", "row", "url", "html", "payload_digest", refers("page_id").alias("refers_to"), refers("row").alias("refers_row"))
 
 
 def _writer(folder: str, dictionary: bytes, file_bytes: int):
@@ -78,12 +85,12 @@ def _writer(folder: str, dictionary: bytes, file_bytes: int):
         try:
             for batch in batches:
                 rows = {"page_id": [], "file": [], "at": [], "length": [], "record_type": []}
-                for page_id, url, html, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page_id, row, url, html, digest, refers, refers_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
                         out = Shared(folder, attempt_name(sequence, SUFFIX))
                         sequence += 1
                         out.write(SKIPPABLE.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
-                    frame = packer.compress(_record(page_id, url, html.encode(), digest, refers))
+                    frame = packer.compress(_record(page_id, row, url, html.encode(), digest, refers, refers_row))
                     for name, value in zip(rows, (page_id, out.name, out.size, len(frame), "response" if refers is None else "revisit"), strict=True):
                         rows[name].append(value)
                     out.write(frame)
@@ -93,9 +100,12 @@ def _writer(folder: str, dictionary: bytes, file_bytes: int):
                 yield pa.RecordBatch.from_pydict(
                     rows, schema=pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("record_type", pa.string())])
                 )
-        finally:
             if out is not None:
                 out.close()
+                out = None
+        finally:
+            if out is not None:
+                out.abort()
 
     return write
 
@@ -135,7 +145,8 @@ def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 
 def _number(urn: str | None) -> int | None:
-    return None if urn is None or urn == "<urn:page:>" else int(urn[10:-1])
+    page = "" if urn is None else urn[10:-1].split(":")[0]
+    return int(page) if page else None
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +173,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(
-    pages: DataFrame, folder: str, *, least: int = 100, sample_records: int = 512, sample_bytes: int = 8192, dictionary_bytes: int = 65536, file_bytes: int = 16 << 20
+    pages: DataFrame, folder: str, *, least: int = 100, sample_records: int = 512, sample_bytes: int = 65536, dictionary_bytes: int = 65536, file_bytes: int = 16 << 20
 ) -> DataFrame:
     """Write one WARC record per row of `pages` (page_id, url, html) below `folder`; returns the manifest.
 
@@ -171,7 +182,7 @@ def write_archives(
     others are revisits without a block. A null html is an empty payload, a null url leaves out the target,
     a null page_id can't be referred to; repeated rows of the smallest page_id are responses each; an
     empty table writes nothing. Other columns are ignored. The dictionary is fitted on at most
-    sample_records * sample_bytes bytes.
+    `sample_records` whole records, none of more than `sample_bytes` bytes; very long pages are records like others.
     """
     small_batches(pages.sparkSession)
     dictionary = train(pages, sample_records, sample_bytes, dictionary_bytes)
@@ -181,7 +192,7 @@ def write_archives(
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """All records of the archives that the manifest's tasks committed; payload digests are checked."""
-    return read_back(manifest.sparkSession, folder, manifest).mapInArrow(_reader, _RECORDS)
+    return read_back(folder, manifest).mapInArrow(_reader, _RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
