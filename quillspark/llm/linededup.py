@@ -5,116 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, marked, salted_join, scratch
+from ._shared import keep, marked, named_apart, named_back, salted_join, scratch
 
 #: Stands for a variable field.
 ANY = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The line's tokens with single blanks between; a token that holds a digit is a variable field."""
-    clean = F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " "))
-    # begins at a token's start and never goes back, so that long tokens take linear time
-    return F.regexp_replace(clean, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)
-
-
-def line_table(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """One row per line of `least_tokens` or more: its document, place, template key, tree leaf and neighbours.
-
-    A leaf is the path of the token count and the first `depth` tokens.
-    """
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.transform(F.split("text", "\n"), masked).alias("a"))
-
-    def entry(line: Column, i: Column) -> Column:
-        return F.struct(
-            line.alias("m"),
-            F.xxhash64(F.coalesce(F.get("a", i - 1), F.lit("\n")), F.coalesce(F.get("a", i + 1), F.lit("\n"))).alias("ctx"),
-        )
-
-    rows = lines.select("rid", F.posexplode(F.transform("a", entry)).alias("pos", "x")).select("rid", "pos", "x.m", "x.ctx")
-    tokens = F.length("m") - F.length(F.translate("m", " ", "")) + 1
-    rows = rows.withColumn("n_tokens", F.when(F.col("m") == "", 0).otherwise(tokens)).where(F.col("n_tokens") >= least_tokens)
-    leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.substring_index("m", " ", depth))
-    return rows.select("rid", "pos", "ctx", "n_tokens", "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
-
-
-def recurring_lines(lines: DataFrame, where: str, *, depth: int, least_docs: int, similarity: int, contexts: int) -> DataFrame:
-    """Keys of the lines whose template recurs across documents.
-
-    A template is a masked line, or a leaf's: tokens beyond the first `depth` are constant where one token
-    is in more than half of the leaf's documents by line, else variable; lines belong to it if `similarity`
-    percent of their tokens are its constants. It recurs if its lines have `least_docs` distinct pairs of
-    neighbouring lines and these are `contexts` percent of its documents or more: what recurs between
-    the same neighbours is a copy of a document and left to document-level operators.
-    """
-    counts = keep(lines.groupBy("line", "leaf").agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens")), f"{where}/counts")
-    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k")).where((F.col("s") >= least_docs) & (F.col("k") > 1)).select("leaf")
-    leaves = keep(leaves, f"{where}/leaves")
-    some = marked(counts, "leaf", leaves, "leaf").where("_marked").drop("_marked")
-    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens"), f"{where}/shared")
-    candidates = counts.where(F.col("n") >= least_docs).select("line", "leaf").unionByName(shared.select("line", "leaf")).distinct()
-    candidates = keep(candidates, f"{where}/candidates")
-    # of the lines, only those that may be candidates are shuffled
-    some = marked(lines.select("line", "leaf", "rid", "ctx"), "line", candidates, "line").where("_marked").drop("_marked")
-    seen = salted_join(some, candidates.select("line"), ["line"], "rid", "inner", merge=True)
-    seen = keep(seen.groupBy("line", "leaf").agg(F.count_distinct("rid").alias("docs"), F.count_distinct("ctx").alias("ctx")), f"{where}/seen")
-    often = (F.col("ctx") >= least_docs) & (F.col("ctx") * 100 >= F.col("docs") * contexts)
-    # leaf templates: the text of each line once
-    own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
-    text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
-    text = keep(text.join(seen.hint("merge"), "line").join(shared.select("line", "n_tokens").hint("merge"), "line"), f"{where}/text")
-    tokens = text.select("line", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")).where(F.col("at") >= depth)
-    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"))
-    total = text.groupBy("leaf").agg(F.sum("docs").alias("total"))
-    constant = weight.groupBy("leaf", "at").agg(F.max(F.struct("w", "token")).alias("x")).join(total, "leaf").where(F.col("x.w") * 2 > F.col("total"))
-    constant = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.token"))).alias("constants"))
-    constant = keep(constant, f"{where}/constants")
-    own = salted_join(text, constant, ["leaf"], "line")
-    equal = F.size(F.filter(F.transform(F.split("m", " "), lambda t, i: t == F.col("constants")[i]), lambda hit: F.coalesce(hit, F.lit(False))))
-    alike = own.withColumn("equal", F.when(F.col("constants").isNull(), 0).otherwise(equal) + F.least(F.lit(depth), "n_tokens"))
-    alike = keep(alike.where(F.col("equal") * 100 >= F.col("n_tokens") * similarity).select("line", "leaf", "docs", "ctx"), f"{where}/alike")
-    groups = alike.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.sum("ctx").alias("ctx"), F.count("*").alias("k")).where(often & (F.col("k") > 1))
-    found = seen.where(often).select("line").unionByName(salted_join(alike.select("line", "leaf"), groups.select("leaf"), ["leaf"], "line", "inner").select("line"))
-    return keep(found.distinct(), f"{where}/found")
-
-
-def dedup_lines(
-    docs: DataFrame, *, depth: int = 3, least_tokens: int = 4, least_docs: int = 10, similarity: int = 80, contexts: int = 60
-) -> DataFrame:
-    """`docs` with the lines dropped whose template recurs across documents, and n_lines, n_dropped.
-
-    Lines are what newlines separate. Short lines (under `least_tokens`) and those that recur only inside
-    copies of a document stay; see `recurring_lines`. Rows with the same doc_id and text count as one
-    document. A null text stays null with 0 lines, an empty one is one empty line; a document all of
-    whose lines recur becomes empty. An empty table gives an empty result. Other columns are kept; any
-    named n_lines or n_dropped are replaced.
-    """
-    where = scratch(docs.sparkSession, "lines")
-    lines = keep(line_table(docs, depth, least_tokens), f"{where}/lines")
-    found = recurring_lines(lines, where, depth=depth, least_docs=least_docs, similarity=similarity, contexts=contexts)
-    return _without(docs, lines, found, where)
-
-
-def _without(docs: DataFrame, lines: DataFrame, found: DataFrame, where: str) -> DataFrame:
-    """`docs` without the `lines` whose key is in `found`, and n_lines, n_dropped."""
-    some = marked(lines.select("rid", "pos", "line"), "line", found, "line").where("_marked").drop("_marked")
-    dropped = salted_join(some, found, ["line"], "rid", "inner", merge=True).groupBy("rid").agg(F.collect_set("pos").alias("_dropped"))
-    dropped = keep(dropped, f"{where}/dropped")
-    # documents that surely keep all lines aren't shuffled
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_rid", F.xxhash64("doc_id", "text"))
-    dropped = dropped.withColumnRenamed("rid", "_rid")
-    rows = marked(rows, "_rid", dropped, "_rid")
-    touched = rows.where("_marked").join(dropped.hint("merge"), "_rid", "left")
-    rows = touched.unionByName(rows.where("NOT _marked").withColumn("_dropped", F.lit(None).cast("array<int>"))).drop("_rid", "_marked")
-    # the lines once per row, so that taking one is no new split
-    rows = rows.withColumn("_lines", F.split("text", "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_dropped"), lambda i: F.get("_lines", i))
-    rows = rows.withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    n_dropped = F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long")
-    return rows.withColumn("n_lines", n_lines).withColumn("n_dropped", n_dropped).drop("_lines", "_dropped")
-
-
 #: Scripts that are written without blanks.
 UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
@@ -131,7 +27,7 @@ def host_lines(docs: DataFrame, depth: int) -> DataFrame:
     """
     clean = F.transform(F.split("text", "\n"), lambda line: F.trim(F.regexp_replace(line, "[ \t\r\f\x0B]+", " ")))
     whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), clean.alias("a"))
-    fields = lambda m: F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)  # noqa: E731  as in masked()
+    fields = lambda m: F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)  # noqa: E731  begins at a token's start and never goes back, so that long tokens take linear time
     whole = whole.select("rid", F.transform("a", lambda m: F.when(_tokens(m) < 4, m).otherwise(fields(m))).alias("a"))
     total = F.aggregate("a", F.lit(0).cast("long"), lambda n, m: n + F.length(m))
     rows = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), F.posexplode("a").alias("pos", "m"))
@@ -147,7 +43,11 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
 
     Documents with the same masked text are one. A document more than half of whose characters are in lines
     that other texts hold too is most likely a near copy: all of these count as one document for a template.
-    Leaves and their constants are those of `recurring_lines`; a leaf's documents are counted, not summed by line.
+    A leaf's lines are split into groups by their heaviest token beyond the first `depth`: the one that most
+    documents of the leaf hold at its place, among those of two lines or more (of equals the first place, then
+    the greatest token). A group's template has constants where one token is in more than half of the group's
+    documents by line, else variable fields; lines belong to it if `similarity` percent of their tokens are
+    constants, and its documents are counted once however many of its lines they hold.
     """
     several = F.min("tid") < F.max("tid")
     counts = lines.groupBy("line", "leaf").agg(several.alias("several"), F.first("n_tokens").alias("n_tokens"), F.first("size").alias("size"), F.count("*").alias("n"))
@@ -178,21 +78,28 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
     text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
     weights = seen.groupBy("line", "leaf", "n_tokens").agg(F.count("*").alias("docs"))
-    text = keep(text.join(weights.hint("merge"), "line"), f"{where}/text")
-    tokens = text.select("line", "leaf", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")).where(F.col("at") >= depth)
-    weight = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"))
-    total = text.groupBy("leaf").agg(F.sum("docs").alias("total"))
-    constant = weight.groupBy("leaf", "at").agg(F.max(F.struct("w", "token")).alias("x")).join(total, "leaf").where(F.col("x.w") * 2 > F.col("total"))
-    constant = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.token"))).alias("constants"))
-    constant = keep(constant, f"{where}/constants")
-    own = salted_join(text, constant, ["leaf"], "line")
+    tokens = F.posexplode(F.split("m", " ")).alias("at", "token")
+    text = keep(text.join(weights.hint("merge"), "line").where(F.col("n_tokens") > depth), f"{where}/text")
+    places = text.select("line", "leaf", "docs", tokens).where(F.col("at") >= depth)
+    heavy = keep(places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.count("*").alias("k")).where("k > 1").drop("k"), f"{where}/heavy")
+    name = F.xxhash64("leaf", "at", "token")
+    known = marked(places.withColumn("name", name), "name", heavy.withColumn("name", name), "name").where("_marked").drop("_marked", "name")
+    best = F.max(F.struct("w", (-F.col("at")).alias("back"), "token")).alias("x")
+    split = salted_join(known, heavy, ["leaf", "at", "token"], "line", "inner", merge=True).groupBy("line", "leaf").agg(best)
+    split = split.select("line", F.unhex(F.md5(F.concat_ws(" ", F.hex("leaf"), F.col("x.back").cast("string"), "x.token"))).alias("grp"))
+    text = keep(text.join(split.hint("merge"), "line"), f"{where}/grouped")
+    weight = text.select("line", "grp", "docs", tokens).where(F.col("at") >= depth).groupBy("grp", "at", "token").agg(F.sum("docs").alias("w"))
+    total = text.groupBy("grp").agg(F.sum("docs").alias("total"), F.count("*").alias("k")).where("k > 1").drop("k")
+    constant = weight.groupBy("grp", "at").agg(F.max(F.struct("w", "token")).alias("x")).join(total.hint("merge"), "grp").where(F.col("x.w") * 2 > F.col("total"))
+    constant = constant.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.token"))).alias("constants"))
+    own = salted_join(text, keep(constant, f"{where}/constants"), ["grp"], "line", "inner", merge=True)
     equal = F.size(F.filter(F.transform(F.split("m", " "), lambda t, i: t == F.col("constants")[i]), lambda hit: F.coalesce(hit, F.lit(False))))
-    alike = own.withColumn("equal", F.when(F.col("constants").isNull(), 0).otherwise(equal) + F.least(F.lit(depth), "n_tokens"))
-    alike = keep(alike.where(F.col("equal") * 100 >= F.col("n_tokens") * similarity).select("line"), f"{where}/alike")
+    alike = own.where((equal + F.lit(depth)) * 100 >= F.col("n_tokens") * similarity).select("line", "grp")
+    alike = keep(alike, f"{where}/alike")
     members = salted_join(marked(seen, "line", alike, "line").where("_marked").drop("_marked"), alike, ["line"], "host", "inner", merge=True)
-    groups = members.groupBy("leaf", "host").agg(F.min("size").alias("size")).groupBy("leaf").agg(F.min("size").alias("size"), F.count("*").alias("hosts"))
-    groups = groups.where(F.col("hosts") >= least_hosts()).select("leaf")
-    group = salted_join(members.select("line", "leaf").distinct(), groups, ["leaf"], "line", "inner").select("line")
+    groups = members.groupBy("grp", "host").agg(F.min("size").alias("size")).groupBy("grp").agg(F.min("size").alias("size"), F.count("*").alias("hosts"))
+    groups = groups.where(F.col("hosts") >= least_hosts()).select("grp")
+    group = salted_join(alike, groups, ["grp"], "line", "inner", merge=True).select("line")
     return keep(exact.unionByName(group).distinct(), f"{where}/found")
 
 
@@ -202,12 +109,39 @@ def least_hosts() -> Column:
     return F.when(size < 4, 20).otherwise(F.greatest(F.lit(2), 10 - F.floor((size - 4) * 8 / 46)))
 
 
-def drop_boilerplate(docs: DataFrame, *, depth: int = 3, similarity: int = 80) -> DataFrame:
-    """`docs` with the lines dropped whose template is in enough different documents, and n_lines, n_dropped.
-
-    Unlike `dedup_lines`, whose rule the SQL of op1_line_dedup fixes, it doesn't ask for varied neighbours, so that
-    blocks of lines go too, and copies of a host don't count; see `boilerplate`. Rows, nulls and columns are as there.
+def _without(docs: DataFrame, lines: DataFrame, found: DataFrame, where: str, counts: bool) -> DataFrame:
+    """`docs` without the `lines` whose key is in `found`, and n_lines, n_dropped if asked."""
+    some = marked(lines.select("rid", "pos", "line"), "line", found, "line").where("_marked").drop("_marked")
+    dropped = salted_join(some, found, ["line"], "rid", "inner", merge=True).groupBy("rid").agg(F.collect_set("pos").alias("dropped"))
+    dropped = keep(dropped, f"{where}/dropped")
+    # documents that surely keep all lines aren't shuffled; the caller's columns go by numbers meanwhile
+    apart, names = named_apart(docs, "text")
+    at = names.index("doc_id")
+    rows = marked(apart.withColumn("rid", F.xxhash64(f"_c{at}", "text")), "rid", dropped, "rid")
+    touched = rows.where("_marked").join(dropped.hint("merge"), "rid", "left")
+    rows = touched.unionByName(rows.where("NOT _marked").withColumn("dropped", F.lit(None).cast("array<int>")))
+    # the lines once per row, so that taking one is no new split
+    rows = rows.withColumn("lines", F.split("text", "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped"), lambda i: F.get("lines", i))
+    rows = rows.withColumn(f"_c{names.index('text')}", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    if not counts:
+        return named_back(rows, names)
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    out = rows.select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n not in ("n_lines", "n_dropped")), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return out
+
+
+def dedup_lines(docs: DataFrame, *, depth: int = 3, similarity: int = 80, counts: bool = True) -> DataFrame:
+    """`docs` with the lines dropped whose template is in enough different documents, and n_lines, n_dropped if `counts`.
+
+    Lines are what newlines separate; see `boilerplate` for templates and `least_hosts` for how often they recur. A
+    line goes wherever it stands: blocks of lines, short lines and scripts without blanks too. Rows with the same
+    doc_id and text count as one document, and copies of a host don't count. A null text stays null with 0 lines,
+    an empty one is one empty line, which stays; a document all of whose lines recur becomes empty; very long
+    texts and lines are read whole. An empty table gives an empty result. Other columns are kept, whatever their
+    names; with `counts`, any named n_lines or n_dropped are replaced.
     """
-    where = scratch(docs.sparkSession, "boilerplate")
-    lines = keep(host_lines(docs, depth), f"{where}/lines")
-    return _without(docs, lines, boilerplate(lines, where, depth=depth, similarity=similarity), where)
+    where = scratch(docs.sparkSession, "lines")
+    lines = keep(host_lines(docs.select("doc_id", "text"), depth), f"{where}/lines")
+    return _without(docs, lines, boilerplate(lines, where, depth=depth, similarity=similarity), where, counts)

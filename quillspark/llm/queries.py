@@ -24,34 +24,42 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+_HOSTS = "CASE WHEN size < 4 THEN 20 ELSE greatest(2, 10 - CAST(floor((size - 4) * 8 / 46) AS BIGINT)) END"
+
+
 @_query(
     "op1_line_dedup",
-    """
+    f"""
     WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-    n AS (SELECT row_number() OVER () AS rid, doc_id, text FROM d),
-    a AS (SELECT rid, list_transform(string_split(text, chr(10)), lambda x:
-              regexp_replace(trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')) AS ms
-          FROM n),
-    b AS (SELECT rid, ms, unnest(range(len(ms))) AS pos FROM a),
-    l AS (SELECT rid, pos, ms[pos + 1] AS m, coalesce(ms[pos], chr(10)) AS before, coalesce(ms[pos + 2], chr(10)) AS after,
-                 len(string_split(ms[pos + 1], ' ')) AS n_tokens FROM b WHERE ms[pos + 1] <> ''),
-    s AS (SELECT m, any_value(n_tokens) AS n_tokens, array_to_string(string_split(m, ' ')[1:3], ' ') AS head,
-                 count(DISTINCT rid) AS docs, count(DISTINCT (before, after)) AS ctx
-          FROM l WHERE n_tokens >= 4 GROUP BY m),
-    t AS (SELECT m, n_tokens, head, docs, string_split(m, ' ') AS ts FROM s),
-    w AS (SELECT n_tokens, head, place, token, sum(docs) AS w
-          FROM (SELECT n_tokens, head, docs, unnest(range(4, len(ts) + 1)) AS place, unnest(ts[4:]) AS token FROM t) GROUP BY ALL),
-    f AS (SELECT n_tokens, head, sum(docs) AS total FROM s GROUP BY ALL),
-    c AS (SELECT w.n_tokens, w.head, place, token FROM w JOIN f USING (n_tokens, head) WHERE w * 2 > total),
-    o AS (SELECT t.m, count(*) AS same
-          FROM (SELECT m, n_tokens, head, unnest(range(4, len(ts) + 1)) AS place, unnest(ts[4:]) AS token FROM t) t
-          JOIN c ON c.n_tokens = t.n_tokens AND c.head = t.head AND c.place = t.place AND c.token = t.token GROUP BY t.m),
-    k AS (SELECT s.* FROM s LEFT JOIN o USING (m) WHERE (coalesce(same, 0) + 3) * 100 >= n_tokens * 80),
-    g AS (SELECT n_tokens, head FROM k GROUP BY ALL HAVING count(*) > 1 AND sum(ctx) >= 10 AND sum(ctx) * 100 >= sum(docs) * 60),
-    r AS (SELECT m FROM s WHERE ctx >= 10 AND ctx * 100 >= docs * 60
-          UNION SELECT k.m FROM k JOIN g USING (n_tokens, head)),
-    x AS (SELECT rid, list(pos) AS dropped FROM l JOIN r USING (m) GROUP BY rid),
-    y AS (SELECT n.doc_id, n.text, x.dropped FROM n LEFT JOIN x USING (rid)),
+    c AS (SELECT row_number() OVER () AS rid, doc_id, text, list_transform(string_split(text, chr(10)), lambda x:
+              trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ')) AS cs FROM d),
+    a AS MATERIALIZED (SELECT rid, doc_id, text, list_transform(cs, lambda x:
+              CASE WHEN len(string_split(x, ' ')) < 4 THEN x ELSE regexp_replace(x, '[^ ]*[0-9][^ ]*', '<*>', 'g') END) AS ms FROM c),
+    i AS (SELECT ms, row_number() OVER () AS tid FROM (SELECT DISTINCT ms FROM a)),
+    b AS (SELECT rid, tid, a.ms, list_sum(list_transform(a.ms, lambda x: length(x))) AS total, unnest(range(len(a.ms))) AS pos FROM a JOIN i ON a.ms = i.ms),
+    l0 AS (SELECT rid, tid, total, pos, ms[pos + 1] AS m, len(string_split(ms[pos + 1], ' ')) AS n_tokens FROM b WHERE ms[pos + 1] <> ''),
+    l AS MATERIALIZED (SELECT *, array_to_string(string_split(m, ' ')[1:3], ' ') AS head,
+              CASE WHEN regexp_matches(m, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Lao}}\\p{{Khmer}}\\p{{Myanmar}}]') THEN greatest(n_tokens, length(m) // 2) ELSE n_tokens END AS size FROM l0),
+    counts AS MATERIALIZED (SELECT m, n_tokens, head, any_value(size) AS size, count(DISTINCT tid) > 1 AS several, count(*) AS n FROM l GROUP BY m, n_tokens, head),
+    copies AS (SELECT rid FROM l JOIN counts USING (m) WHERE several GROUP BY rid HAVING sum(length(m)) * 2 > any_value(total)),
+    leaves AS (SELECT n_tokens, head FROM (SELECT n_tokens, head, sum(n) AS s, count(*) AS k, max(size) AS size FROM counts GROUP BY n_tokens, head) WHERE k > 1 AND s >= {_HOSTS}),
+    shared AS (SELECT counts.* FROM counts JOIN leaves USING (n_tokens, head)),
+    candidates AS (SELECT m FROM counts WHERE several AND n >= {_HOSTS} UNION SELECT m FROM shared),
+    seen AS MATERIALIZED (SELECT DISTINCT m, n_tokens, head, size, CASE WHEN copies.rid IS NULL THEN tid ELSE 0 END AS host FROM l JOIN candidates USING (m) LEFT JOIN copies ON copies.rid = l.rid),
+    exact AS (SELECT m FROM (SELECT m, size, count(*) AS hosts FROM seen GROUP BY m, size) WHERE hosts >= {_HOSTS}),
+    lines AS MATERIALIZED (SELECT s.m, s.n_tokens, s.head, count(*) AS docs FROM seen s JOIN (SELECT m FROM shared) USING (m) WHERE s.n_tokens > 3 GROUP BY s.m, s.n_tokens, s.head),
+    tokens AS MATERIALIZED (SELECT m, n_tokens, head, docs, unnest(range(3, n_tokens)) AS place, unnest(string_split(m, ' ')[4:]) AS token FROM lines),
+    heavy AS (SELECT n_tokens, head, place, token, sum(docs) AS w FROM tokens GROUP BY ALL HAVING count(*) > 1),
+    best AS (SELECT m, first(place ORDER BY w DESC, place, token DESC) AS gp, first(token ORDER BY w DESC, place, token DESC) AS gt FROM tokens JOIN heavy USING (n_tokens, head, place, token) GROUP BY m),
+    grouped AS MATERIALIZED (SELECT tokens.*, gp, gt FROM tokens JOIN best USING (m)),
+    totals AS (SELECT n_tokens, head, gp, gt, sum(docs) AS total FROM (SELECT DISTINCT m, n_tokens, head, gp, gt, docs FROM grouped) GROUP BY n_tokens, head, gp, gt HAVING count(*) > 1),
+    constants AS (SELECT n_tokens, head, gp, gt, place, token FROM (SELECT n_tokens, head, gp, gt, place, token, sum(docs) AS w FROM grouped GROUP BY ALL) JOIN totals USING (n_tokens, head, gp, gt) WHERE w * 2 > total),
+    alike AS MATERIALIZED (SELECT m, n_tokens, head, gp, gt FROM grouped JOIN constants USING (n_tokens, head, gp, gt, place, token) GROUP BY m, n_tokens, head, gp, gt HAVING (count(*) + 3) * 100 >= n_tokens * 80),
+    members AS (SELECT a.n_tokens, a.head, gp, gt, host, min(size) AS size FROM alike a JOIN seen USING (m) GROUP BY a.n_tokens, a.head, gp, gt, host),
+    groups AS (SELECT n_tokens, head, gp, gt FROM (SELECT n_tokens, head, gp, gt, min(size) AS size, count(*) AS hosts FROM members GROUP BY n_tokens, head, gp, gt) WHERE hosts >= {_HOSTS}),
+    found AS (SELECT m FROM exact UNION SELECT m FROM alike JOIN groups USING (n_tokens, head, gp, gt)),
+    x AS (SELECT rid, list(pos) AS dropped FROM l JOIN found USING (m) GROUP BY rid),
+    y AS (SELECT a.doc_id, a.text, x.dropped FROM a LEFT JOIN x USING (rid)),
     z AS (SELECT documents.doc_id, documents.text, y.dropped, string_split(documents.text, chr(10)) AS ls
           FROM documents LEFT JOIN y ON y.doc_id IS NOT DISTINCT FROM documents.doc_id AND y.text = documents.text)
     SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
@@ -64,12 +72,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-@_query("op1_line_dedup_whole")
-def op1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the pipeline drops lines: whatever their neighbours are, and however many copies their hosts have."""
-    return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
-
-
 @_query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")

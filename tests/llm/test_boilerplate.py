@@ -19,7 +19,7 @@ def page(*block, n=4):
 def dropped(spark, texts):
     """Per text the lines that are gone."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {x.doc_id: x for x in linededup.drop_boilerplate(df).collect()}
+    out = {x.doc_id: x for x in linededup.dedup_lines(df).collect()}
     assert len(out) == len(texts)
     found = []
     for i, t in enumerate(texts):
@@ -74,3 +74,24 @@ def test_short_lines_and_scripts_without_blanks(spark):
     texts = [page(short, n=8) for _ in range(25)] + [page(few, n=8) for _ in range(12)] + [page(chinese, n=8) for _ in range(8)]
     texts += [page(str(i), n=8) for i in range(30)]  # numbers that differ are no template
     assert dropped(spark, texts) == [[short]] * 25 + [[]] * 12 + [[chinese]] * 8 + [[]] * 30
+
+
+def test_header_of_four_lines_and_a_short_line(spark):
+    header = ["Home news and all", "Sign in or register today", "Menu", "The daily page of the town"]
+    texts = ["\n".join([*header, *(prose(R.randrange(12, 20)) for _ in range(3)), "Read more now"]) for _ in range(100)]
+    assert dropped(spark, texts) == [[*header, "Read more now"]] * 100
+
+
+def test_two_templates_of_one_leaf(spark):
+    one = [page(f"written by the staff of {WORDS[i]} on this very day here", n=8) for i in range(14)]
+    two = [page(f"written by the office in {WORDS[i]} for all our good readers", n=8) for i in range(14)]
+    assert [len(x) for x in dropped(spark, one + two)] == [1] * 28
+
+
+def test_clashing_columns(spark):
+    names = "doc_id long, text string, rid string, n_lines int, _marked int, _place int, _bits int, dropped int, lines int, _salt int, line string"
+    df = spark.createDataFrame([(i, page("All of this is shared by many", n=8), "r", 1, 2, 3, 4, 5, 6, 7, "x") for i in range(15)], names)
+    out = linededup.dedup_lines(df, counts=False)
+    assert out.columns == df.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {("r", 1, 2, 3, 4, 5, 6, 7, "x")}
+    assert {r.n_lines for r in linededup.dedup_lines(df).collect()} == {9}

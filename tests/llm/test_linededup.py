@@ -5,38 +5,72 @@ from collections import defaultdict
 from quillspark.llm import linededup
 
 
+def clean(line):
+    return re.sub(r"[ \t\r\f\x0B]+", " ", line).strip(" ")
+
+
 def mask(line):
-    clean = re.sub(r"[ \t\r\f\x0B]+", " ", line).strip(" ")
-    return " ".join("<*>" if re.search("[0-9]", t) else t for t in clean.split(" ")) if clean else ""
-
-
-def expected(rows, depth=3, least=4, docs=10, similar=80, contexts=60):
-    lines = defaultdict(lambda: (set(), set()))
-    for key in {(d, t) for d, t in rows if t is not None}:
-        ms = [mask(x) for x in key[1].split("\n")]
-        for i, m in enumerate(ms):
-            if m and len(m.split(" ")) >= least:
-                lines[m][0].add(key)
-                lines[m][1].add((ms[i - 1] if i else "\n", ms[i + 1] if i + 1 < len(ms) else "\n"))
-    often = lambda d, c: c >= docs and c * 100 >= d * contexts
-    found = {m for m, (d, c) in lines.items() if often(len(d), len(c))}
+    c = clean(line)
+    ts = c.split(" ") if c else []
+    return c if len(ts) < 4 else " ".join("<*>" if re.search("[0-9]", t) else t for t in ts)
+
+
+def size_of(m):
+    n = len(m.split(" "))
+    return max(n, len(m) // 2) if re.search("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]", m) else n
+
+
+def least(size):
+    return 20 if size < 4 else max(2, 10 - (size - 4) * 8 // 46)
+
+
+def expected(rows, depth=3, similar=80):
+    docs = {key: [mask(x) for x in key[1].split("\n")] for key in {(d, t) for d, t in rows if t is not None}}
+    texts, n = defaultdict(set), defaultdict(int)
+    for ms in docs.values():
+        for m in ms:
+            if m:
+                texts[m].add(tuple(ms))
+                n[m] += 1
+    copy = {k for k, ms in docs.items() if sum(len(m) for m in ms if m and len(texts[m]) > 1) * 2 > sum(map(len, ms))}
+    hosts = defaultdict(set)
+    for k, ms in docs.items():
+        for m in ms:
+            if m:
+                hosts[m].add(0 if k in copy else tuple(ms))
     leaves = defaultdict(list)
-    for m in lines:
+    for m in n:
         t = m.split(" ")
         leaves[len(t), tuple(t[:depth])].append(m)
-    for (n, _), ms in leaves.items():
-        total = sum(len(lines[m][0]) for m in ms)
-        constant = {}
-        for at in range(depth, n):
-            w = defaultdict(int)
-            for m in ms:
-                w[m.split(" ")[at]] += len(lines[m][0])
-            best = max(w, key=lambda t: w[t])  # a majority is unique
-            if w[best] * 2 > total:
-                constant[at] = best
-        own = [m for m in ms if (min(depth, n) + sum(m.split(" ")[at] == t for at, t in constant.items())) * 100 >= n * similar]
-        if len(own) > 1 and often(sum(len(lines[m][0]) for m in own), sum(len(lines[m][1]) for m in own)):
-            found |= set(own)
+    found = {m for m in n if len(texts[m]) > 1 and n[m] >= least(size_of(m)) and len(hosts[m]) >= least(size_of(m))}
+    for (length, _), ms in leaves.items():
+        if len(ms) < 2 or sum(n[m] for m in ms) < least(max(map(size_of, ms))):
+            continue
+        found |= {m for m in ms if len(hosts[m]) >= least(size_of(m))}
+        if length <= depth:
+            continue
+        w, k = defaultdict(int), defaultdict(int)
+        for m in ms:
+            for at, t in enumerate(m.split(" ")[depth:], depth):
+                w[at, t] += len(hosts[m])
+                k[at, t] += 1
+        groups = defaultdict(list)
+        for m in ms:
+            own = [(w[at, t], -at, t.encode()) for at, t in enumerate(m.split(" ")[depth:], depth) if k[at, t] > 1]
+            if own:
+                groups[max(own)[1:]].append(m)
+        for own in groups.values():
+            total, constant = sum(len(hosts[m]) for m in own), {}
+            for at in range(depth, length):
+                v = defaultdict(int)
+                for m in own:
+                    v[m.split(" ")[at]] += len(hosts[m])
+                best = max(v, key=lambda t: v[t])  # a majority is unique
+                if v[best] * 2 > total:
+                    constant[at] = best
+            alike = [m for m in own if (depth + sum(m.split(" ")[at] == t for at, t in constant.items())) * 100 >= length * similar]
+            if len(own) > 1 and alike and len(set().union(*(hosts[m] for m in alike))) >= least(min(map(size_of, alike))):
+                found |= set(alike)
     out = []
     for d, t in rows:
         ls = [] if t is None else t.split("\n")
@@ -50,10 +84,11 @@ def cases():
     prose = lambda n: " ".join(r.choice("abcdefghij") + str.lower(r.choice("KLMNOP")) * r.randrange(1, 4) for _ in range(n))
     boiler = ["Licensed under the X License, version 2.0.", "Share this page with  friends", "Read more"]
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "x" * 50_000 + "\n" + "a1" * 30_000)]
-    for i in range(10, 60):
-        ls = [prose(r.randrange(1, 12)) for _ in range(r.randrange(1, 6))]
+    for i in range(10, 80):
+        ls = [prose(r.randrange(1, 22)) for _ in range(r.randrange(3, 9))]
         ls.insert(r.randrange(len(ls) + 1), r.choice(boiler))
         ls.insert(r.randrange(len(ls) + 1), f"Posted by user {prose(1)} on day {r.randrange(30)} of May")
+        ls.insert(r.randrange(len(ls) + 1), f"Posted by user {prose(1)} in the {r.randrange(30)} th year")
         ls.insert(r.randrange(len(ls) + 1), f"visits to this page {r.randrange(10**6)}")
         rows.append((i, "\n".join(ls)))
     copy = "\n".join(prose(9) for _ in range(8))
