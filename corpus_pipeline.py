@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template is in enough different ones; n_chars follows the text."""
-    return linededup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return linededup.dedup_lines(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
