@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +16,45 @@ ANY = "<*>"
 #: Scripts that are written without blanks.
 UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
+#: Ranges that hold all of them, which are quicker to look for.
+MAYBE = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u19E0-\\u19FF\\u2E80-\\uFFFF\\x{10000}-\\x{10FFFF}]"
+
 
 def _tokens(line: Column) -> Column:
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.translate(line, " ", "")) + 1)
+    """Tokens of a line with single blanks between."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _any_of(text: Column, parts: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for part in parts:
+        found = found | text.contains(part)
+    return found
 
 
 def host_lines(docs: DataFrame, depth: int) -> DataFrame:
     """One row per line that isn't empty: its document (rid), that one's template text (tid) and characters, place, size, key and leaf.
 
     A line's size is its tokens, in scripts without blanks half its characters if these are more. Lines of under
-    four tokens have no variable fields, as little else would tell them apart.
+    four tokens have no variable fields, as little else would tell them apart. Patterns are only searched for in
+    texts and lines that hold one of their characters.
     """
-    clean = F.transform(F.split("text", "\n"), lambda line: F.trim(F.regexp_replace(line, "[ \t\r\f\x0B]+", " ")))
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), clean.alias("a"))
-    fields = lambda m: F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)  # noqa: E731  begins at a token's start and never goes back, so that long tokens take linear time
-    whole = whole.select("rid", F.transform("a", lambda m: F.when(_tokens(m) < 4, m).otherwise(fields(m))).alias("a"))
-    total = F.aggregate("a", F.lit(0).cast("long"), lambda n, m: n + F.length(m))
-    rows = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), F.posexplode("a").alias("pos", "m"))
-    rows = rows.withColumn("n_tokens", _tokens(F.col("m"))).where("n_tokens > 0")
-    unspaced = (F.octet_length("m") > F.length("m")) & F.col("m").rlike(UNSPACED)
-    rows = rows.withColumn("size", F.when(unspaced, F.greatest("n_tokens", (F.length("m") / 2).cast("int"))).otherwise(F.col("n_tokens")))
+    single = F.regexp_replace("text", " *[\t\r\f\x0B][ \t\r\f\x0B]*| {2,}", " ")
+    text = F.when(_any_of(F.col("text"), ["\t", "\r", "\f", "\x0B", "  "]), single).otherwise(F.col("text"))
+    # begins at a token's start and never goes back, so that long tokens take linear time
+    fields = lambda m: F.when(_any_of(m, "0123456789"), F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(m)
+    line = lambda m: F.struct(F.when(_tokens(m) < 4, m).otherwise(fields(m)).alias("m"), _tokens(m).alias("n"))
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.transform(F.transform(F.split(text, "\n"), F.trim), line).alias("a"))
+    total = F.aggregate("a", F.lit(0).cast("long"), lambda n, x: n + F.length(x["m"]))
+    # once per document, below the explosion; the outer form adds no second look at the lines
+    whole = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), "a")
+    rows = whole.select("rid", "tid", "total", F.posexplode_outer("a").alias("pos", "x")).where("x.n > 0")
+    rows = rows.select("rid", "tid", "total", "pos", F.col("x.n").alias("n_tokens"), F.col("x.m").alias("m"))
+    unspaced = (F.octet_length("m") > F.length("m")) & F.col("m").rlike(MAYBE) & F.col("m").rlike(UNSPACED)
+    # few tokens for its bytes: only such a line can have more characters than twice its tokens
+    size = F.when(F.octet_length("m") > 2 * F.col("n_tokens"), F.when(unspaced, F.greatest("n_tokens", (F.length("m") / 2).cast("int")))).otherwise(F.lit(None))
     leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.substring_index("m", " ", depth))
-    return rows.select("rid", "tid", "total", "pos", "n_tokens", "size", "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
+    return rows.select("rid", "tid", "total", "pos", "n_tokens", F.coalesce(size, "n_tokens").alias("size"), "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
 
 
 def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) -> DataFrame:
@@ -74,12 +93,16 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     seen = keep(sure.unionByName(asked).select("line", "leaf", "n_tokens", "size", host).distinct(), f"{where}/seen")
     exact = seen.groupBy("line", "size").agg(F.count("*").alias("hosts"))
     exact = exact.where(F.col("hosts") >= least_hosts()).select("line")
-    # leaf templates: the text of each line once
+    # leaf templates: only of leaves that are in enough documents as a whole; the text of each line once
+    wide = seen.groupBy("leaf", "host").agg(F.max("size").alias("size")).groupBy("leaf").agg(F.max("size").alias("size"), F.count("*").alias("hosts"))
+    wide = keep(wide.where(F.col("hosts") >= least_hosts()).select("leaf"), f"{where}/wide")
+    some = marked(shared.where(F.col("n_tokens") > depth), "leaf", wide, "leaf").where("_marked").drop("_marked")
+    shared = keep(salted_join(some, wide, ["leaf"], "line", "inner", merge=True).select("line", "leaf"), f"{where}/narrow")
     own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
     text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
     weights = seen.groupBy("line", "leaf", "n_tokens").agg(F.count("*").alias("docs"))
     tokens = F.posexplode(F.split("m", " ")).alias("at", "token")
-    text = keep(text.join(weights.hint("merge"), "line").where(F.col("n_tokens") > depth), f"{where}/text")
+    text = keep(text.join(weights.hint("merge"), "line"), f"{where}/text")
     places = text.select("line", "leaf", "docs", tokens).where(F.col("at") >= depth)
     heavy = keep(places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.count("*").alias("k")).where("k > 1").drop("k"), f"{where}/heavy")
     name = F.xxhash64("leaf", "at", "token")
