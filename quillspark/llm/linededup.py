@@ -71,26 +71,25 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     several = F.min("tid") < F.max("tid")
     counts = lines.groupBy("line", "leaf").agg(several.alias("several"), F.first("n_tokens").alias("n_tokens"), F.first("size").alias("size"), F.count("*").alias("n"))
     counts = keep(counts, f"{where}/counts")
-    again = counts.where("several").select("line")
-    # what other texts hold too, by document
-    some = marked(lines.select("rid", "total", "line", F.length("m").alias("chars")), "line", again, "line").where("_marked").drop("_marked")
-    held = salted_join(some, again, ["line"], "rid", "inner", merge=True)
-    copies = held.groupBy("rid").agg((F.sum("chars") * 2 > F.first("total")).alias("copy")).where("copy").select("rid")
-    copies = keep(copies, f"{where}/copies")
     # leaves of several lines may recur where no line does
     leaves = counts.groupBy("leaf").agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.max("size").alias("size"))
     leaves = keep(leaves.where((F.col("k") > 1) & (F.col("s") >= least_hosts())).select("leaf"), f"{where}/leaves")
     some = marked(counts, "leaf", leaves, "leaf").where("_marked").drop("_marked")
-    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select("line", "leaf", "n_tokens", "size"), f"{where}/shared")
-    often = counts.where(F.col("several") & (F.col("n") >= least_hosts())).select("line", "leaf", "n_tokens", "size")
-    candidates = keep(often.unionByName(shared).distinct(), f"{where}/candidates")
-    some = marked(lines.select("line", "rid", "tid"), "line", candidates, "line").where("_marked").drop("_marked")
-    seen = salted_join(some, candidates, ["line"], "rid", "inner", merge=True)
-    seen = marked(seen, "rid", copies, "rid")
+    key = ["line", "leaf", "n_tokens", "size"]
+    shared = keep(salted_join(some, leaves, ["leaf"], "line", "inner", merge=True).select(key), f"{where}/shared")
+    # what other texts hold too, and what may recur: looked up once
+    asked = counts.where("several").select(*key, F.lit(True).alias("several"), (F.col("n") >= least_hosts()).alias("candidate"))
+    asked = asked.unionByName(shared.select(*key, F.lit(False).alias("several"), F.lit(True).alias("candidate")))
+    asked = keep(asked.groupBy(key).agg(F.max("several").alias("several"), F.max("candidate").alias("candidate")), f"{where}/asked")
+    some = marked(lines.select("rid", "tid", "total", "line", F.length("m").alias("chars")), "line", asked, "line").where("_marked").drop("_marked")
+    held = keep(salted_join(some, asked, ["line"], "rid", "inner", merge=True), f"{where}/held")
+    copies = held.where("several").groupBy("rid").agg((F.sum("chars") * 2 > F.first("total")).alias("copy")).where("copy").select("rid")
+    copies = keep(copies, f"{where}/copies")
+    seen = marked(held.where("candidate").select(*key, "rid", "tid"), "rid", copies, "rid")
     sure = seen.where("NOT _marked").withColumn("copy", F.lit(None).cast("boolean"))
-    asked = seen.where("_marked").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "rid", "left")
+    found = seen.where("_marked").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "rid", "left")
     host = F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("tid")).alias("host")
-    seen = keep(sure.unionByName(asked).select("line", "leaf", "n_tokens", "size", host).distinct(), f"{where}/seen")
+    seen = keep(sure.unionByName(found).select(*key, host).distinct(), f"{where}/seen")
     exact = seen.groupBy("line", "size").agg(F.count("*").alias("hosts"))
     exact = exact.where(F.col("hosts") >= least_hosts()).select("line")
     # leaf templates: only of leaves that are in enough documents as a whole; the text of each line once
