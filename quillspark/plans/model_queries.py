@@ -346,7 +346,7 @@ def energy_subspaces(spark, sf_dir):
     rows = points(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", F.slice("x", 1, 2).alias("x")))).alias("m")).orderBy("label").collect()
     samples = []
     for r in rows:
-        x = np.array([list(m.x) for m in r.m[:50]])
+        x = np.array([list(m.x) for m in r.m])
         z = np.zeros((len(x), 4))
         if r.label % 3 == 0:
             z[:, :2] = x
