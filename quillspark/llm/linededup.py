@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import keep, marked, named_apart, named_back, salted_join, scratch
+from ._shared import SALTS, keep, marked, named_apart, named_back, salt_of, salted_join, scratch
 
 #: Stands for a variable field.
 ANY = "<*>"
 
 
+#: Lines that hold a token at a place, beyond which they are spread over several tasks.
+HOT = 1000
+
 #: Scripts that are written without blanks.
 UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
@@ -40,19 +43,23 @@ def host_lines(docs: DataFrame, depth: int) -> DataFrame:
     texts and lines that hold one of their characters.
     """
     single = F.regexp_replace("text", " *[\t\r\f\x0B][ \t\r\f\x0B]*| {2,}", " ")
-    text = F.when(_any_of(F.col("text"), ["\t", "\r", "\f", "\x0B", "  "]), single).otherwise(F.col("text"))
+    odd = F.col("text").rlike("[\t\r\f\x0B0-9]")
+    text = F.when(F.col("text").contains("  ") | (F.col("odd") & _any_of(F.col("text"), ["\t", "\r", "\f", "\x0B"])), single).otherwise(F.col("text"))
     # begins at a token's start and never goes back, so that long tokens take linear time
-    fields = lambda m: F.when(_any_of(m, "0123456789"), F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(m)
-    line = lambda m: F.struct(F.when(_tokens(m) < 4, m).otherwise(fields(m)).alias("m"), _tokens(m).alias("n"))
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.transform(F.transform(F.split(text, "\n"), F.trim), line).alias("a"))
+    fields = lambda m: F.when(F.col("odd") & _any_of(m, "0123456789"), F.regexp_replace(m, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(m)
+    counted = lambda m: F.struct(m.alias("m"), _tokens(m).alias("n"))
+    line = lambda x: F.struct(F.when(x["n"] < 4, x["m"]).otherwise(fields(x["m"])).alias("m"), x["n"].alias("n"))
+    trimmed = F.transform(F.transform(F.split(text, "\n"), F.trim), counted)
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text", odd.alias("odd"))
+    whole = whole.select("rid", F.transform(trimmed, line).alias("a"))
     total = F.aggregate("a", F.lit(0).cast("long"), lambda n, x: n + F.length(x["m"]))
     # once per document, below the explosion; the outer form adds no second look at the lines
     whole = whole.select("rid", F.xxhash64("a").alias("tid"), total.alias("total"), "a")
     rows = whole.select("rid", "tid", "total", F.posexplode_outer("a").alias("pos", "x")).where("x.n > 0")
     rows = rows.select("rid", "tid", "total", "pos", F.col("x.n").alias("n_tokens"), F.col("x.m").alias("m"))
     unspaced = (F.octet_length("m") > F.length("m")) & F.col("m").rlike(MAYBE) & F.col("m").rlike(UNSPACED)
-    # few tokens for its bytes: only such a line can have more characters than twice its tokens
-    size = F.when(F.octet_length("m") > 2 * F.col("n_tokens"), F.when(unspaced, F.greatest("n_tokens", (F.length("m") / 2).cast("int")))).otherwise(F.lit(None))
+    # few tokens for its bytes: only such a line can have more characters than twice its tokens; from 50 on, all sizes are alike
+    size = F.when((F.col("n_tokens") < 50) & (F.octet_length("m") > 2 * F.col("n_tokens")), F.when(unspaced, F.greatest("n_tokens", (F.length("m") / 2).cast("int")))).otherwise(F.lit(None))
     leaf = F.concat_ws(" ", F.col("n_tokens").cast("string"), F.substring_index("m", " ", depth))
     return rows.select("rid", "tid", "total", "pos", "n_tokens", F.coalesce(size, "n_tokens").alias("size"), "m", F.unhex(F.md5("m")).alias("line"), F.unhex(F.md5(leaf)).alias("leaf"))
 
@@ -103,19 +110,32 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     tokens = F.posexplode(F.split("m", " ")).alias("at", "token")
     text = keep(text.join(weights.hint("merge"), "line"), f"{where}/text")
     places = text.select("line", "leaf", "docs", tokens).where(F.col("at") >= depth)
-    heavy = keep(places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.count("*").alias("k")).where("k > 1").drop("k"), f"{where}/heavy")
-    name = F.xxhash64("leaf", "at", "token")
-    known = marked(places.withColumn("name", name), "name", heavy.withColumn("name", name), "name").where("_marked").drop("_marked", "name")
-    best = F.max(F.struct("w", (-F.col("at")).alias("back"), "token")).alias("x")
-    split = salted_join(known, heavy, ["leaf", "at", "token"], "line", "inner", merge=True).groupBy("line", "leaf").agg(best)
-    split = split.select("line", F.unhex(F.md5(F.concat_ws(" ", F.hex("leaf"), F.col("x.back").cast("string"), "x.token"))).alias("grp"))
-    text = keep(text.join(split.hint("merge"), "line"), f"{where}/grouped")
+    heavy = keep(places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("w"), F.count("*").alias("k")).where("k > 1"), f"{where}/heavy")
+    name = F.xxhash64("leaf", "at", "token").alias("name")
+    known = marked(places.select("line", "leaf", "at", "token", name), "name", heavy.select(name), "name").where("_marked").drop("_marked")
+    # sorted by the name, which is one number; what it stands for is compared besides
+    right = heavy.select(name, F.col("leaf").alias("_leaf"), F.col("at").alias("_at"), F.col("token").alias("_token"), "w")
+    # both sides ask one bitmap which names may be hot: only these are salted and repeated
+    hot = heavy.where(F.col("k") > HOT).select(name)
+    salt = F.when(F.col("_marked"), salt_of("line")).otherwise(0)
+    known = marked(known, "name", hot, "name").withColumn("_salt", salt).drop("_marked")
+    salts = F.when(F.col("_marked"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(right, "name", hot, "name").withColumn("_salt", F.explode(salts)).drop("_marked")
+    found = known.join(right.hint("merge"), ["name", "_salt"]).where("leaf = _leaf AND at = _at AND token = _token")
+    # the greatest weight, then the first place, as one number; a line has one token at a place
+    best = F.max(F.col("w").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") - F.col("at")).alias("x")
+    split = found.groupBy("line").agg(best)
+    split = split.select("line", (F.pmod(-F.col("x"), F.lit(1 << 31).cast("decimal(10,0)"))).cast("int").alias("at"))
+    chosen = F.md5(F.concat_ws(" ", F.hex("leaf"), (-F.col("at")).cast("string"), F.get(F.split("m", " "), F.col("at"))))
+    text = keep(text.join(split.hint("merge"), "line").withColumn("grp", F.unhex(chosen)).drop("at"), f"{where}/grouped")
     weight = text.select("line", "grp", "docs", tokens).where(F.col("at") >= depth).groupBy("grp", "at", "token").agg(F.sum("docs").alias("w"))
     total = text.groupBy("grp").agg(F.sum("docs").alias("total"), F.count("*").alias("k")).where("k > 1").drop("k")
-    constant = weight.groupBy("grp", "at").agg(F.max(F.struct("w", "token")).alias("x")).join(total.hint("merge"), "grp").where(F.col("x.w") * 2 > F.col("total"))
-    constant = constant.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("at", "x.token"))).alias("constants"))
+    # at most one token of a place has more than half
+    constant = salted_join(weight, total, ["grp"], "at", "inner", merge=True).where(F.col("w") * 2 > F.col("total"))
+    constant = constant.groupBy("grp").agg(F.collect_list(F.concat_ws(" ", F.col("at").cast("string"), "token")).alias("constants"))
     own = salted_join(text, keep(constant, f"{where}/constants"), ["grp"], "line", "inner", merge=True)
-    equal = F.size(F.filter(F.transform(F.split("m", " "), lambda t, i: t == F.col("constants")[i]), lambda hit: F.coalesce(hit, F.lit(False))))
+    # by hashing: a look-up of each place in a map would take the square of a line's length
+    equal = F.size(F.array_intersect(F.transform(F.split("m", " "), lambda t, i: F.concat_ws(" ", i.cast("string"), t)), "constants"))
     alike = own.where((equal + F.lit(depth)) * 100 >= F.col("n_tokens") * similarity).select("line", "grp")
     alike = keep(alike, f"{where}/alike")
     members = salted_join(marked(seen, "line", alike, "line").where("_marked").drop("_marked"), alike, ["line"], "host", "inner", merge=True)
