@@ -11,11 +11,16 @@ import pyarrow as pa
 
 from ._bytes import U64, byte_codes, flat, keys, mix, scattered, separators
 
-#: Words that a worker remembers (about 70 bytes each).
+#: Words that a worker remembers (about 80 bytes each).
 REMEMBERED = 1_000_000
 #: Bytes that are cut into words at once.
 BLOCK = 1 << 20
 
+#: Bytes of a word that are compared as two numbers.
+HEAD = 16
+#: Masks of the first bytes of a number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
 #: Next to a space that a text may be cut at: no ASCII white space or control, and no byte that may belong
 #: to other white space (their UTF-8 begins with one of these lead bytes).
 _UNSURE = separators([(0x00, 0x20), (0x7F, 0x7F), (0xC2, 0xC2), (0xE1, 0xE3)])
@@ -35,6 +40,11 @@ def _ordered(*places: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x.astype(np.int64)
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Encoder:
     """Encodes texts as the library does with add_special_tokens=False, where the file's added tokens stand for themselves.
 
@@ -57,8 +67,8 @@ class Encoder:
         # words by hash: where their ids begin in the pool, how many, and the round of their last use
         self._keys, self._pool, self._now = np.zeros(0, U64), np.zeros(0, self.kind), 0
         self._first, self._size, self._round, self._from, self._long = (np.zeros(0, np.int64) for _ in range(5))
-        # their bytes, one after the other
-        self._text = np.zeros(0, np.uint8)
+        # their first 16 bytes as two numbers, and the others' bytes, one after the other
+        self._head, self._next, self._text = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8)
         if self._kept:
             # a byte-level vocabulary spells one byte with one character
             self._bytes = np.zeros(size, np.int64)
@@ -125,87 +135,88 @@ class Encoder:
             yield low, high
             low = high
 
-    def _new(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The library's ids of the words buf[a:b]: many in one call, those it could join with others alone."""
+    def _new(self, buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the words buf[a:b], one after the other, and how many each has: many words in one call, those it could join with others alone."""
+        low, high = int(a.min()), int(b.max())
         if not self._kept:
-            low, high = int(a.min()), int(b.max())
             zeros = np.flatnonzero(buf[low:high] == 0) + low
             alone = np.searchsorted(zeros, a) < np.searchsorted(zeros, b) if len(self._mark) == 1 else np.ones(len(a), bool)
         else:
             spaced = buf[a] == 0x20
             alone = _UNSURE[buf[a]] & ~spaced | spaced & ((b - a < 2) | _UNSURE[buf[np.minimum(a + 1, len(buf) - 1)]]) | (b - a < 3) & (buf[b - 1] >= 0x80) | _open(buf, b)
-        out: list[bytes | None] = [None] * len(a)
-        words = [buf[s:e].tobytes() for s, e in zip(a.tolist(), b.tolist(), strict=True)]
-        alone = alone | np.fromiter((w in self._added for w in words), bool, len(words))
-        own = np.flatnonzero(alone).tolist()
-        for i, e in zip(own, self._library.encode_batch_fast([words[i].decode() for i in own], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.kind).tobytes()
-        rest = np.flatnonzero(~alone).tolist()
+        data = buf[low:high].tobytes()
+        words = [data[s:e] for s, e in zip((a - low).tolist(), (b - low).tolist(), strict=True)]
+        named = frozenset(self._added)
+        alone = alone | np.fromiter((w in named for w in words), bool, len(words))
+        own, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+        found = [np.array(e.ids, self.kind) for e in self._library.encode_batch_fast([words[i].decode() for i in own.tolist()], add_special_tokens=False)]
+        size, parts = np.zeros(len(a), np.int64), found
+        size[own] = [len(x) for x in found]
         for at in range(0, len(rest), 8192):
             part = rest[at : at + 8192]
-            for i, ids in zip(part, self._joined([words[i] for i in part]), strict=True):
-                out[i] = ids
-        return out
+            ids, size[part] = self._joined([words[i] for i in part.tolist()])
+            parts.append(ids)
+        pool = np.concatenate([*parts, np.zeros(0, self.kind)])
+        # the words' own order
+        order = np.concatenate((own, rest))
+        begin = np.empty(len(a), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return pool[_ranges(begin, size)], size
 
-    def _joined(self, words: list[bytes]) -> list[bytes]:
+    def _joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self._kept:
             ids = np.array(self._library.encode_batch_fast([b"\n".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
             ends, size = np.cumsum(self._bytes[ids]), np.array([len(w) for w in words])
             stop = np.cumsum(size + 1) - 1
             begin, cut = np.searchsorted(ends, stop - size, "right"), np.searchsorted(ends, stop, "left") + 1
         else:
-            ids = np.array(self._library.encode_batch_fast([" \x00 ".join([w.decode() for w in words]) + " \x00"], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self._library.encode_batch_fast([b" \x00 ".join([*words, b""]).decode()], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(ids == self._mark[0])
             begin = np.concatenate(([0], cut[:-1] + 1))
-        data, width = ids.tobytes(), self.kind.itemsize
-        return [data[x:y] for x, y in zip((begin * width).tolist(), (cut * width).tolist(), strict=True)]
-
-    def _hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums over the words' bytes, some words at a time so that the arrays stay in a core's cache."""
-        out = np.empty(len(starts), U64)
-        cut = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], 1 << 15)))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(starts)], strict=True):
-            low, at, n = starts[a], starts[a:b] - starts[a], ends[a:b] - starts[a:b]
-            place = np.arange(int(ends[b - 1] - low)) - np.repeat(at, n)
-            out[a:b] = np.add.reduceat(scattered(self._codes[buf[low : ends[b - 1]]], keys(int(n.max()))[place]), at)
-        return out
+        return ids[_ranges(begin, cut - begin)], cut - begin
 
-    def _learn(self, names: np.ndarray, ids: list[bytes], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Remember ids and bytes of new words (names ascending)."""
-        size, long = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize, ends - starts
-        first, origin = len(self._pool) + np.cumsum(size) - size, len(self._text) + np.cumsum(long) - long
-        self._pool = np.concatenate((self._pool, np.frombuffer(b"".join(ids), self.kind)))
-        place = np.repeat(starts - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
-        self._text = np.concatenate((self._text, self._fold[buf[place]]))
+    def _learn(self, names: np.ndarray, ids: np.ndarray, size: np.ndarray, head: np.ndarray, next: np.ndarray, long: np.ndarray, tail: np.ndarray) -> None:
+        """Remember ids and bytes of new words (names ascending; `tail` holds what is beyond their first 16 bytes)."""
+        beyond = np.maximum(long - HEAD, 0)
+        first, origin = len(self._pool) + np.cumsum(size) - size, len(self._text) + np.cumsum(beyond) - beyond
+        self._pool, self._text = np.concatenate((self._pool, ids)), np.concatenate((self._text, tail))
         at = np.searchsorted(self._keys, names)
         self._keys = np.insert(self._keys, at, names)
-        for name, new in (("_first", first), ("_size", size), ("_from", origin), ("_long", long), ("_round", self._now)):
+        for name, new in (("_first", first), ("_size", size), ("_from", origin), ("_long", long), ("_head", head), ("_next", next), ("_round", self._now)):
             setattr(self, name, np.insert(getattr(self, name), at, new))
 
     def _forget(self) -> None:
         """Of too many words, those met in this or the last round stay."""
         if len(self._keys) > REMEMBERED:
             stay = self._round >= self._now
-            for data, begin, count in (("_pool", "_first", "_size"), ("_text", "_from", "_long")):
-                n = getattr(self, count)[stay]
-                first = np.cumsum(n) - n
-                setattr(self, data, getattr(self, data)[np.repeat(getattr(self, begin)[stay] - first, n) + np.arange(int(n.sum()))])
-                setattr(self, begin, first)
-                setattr(self, count, n)
-            self._keys, self._round = self._keys[stay], self._round[stay]
+            for data, begin, n in (("_pool", "_first", self._size[stay]), ("_text", "_from", np.maximum(self._long[stay] - HEAD, 0))):
+                setattr(self, data, getattr(self, data)[_ranges(getattr(self, begin)[stay], n)])
+                setattr(self, begin, np.cumsum(n) - n)
+            for name in ("_size", "_long", "_head", "_next", "_keys", "_round"):
+                setattr(self, name, getattr(self, name)[stay])
             self._now += 1
 
-    def _others(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Which of the adjoining words starts..ends have other bytes than the remembered words `found`."""
-        n, low = ends - starts, int(starts[0])
-        other = self._long[found] != n
-        # one of another length is compared with itself
-        begin = np.where(other, 0, self._from[found]) - (starts - low)
-        place = np.repeat(begin, n) + np.arange(int(ends[-1]) - low)
-        if other.any():
-            place = np.minimum(place, len(self._text) - 1)
-        differ = self._text[place] != self._fold[buf[low : int(ends[-1])]]
-        return other | np.logical_or.reduceat(differ, starts - low) if differ.any() else other
+    def _hashes(self, piece: np.ndarray, at: np.ndarray, n: np.ndarray, head: np.ndarray, next: np.ndarray) -> np.ndarray:
+        """Of the words at the places `at`: their first 16 bytes, lengths, and numbers for further bytes at their places, mixed."""
+        names = mix(next ^ n.astype(U64) * U64(0x9E3779B97F4A7C15))
+        long = np.flatnonzero(n > HEAD)
+        if len(long):
+            beyond = n[long] - HEAD
+            place = _ranges(np.zeros(len(long), np.int64), beyond)
+            codes = self._codes[piece[place + np.repeat(at[long] + HEAD, beyond)]]
+            names[long] ^= np.add.reduceat(scattered(codes, keys(int(beyond.max()))[place]), np.cumsum(beyond) - beyond)
+        return names ^ mix(head)
+
+    def _others(self, piece: np.ndarray, at: np.ndarray, n: np.ndarray, head: np.ndarray, next: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Which of the words at the places `at` have other bytes than the remembered words `found`."""
+        other = (self._head[found] != head) | (self._next[found] != next) | (self._long[found] != n)
+        long = np.flatnonzero((n > HEAD) & ~other)
+        if len(long):
+            beyond = n[long] - HEAD
+            differ = self._text[_ranges(self._from[found[long]], beyond)] != piece[_ranges(at[long] + HEAD, beyond)]
+            if differ.any():
+                other[long] = np.logical_or.reduceat(differ, np.cumsum(beyond) - beyond)
+        return other
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column, in order, and the offsets of the rows in them."""
@@ -220,27 +231,35 @@ class Encoder:
                 cuts = cuts[(k < 0) | (cuts >= named[k, 1])]
             starts = _ordered([low], edges[(edges >= low) & (edges < high)], cuts)
             ends = np.append(starts[1:], high)
-            value = self._hashes(buf, starts, ends) ^ (ends - starts).astype(U64)
+            n, local = ends - starts, starts - low
+            piece = np.concatenate((buf[low:high] if self._kept else self._fold[buf[low:high]], np.zeros(HEAD, np.uint8)))
+            eight = np.ndarray((len(piece) - 7,), "<u8", piece, strides=(1,))
+            head, next = eight[local] & _FIRST[np.minimum(n, 8)], eight[local + 8] & _FIRST[np.clip(n - 8, 0, 8)]
+            value = self._hashes(piece, local, n, head, next)
             if len(named):  # an added token is no word that reads like it in lower case
                 value[np.isin(starts, named[:, 0])] ^= U64(1 << 63)
-            names, first, which = np.unique(mix(value), return_index=True, return_inverse=True)
+            value = mix(value)
+            order = np.argsort(value)
+            value = value[order]
+            fresh = np.concatenate(([True], value[1:] != value[:-1]))
+            names, first, which = value[fresh], order[fresh], np.empty(len(order), np.int64)
+            which[order] = np.cumsum(fresh) - 1
             found = np.searchsorted(self._keys, names)
             new = np.flatnonzero(self._keys[np.minimum(found, len(self._keys) - 1)] != names) if len(self._keys) else np.arange(len(names))
             if len(new):
-                a, b = starts[first[new]], ends[first[new]]
-                self._learn(names[new], self._new(buf, a, b), buf, a, b)
+                own = first[new]
+                tail = piece[_ranges(local[own] + HEAD, np.maximum(n[own] - HEAD, 0))]
+                self._learn(names[new], *self._new(buf, starts[own], ends[own]), head[own], next[own], n[own], tail)
                 found = np.searchsorted(self._keys, names)
             self._round[found] = self._now
             found = found[which]
+            others = self._others(piece, local, n, head, next, found)
             n, begin, pool = self._size[found], self._first[found], self._pool
-            others = self._others(buf, starts, ends, found)
             if others.any():
-                own = self._new(buf, starts[others], ends[others])
-                n[others] = [len(x) // self.kind.itemsize for x in own]
+                own, n[others] = self._new(buf, starts[others], ends[others])
                 begin[others] = len(pool) + np.cumsum(n[others]) - n[others]
-                pool = np.concatenate((pool, np.frombuffer(b"".join(own), self.kind)))
-            begin = begin - (np.cumsum(n) - n)
-            ids.append(pool[np.repeat(begin, n) + np.arange(int(n.sum()))])
+                pool = np.concatenate((pool, own))
+            ids.append(pool[_ranges(begin, n)])
             self._forget()
             counts.append(n)
             places.append(starts)
