@@ -106,7 +106,7 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     shared = keep(salted_join(some, wide, ["leaf"], "line", "inner", merge=True).select("line", "leaf"), f"{where}/narrow")
     own = marked(lines.select("line", "m", "rid"), "line", shared, "line").where("_marked").drop("_marked")
     text = salted_join(own, shared.select("line"), ["line"], "rid", "inner", merge=True).groupBy("line").agg(F.first("m").alias("m"))
-    weights = seen.groupBy("line", "leaf", "n_tokens").agg(F.count("*").alias("docs"))
+    weights = seen.groupBy("line", "leaf", "n_tokens", "size").agg(F.count("*").alias("docs"))
     tokens = F.posexplode(F.split("m", " ")).alias("at", "token")
     text = keep(text.join(weights.hint("merge"), "line"), f"{where}/text")
     places = text.select("line", "leaf", "docs", tokens).where(F.col("at") >= depth)
@@ -128,10 +128,14 @@ def boilerplate(lines: DataFrame, where: str, *, depth: int, similarity: int) ->
     split = split.select("line", (F.pmod(-F.col("x"), F.lit(1 << 31).cast("decimal(10,0)"))).cast("int").alias("at"))
     chosen = F.md5(F.concat_ws(" ", F.hex("leaf"), (-F.col("at")).cast("string"), F.get(F.split("m", " "), F.col("at"))))
     text = keep(text.join(split.hint("merge"), "line").withColumn("grp", F.unhex(chosen)).drop("at"), f"{where}/grouped")
-    weight = text.select("line", "grp", "docs", tokens).where(F.col("at") >= depth).groupBy("grp", "at", "token").agg(F.sum("docs").alias("w"))
-    total = text.groupBy("grp").agg(F.sum("docs").alias("total"), F.count("*").alias("k")).where("k > 1").drop("k")
+    # only groups of several lines that may be in enough documents: they are in no more than the sum of their lines'
+    total = text.groupBy("grp").agg(F.sum("docs").alias("total"), F.count("*").alias("k"), F.max("size").alias("size"))
+    total = keep(total.where((F.col("k") > 1) & (F.col("total") >= least_hosts())).select("grp", "total"), f"{where}/total")
+    some = marked(text.drop("size"), "grp", total, "grp").where("_marked").drop("_marked")
+    text = keep(salted_join(some, total, ["grp"], "line", "inner", merge=True), f"{where}/grouped_again")
+    weight = text.select("grp", "docs", "total", tokens).where(F.col("at") >= depth).groupBy("grp", "at", "token").agg(F.sum("docs").alias("w"), F.first("total").alias("total"))
     # at most one token of a place has more than half
-    constant = salted_join(weight, total, ["grp"], "at", "inner", merge=True).where(F.col("w") * 2 > F.col("total"))
+    constant = weight.where(F.col("w") * 2 > F.col("total"))
     constant = constant.groupBy("grp").agg(F.collect_list(F.concat_ws(" ", F.col("at").cast("string"), "token")).alias("constants"))
     own = salted_join(text, keep(constant, f"{where}/constants"), ["grp"], "line", "inner", merge=True)
     # by hashing: a look-up of each place in a map would take the square of a line's length
