@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ CHUNK, MARK = 256, 16
 BLOCK, SORTED = 1 << 16, 1 << 18
 #: Different strings of a bucket's key beyond which the key is split.
 MANY = 4096
+#: Bytes of text for which strings are settled in a round of their own, and rounds at most.
+ROUND, ROUNDS = 256 << 20, 8
 #: Stands for a null doc_id: greater than all.
 LAST = (1 << 63) - 1
 
@@ -146,7 +149,7 @@ def _scan(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, int, np.ndar
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Content-defined chunks of the places where windows begin, named by all bytes of those windows."""
     codes = byte_codes(lower=False)
-    for batch in merged(batches, 2, 1 << 21):
+    for batch in _ascending(batches):
         cuts = []
         at = flat(batch.column(2))[1]
         buf = flat(batch.column(2))[0]
@@ -213,7 +216,7 @@ def _keys(gone_folder: str, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = Side(gone_folder, ["at", "n"])
-        for batch in merged(batches, 2, 1 << 21):
+        for batch in _ascending(batches):
             rows = batch.column(0).to_numpy()
             # rows are numbered on within a file; a batch may hold several files
             for low in _pieces(rows):
@@ -243,6 +246,14 @@ def _keys(gone_folder: str, buckets: int):
     return run
 
 
+def _ascending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Larger batches whose row numbers ascend: a task reads its files by size, not by number."""
+    for batch in merged(batches, 2, 1 << 21):
+        cut = np.flatnonzero(np.diff(batch.column(0).to_numpy()) < 0) + 1
+        for low, high in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(low, high - low)
+
+
 def _pieces(rows: np.ndarray) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.concatenate(([True], np.diff(rows) != 1)))
     return list(zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist(), strict=True))
@@ -292,7 +303,7 @@ def _strings(gone_folder: str, shared_folder: str, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone, shared = Side(gone_folder, ["at", "n"]), _Shared(shared_folder)
-        for batch in merged(batches, 2, 1 << 21):
+        for batch in _ascending(batches):
             rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             at = flat(batch.column(2))[1]
             known = shared.of(rows)
@@ -411,7 +422,7 @@ def _remove(gone_folder: str, found_folder: str, with_bytes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone, found = Side(gone_folder, ["at", "n"]), Side(found_folder, ["at", "mins"])
-        for batch in merged(batches, 2, 1 << 21):
+        for batch in _ascending(batches):
             rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, at = flat(batch.column(2))
             whole, parts = gone.of(rows), found.of(rows)
@@ -489,16 +500,31 @@ def _ranked(unique: DataFrame, where: str) -> DataFrame:
     return keep(dealt.mapInArrow(_sorted, "name binary, mins array<long>, window binary, place long, least long"), f"{where}/ranked")
 
 
-def _found(strings: DataFrame, ranked: DataFrame, where: str) -> str:
-    """Strings some of whose windows a document with a smaller id holds, with their least ids, by file of texts."""
+def _found(strings: DataFrame, ranked: DataFrame, where: str) -> DataFrame:
+    """Strings some of whose windows a document with a smaller id holds, with their least ids."""
     split = ranked.where("window IS NOT NULL")
     whole = salted_join(split.select("name", "place", "window"), split.groupBy("window").agg(F.min("least").alias("least")), ["window"], "name", "inner")
     whole = whole.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("mins"))
     mins = ranked.where("window IS NULL").select("name", "mins").unionByName(whole)
     # strings without such windows aren't shuffled, where a bitmap can tell
     some = marked(strings.select("row", "id", "at", "name"), "name", mins, "name").where("_marked").drop("_marked")
-    found = some.join(mins, "name").where(F.array_min("mins") < F.col("id")).select("row", "at", "mins")
-    return _by_file(found, f"{where}/found")
+    return keep(some.join(mins, "name").where(F.array_min("mins") < F.col("id")).select("row", "at", "mins"), f"{where}/matches")
+
+
+def _settled(strings: DataFrame, rounds: int, where: str) -> str:
+    """`_found` of all strings by file of texts, a share of the keys after another.
+
+    Equal windows have equal keys, so no class is cut. What a round shuffles and writes is gone before the next.
+    """
+    spark, out = strings.sparkSession, []
+    for n in range(rounds):
+        here = f"{where}/round{n}"
+        own = strings.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n) if rounds > 1 else strings
+        ranked = _ranked(_unique(own, here), here)
+        discard(spark, f"{here}/unique")
+        out.append(_found(own, ranked, here))
+        discard(spark, f"{here}/ranked", f"{here}/many")
+    return _by_file(reduce(DataFrame.unionByName, out), f"{where}/found")
 
 
 def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
@@ -512,7 +538,8 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     3. The strings of windows with shared keys, once each with their least doc_id, are dealt out by key and
        sorted by their suffixes (difference cover); adjacent suffixes with equal first SPAN bytes are a
        class, whose least doc_id is known then. Keys with very many strings are split over tasks, and their
-       classes merged by the windows' bytes.
+       classes merged by the windows' bytes. Large inputs do this in up to ROUNDS rounds, each for a share of
+       the keys, so that their intermediates aren't on disk at once.
     Texts are never shuffled: what concerns a document is written by the file of texts that holds it.
     A null text is empty; texts below SPAN bytes stay; very long texts are cut into runs like others; a null doc_id is greater than all others; rows with
     the same doc_id don't remove each other's bytes; an empty table gives an empty result. Other columns
@@ -531,12 +558,9 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     buckets = max(shuffle_partitions(spark), int(total * 0.08 * 6 / (8 << 20)) + 1)
     shared = _shared_keys(texts, gone, buckets, where)
     strings = keep(texts.mapInArrow(_strings(gone, shared, buckets), "row long, id long, at long, key long, name binary, bytes binary"), f"{where}/strings")
-    unique = _unique(strings, where)
     discard(spark, shared)
-    ranked = _ranked(unique, where)
-    discard(spark, f"{where}/unique")
-    found = _found(strings, ranked, where)
-    discard(spark, f"{where}/strings", f"{where}/ranked")
+    found = _settled(strings, min(ROUNDS, 1 + total // ROUND), where)
+    discard(spark, f"{where}/strings")
     return texts.mapInArrow(
         _remove(gone, found, with_bytes), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

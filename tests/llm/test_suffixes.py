@@ -89,3 +89,31 @@ def test_empty(spark):
     for n in (25, 26, 33, 40, 49, 50, 57):
         rows = [(1, "x" * n), (2, "ab" * (n // 2))]
         assert run(spark, rows) == expected(rows, 50)
+
+
+def test_files_out_of_order(spark):
+    """A task that reads several files of texts begins with the largest."""
+    rows = cases(7)
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected(rows, S.SPAN)
+
+
+def test_rounds(spark, monkeypatch):
+    """Each round settles a share of the strings, and its intermediates are gone before the next."""
+    import os
+    from urllib.parse import urlparse
+
+    rows = cases(7)
+    seen, before = [], S._unique
+
+    def unique(strings, where):
+        folder = urlparse(where).path.rsplit("/", 1)[0]
+        left = [d for r in os.listdir(folder) if r.startswith("round") for d in os.listdir(f"{folder}/{r}") if d in ("unique", "ranked")]
+        seen.append((strings.count(), left))
+        return before(strings, where)
+
+    monkeypatch.setattr(S, "_unique", unique)
+    monkeypatch.setattr(S, "ROUND", sum(len((t or "").encode()) for _, t in rows) // 3)
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected(rows, S.SPAN)
+    assert len(seen) == 4 and all(0 < n < sum(m for m, _ in seen) and not left for n, left in seen)
