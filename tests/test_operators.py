@@ -323,3 +323,16 @@ def test_paths_and_forests(spark):
     components = cluster.connected_components(w)
     joined = w.select("src", "dst").union(graph.connecting_edges(components))
     assert cluster.connected_components(joined).select("component").distinct().count() == 1
+
+
+def test_pairs_write_vectors_once(spark, monkeypatch):
+    """Blocks are read by the tasks, not repeated along a grid."""
+    monkeypatch.setattr(neighbors, "QUERIES", 7)
+    rng = np.random.default_rng(8)
+    x = {int(i): rng.standard_normal(3) for i in range(-20, 20)}
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()] + [(50, None)], "id long, x array<double>")
+    found = neighbors.pairs(points)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    got = {(r.a, r.b): r.dist for r in found.collect()}
+    assert set(got) == {(a, b) for a in x for b in x if a < b} and found.count() == len(got)
+    assert all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-12 for (a, b), d in got.items())
