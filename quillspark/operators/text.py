@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import lsa_word, tokens
+from quillspark.sources.files import delete, shared_folder, stored_at
+
+from .blocks import dealt, over_cells
+from .select import numbered
+
+#: Ways in which the pairs of one vector's copies are spread over tasks.
+SALTS = 32
 
 
 def term_counts(docs: DataFrame, *, least_length: int = 3, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -92,23 +104,186 @@ def unit_rows(weights: DataFrame, value: str = "weight") -> DataFrame:
     return w.join(length, "doc_id").select("doc_id", "term", (F.col(value) / F.col("n")).alias("u"))
 
 
-def cosine_pairs(weights: DataFrame, least: float, value: str = "weight") -> DataFrame:
+#: Documents of a block, and candidates that are compared at once.
+BLOCK, AT_ONCE = 4096, 1 << 21
+
+
+@dataclass
+class _Vectors:
+    """Unit vectors of a block, once each: their members, entries in the order of terms, and entries of prefixes."""
+
+    ids: np.ndarray  # the smallest document of each vector
+    start: np.ndarray  # of each vector's entries, and their end
+    term: np.ndarray
+    u: np.ndarray
+    first: np.ndarray  # of each vector's prefix in the following, and their end
+    prefix: np.ndarray  # terms
+    tail: np.ndarray  # the vector's length from that term on
+
+
+def _vectors(least: float):
+    def ready(table: pa.Table) -> _Vectors:
+        ids, names = table.column("doc_id").to_numpy(), table.column("name").to_pylist()
+        owner: dict[bytes, int] = {}
+        for k in np.argsort(ids, kind="stable").tolist():
+            owner.setdefault(names[k], k)
+        chosen = sorted(owner.values())
+        terms, values = table.column("terms").to_pylist(), table.column("u").to_pylist()
+        terms, values = [np.frombuffer(terms[k], "<i8") for k in chosen], [np.frombuffer(values[k], "<f8") for k in chosen]
+        start = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+        tails = [np.sqrt(np.cumsum((v * v)[::-1])[::-1]) for v in values]
+        # a term belongs to the prefix while the vector from it on is long enough; a little slack for rounding
+        sizes = [int((t >= least * (1 - 1e-9)).sum()) for t in tails]
+        return _Vectors(
+            ids[chosen], start, np.concatenate(terms), np.concatenate(values), np.concatenate(([0], np.cumsum(sizes))),
+            np.concatenate([t[:n] for t, n in zip(terms, sizes, strict=True)]), np.concatenate([t[:n] for t, n in zip(tails, sizes, strict=True)]),
+        )
+
+    return ready
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), then those from start[1] on, and so on."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _similar(least: float):
+    """Pairs of two blocks' vectors whose product is `least` or more.
+
+    Let t be the rarest term that two vectors share. Their product is at most that of their lengths from t on, so t is
+    in both prefixes and that product is `least` or more: only such entries meet.
+    """
+    slack = least * (1 - 1e-9)
+
+    def work(a: _Vectors, b: _Vectors, same: bool) -> Iterator[pa.RecordBatch]:
+        if not len(b.prefix) or not len(a.prefix):
+            return
+        # b's entries by term, longest tails first: those that are long enough for an entry of a follow each other
+        order = np.lexsort((-b.tail, b.prefix))
+        term, tail = b.prefix[order], b.tail[order]
+        owner = np.repeat(np.arange(len(b.ids)), np.diff(b.first))[order]
+        known, begin = np.unique(term, return_index=True)
+        # tails are 1 at most but for rounding, and terms are whole numbers
+        rank, at = np.repeat(np.arange(len(known)), np.diff(np.append(begin, len(term)))), np.searchsorted(known, a.prefix)
+        hit = known[np.minimum(at, len(known) - 1)] == a.prefix
+        at = np.where(hit, at, 0)
+        low = begin[at]
+        # the slack of the keys is more than what their sums lose
+        high = np.searchsorted(2.0 * rank + (1 - tail), 2.0 * at + (1 - slack / a.tail) + 1e-7, "right")
+        n = np.where(hit, np.maximum(high - low, 0), 0)
+        total = np.concatenate(([0], np.cumsum(n)))
+        done = total[a.first]
+        # terms by their place in b, those that b lacks after them
+        names, local = np.unique(b.term, return_inverse=True)
+        place = np.searchsorted(names, a.term)
+        place = np.where(names[np.minimum(place, len(names) - 1)] == a.term, place, len(names))
+        mine = np.zeros(len(names) + 1)
+        p = 0
+        while p < len(a.ids):
+            q = max(p + 1, int(np.searchsorted(done, done[p] + AT_ONCE, "right")) - 1)
+            x, y = a.first[p], a.first[q]
+            own = np.repeat(np.repeat(np.arange(p, q), np.diff(a.first[p : q + 1])), n[x:y])
+            key = np.unique(own * np.int64(len(b.ids)) + owner[_ranges(low[x:y], n[x:y])])
+            left, right = key // len(b.ids), key % len(b.ids)
+            if same:
+                left, right = left[left < right], right[left < right]
+            if len(left):
+                yield from compare(a, b, left, right, place, local, mine)
+            p = q
+
+    def compare(a: _Vectors, b: _Vectors, left, right, place, local, mine) -> Iterator[pa.RecordBatch]:
+        size = np.diff(b.start)
+        cut = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+        out = []
+        for x, y in zip(cut, [*cut[1:], len(left)], strict=True):
+            i = left[x]
+            own = place[a.start[i] : a.start[i + 1]]
+            mine[own] = a.u[a.start[i] : a.start[i + 1]]
+            for z in range(x, y, BLOCK):
+                j = right[z : min(z + BLOCK, y)]
+                places = _ranges(b.start[j], size[j])
+                c = np.add.reduceat(mine[local[places]] * b.u[places], np.cumsum(size[j]) - size[j])
+                found = np.flatnonzero(c >= least)
+                if len(found):
+                    out.append((np.full(len(found), a.ids[i]), b.ids[j[found]], c[found]))
+            mine[own] = 0
+        if out:
+            p, q, c = (np.concatenate(v) for v in zip(*out, strict=True))
+            for z in range(0, len(p), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[z : z + (1 << 16)]) for v in (p, q, c)], names=["p", "q", "cosine"])
+
+    return work
+
+
+def _packed(rarity: list[tuple[int, float]] | None):
+    """Documents' entries as bytes, scaled to length 1, with a digest that equal vectors share.
+
+    `rarity` are the factors of values by number of the term: (the first number, factor), ascending.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, factor = (np.array(v) for v in zip(*rarity, strict=True)) if rarity else (None, None)
+        for batch in batches:
+            out = []
+            for doc, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                both = entries.values.flatten()
+                term, w = both[0].to_numpy().astype("<i8"), both[1].to_numpy()
+                if first is not None:
+                    w = w * factor[np.searchsorted(first, term, "right") - 1]
+                    term, w = term[w != 0], w[w != 0]
+                if len(w):
+                    u = (w / np.sqrt((w * w).sum())).astype("<f8").tobytes()
+                    term = term.tobytes()
+                    out.append((doc, hashlib.blake2b(term + u, digest_size=32).digest(), term, u))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            names = ["doc_id", "name", "terms", "u"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=names)
+
+    return run
+
+
+def cosine_pairs(weights: DataFrame, least: float, value: str = "weight", *, idf: bool = False) -> DataFrame:
     """(a, b, cosine) with a < b of all documents whose cosine similarity is `least` (above 0) or more.
 
     Terms are ordered from rare to common. A document's prefix ends where the rest of its unit vector is shorter
     than `least`: two documents with nothing in common there can't reach it, as one's rest bounds their product.
-    So only prefixes meet, rare terms first, and pairs that do are computed in full.
+    So only prefixes meet, rare terms first, and pairs that do are computed in full. Vectors are written in blocks by
+    their digest, so that copies are compared once; tasks read two blocks at a time, and only pairs that are similar
+    leave them.
+    With `idf`, values are counts, which are multiplied by ln(D / (1 + df)): as `tfidf`, whose division by the
+    document's length changes no cosine.
     """
-    unit = unit_rows(weights, value)
-    df = unit.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc_id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    tail = F.sum(F.col("u") * F.col("u")).over(order)
-    # a term belongs to the prefix while the vector from it on is long enough; a little slack for rounding
-    prefix = unit.join(df, "term").withColumn("tail", tail).where(F.col("tail") >= least * least * (1 - 1e-9)).select("doc_id", "term")
-    pairs = prefix.toDF("a", "term").join(prefix.toDF("b", "term"), "term").where("a < b").select("a", "b").distinct()
-    left, right = unit.toDF("a", "term", "ua"), unit.toDF("b", "term", "ub")
-    found = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
-    return found.where(F.col("cosine") >= least)
+    spark = weights.sparkSession
+    where = shared_folder(spark, "cosine")
+    held = stored_at(weights.where(F.col(value) != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "term", F.col(value).cast("double").alias("w")), f"{where}/weights")
+    terms = stored_at(numbered(held.groupBy("term").agg(F.count("*").alias("df")), ["df", "term"], "j").select("term", F.col("j").cast("long").alias("j"), "df"), f"{where}/terms")
+    rarity = None
+    if idf:
+        documents = held.agg(F.count_distinct("doc_id")).first()[0]
+        # numbers follow document frequencies: one row for each different one
+        rarity = sorted((r.j, math.log(documents / (1 + r.df))) for r in terms.groupBy("df").agg(F.min("j").alias("j")).collect())
+    rows = stored_at(held.join(terms.select("term", "j"), "term").select("doc_id", "j", "w"), f"{where}/entries")
+    delete(spark, f"{where}/weights")
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("entries"))
+    packed = stored_at(rows.mapInArrow(_packed(rarity), "doc_id long, name binary, terms binary, u binary"), f"{where}/packed")
+    delete(spark, f"{where}/entries")
+    n = max(1, -(-packed.count() // BLOCK))
+    folder = dealt(packed, "name", n, f"{where}/blocks")
+    members = stored_at(packed.select("doc_id", "name"), f"{where}/members")
+    delete(spark, f"{where}/packed")
+    found = over_cells(spark, folder, n, ["doc_id", "name", "terms", "u"], _vectors(least), _similar(least), "p long, q long, cosine double")
+    found = stored_at(found, f"{where}/found")
+    delete(spark, folder)
+    # documents of equal vectors are similar to each other and to the same others
+    first = members.groupBy("name").agg(F.min("doc_id").alias("p"), F.count("*").alias("n"))
+    copies = stored_at(members.join(first.where("n > 1"), "name").select("p", "doc_id"), f"{where}/copies")
+    spread = lambda df, out: df.select("p", F.col("doc_id").alias(out))
+    each = lambda df, key, out: df.join(copies.select(F.col("p").alias(key), "doc_id"), key, "left").withColumn(out, F.coalesce("doc_id", key)).drop("doc_id")
+    across = each(each(found, "p", "x"), "q", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    left = spread(copies, "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    within = left.join(spread(copies, "b").select("*", salts), ["p", "salt"]).where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
+    return across.unionByName(within.where(F.col("cosine") >= least))
 
 
 def zero_norm_documents(weights: DataFrame, value: str = "weight") -> DataFrame:
@@ -153,8 +328,6 @@ def signed_terms(weights: DataFrame, k: int, by: str = "id", value: str = "weigh
 
 def numbered_features(features: DataFrame, order: DataFrame) -> DataFrame:
     """LSA features (doc_id, term) with term numbers in the order in which terms are first seen: by `order` (doc_id, term, place)."""
-    from .select import numbered
-
     seen = order.groupBy("term").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("term", "at.doc_id", "at.place")
     names = numbered(seen, ["doc_id", "place"], "j").select("term", "j")
     return features.join(names, "term").select("doc_id", "term", "j")

@@ -127,7 +127,7 @@ def integer_recovery(spark, sf_dir):
 )
 def cosine_pairs(spark, sf_dir):
     """All pairs of documents whose weights' cosine is 0.7 or more, by all terms."""
-    return text.cosine_pairs(text.tfidf(tdm(spark, sf_dir)), 0.7).withColumn("cosine", F.round("cosine", 6))
+    return text.cosine_pairs(tdm(spark, sf_dir), 0.7, "tf", idf=True).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(

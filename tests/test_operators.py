@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry, vec
-from quillspark.operators import aggregate, cluster, combinatorics, graph, kernels, linalg, matrix, neighbors, planes, score, select, synth
+from quillspark.operators import aggregate, cluster, combinatorics, graph, kernels, linalg, matrix, neighbors, planes, score, select, synth, text
 
 
 def frame(spark, x, labels=None):
@@ -336,3 +336,24 @@ def test_pairs_write_vectors_once(spark, monkeypatch):
     got = {(r.a, r.b): r.dist for r in found.collect()}
     assert set(got) == {(a, b) for a in x for b in x if a < b} and found.count() == len(got)
     assert all(abs(d - np.linalg.norm(x[a] - x[b])) < 1e-12 for (a, b), d in got.items())
+
+
+@pytest.mark.parametrize("idf", [False, True])
+def test_cosine_pairs_in_blocks(spark, monkeypatch, idf):
+    """All pairs above the threshold over several blocks, copies included; candidate pairs are never a table."""
+    monkeypatch.setattr(text, "BLOCK", 16)
+    monkeypatch.setattr(text, "AT_ONCE", 50)
+    rng = np.random.default_rng(5)
+    base = rng.poisson(0.5, (12, 30)) + np.eye(12, 30, dtype=int)
+    m = {i - 30: base[i % 12] + (rng.poisson(0.1, 30) if i % 3 else 0) for i in range(100)}
+    rows = [(i, f"t{j}", int(v)) for i, x in m.items() for j, v in enumerate(x) if v]
+    found = text.cosine_pairs(spark.createDataFrame(rows, "doc_id long, term string, tf long"), 0.7, "tf", **({"idf": True} if idf else {}))
+    assert found._jdf.queryExecution().toString().count("distinct") == 0
+    w = np.array(list(m.values()), float)
+    if idf:
+        w = w * np.log(len(w) / (1 + (w > 0).sum(axis=0)))
+    u = w / np.linalg.norm(w, axis=1, keepdims=True)
+    c, ids = u @ u.T, list(m)
+    want = {(ids[i], ids[j]): c[i, j] for i in range(100) for j in range(i + 1, 100) if c[i, j] >= 0.7}
+    got = [((r.a, r.b), r.cosine) for r in found.collect()]
+    assert len(want) > 300 and len(got) == len(want) and all(abs(want[k] - v) < 1e-12 for k, v in got)
