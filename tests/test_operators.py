@@ -357,3 +357,13 @@ def test_cosine_pairs_in_blocks(spark, monkeypatch, idf):
     want = {(ids[i], ids[j]): c[i, j] for i in range(100) for j in range(i + 1, 100) if c[i, j] >= 0.7}
     got = [((r.a, r.b), r.cosine) for r in found.collect()]
     assert len(want) > 300 and len(got) == len(want) and all(abs(want[k] - v) < 1e-12 for k, v in got)
+
+
+def test_mds_of_any_number(spark):
+    """More points than all pairs of which the driver took."""
+    x = np.random.default_rng(4).standard_normal((4100, 3))
+    pts = frame(spark, x)
+    y = linalg.mds(pts, 5)
+    assert linalg.misfit(pts, y) < 1e-9 and len(y.first().x) == 5
+    moved = pts.withColumn("x", F.when(F.col("id") == 7, F.array(*(F.lit(0.0) for _ in range(3)))).otherwise(F.col("x")))
+    assert linalg.misfit(moved, y) > 0.1 and linalg.misfit(pts.where("id > 3"), y) == float("inf")
