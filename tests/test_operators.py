@@ -367,3 +367,11 @@ def test_mds_of_any_number(spark):
     assert linalg.misfit(pts, y) < 1e-9 and len(y.first().x) == 5
     moved = pts.withColumn("x", F.when(F.col("id") == 7, F.array(*(F.lit(0.0) for _ in range(3)))).otherwise(F.col("x")))
     assert linalg.misfit(moved, y) > 0.1 and linalg.misfit(pts.where("id > 3"), y) == float("inf")
+
+
+def test_isomap_of_a_whole_graph(spark):
+    x = np.random.default_rng(4).standard_normal((4100, 3))
+    pts = frame(spark, x)
+    assert linalg.misfit(pts, linalg.isomap(pts, 4099, 3)) < 1e-9
+    with pytest.raises(ValueError, match="all pairs"):
+        linalg.isomap(pts, 5, 2)
