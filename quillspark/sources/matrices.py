@@ -75,10 +75,15 @@ def write_dmat(points: DataFrame, path: str, *, binary: bool = False) -> None:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file with their numbers from 0. The file is read in splits."""
+    """(line, value): the lines of a file, or of a folder's files by their names, with their numbers from 0.
+
+    Files are read in splits, and a task that reads several begins with the largest.
+    """
     rows = spark.read.option("lineSep", "\n").text(path)
-    rows = rows.select(F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_block_start").alias("_split"), F.regexp_replace("value", "\\r$", "").alias("value"))
-    return numbered(rows, ["_split", "_at"], "line").select("line", "value")
+    place = {"_file": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    rows = rows.select(*(c.alias(n) for n, c in place.items()), F.regexp_replace("value", "\\r$", "").alias("value"))
+    # part numbers have five digits or more
+    return numbered(rows.withColumn("_long", F.length("_file")), ["_long", *place], "line").select("line", "value")
 
 
 def read_table(spark: SparkSession, path: str, *, permissive: bool = False) -> DataFrame:

@@ -82,3 +82,19 @@ def test_streamed_sketch(spark, tmp_path):
     assert np.allclose(sketch.factors().s, np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-6)
     sketch.update(points(spark, m), 0)  # a batch that is sent again
     assert sketch.rows == 120
+
+
+@pytest.mark.parametrize("split", ["128m", "2k"])
+def test_folder_of_lines_in_order(spark, tmp_path, split):
+    """A folder's files follow each other by name, whatever their sizes and splits."""
+    n = 0
+    for part, size in enumerate((50, 900, 200, 1500, 10)):
+        (tmp_path / f"part-{part:05d}-x.txt").write_text("".join(f"{i} {-i}\n" for i in range(n, n + size)))
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = matrices.read_table(spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.id, r.x) for r in rows) == [(i, [float(i), float(-i)]) for i in range(n)]
