@@ -92,9 +92,12 @@ def column_normalise(tdm: DataFrame) -> DataFrame:
 
 
 def integer_recovery(weights: DataFrame, value: str = "weight") -> DataFrame:
-    """Counts from weights: each document's entries over its smallest, rounded."""
+    """Counts from weights: each document's entries over its smallest, rounded.
+
+    Ratios are rounded to nine places first: halves of whole numbers, which the weights' own rounding moves, go up then.
+    """
     least = weights.where(F.col(value) != 0).groupBy("doc_id").agg(F.min(value).alias("least"))
-    return weights.join(least, "doc_id").select("doc_id", "term", F.round(F.col(value) / F.col("least")).cast("long").alias("tf"))
+    return weights.join(least, "doc_id").select("doc_id", "term", F.round(F.round(F.col(value) / F.col("least"), 9)).cast("long").alias("tf"))
 
 
 def unit_rows(weights: DataFrame, value: str = "weight") -> DataFrame:

@@ -375,3 +375,11 @@ def test_isomap_of_a_whole_graph(spark):
     assert linalg.misfit(pts, linalg.isomap(pts, 4099, 3)) < 1e-9
     with pytest.raises(ValueError, match="all pairs"):
         linalg.isomap(pts, 5, 2)
+
+
+def test_integer_recovery_of_halves(spark):
+    """Counts over an even smallest count: n.5 goes up, whatever the weights lose by rounding."""
+    rows = [(d, f"t{i}", v) for d in range(60) for i, v in enumerate([2, 3, 5, 7, 9, 2 * d + 11])]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    got = {(r.doc_id, r.term): r.tf for r in text.integer_recovery(text.column_normalise(counts)).collect()}
+    assert got == {(d, t): (v + 1) // 2 for d, t, v in rows}
