@@ -383,3 +383,14 @@ def test_integer_recovery_of_halves(spark):
     counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
     got = {(r.doc_id, r.term): r.tf for r in text.integer_recovery(text.column_normalise(counts)).collect()}
     assert got == {(d, t): (v + 1) // 2 for d, t, v in rows}
+
+
+def test_interpolation_of_any_number(spark, monkeypatch):
+    """More points than the driver's matrix takes: the sums go through the values, near points included."""
+    monkeypatch.setattr(kernels, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((180, 4))
+    x[90:95] = x[:5] + 0.05
+    pts = frame(spark, x).withColumn("y", F.col("id") % 7)
+    got = kernels.interpolator(pts, 0.5, "y", most=100)(pts).collect()
+    assert len(got) == 180 and all(abs(r.y - r.q % 7) < 1e-5 for r in got)
