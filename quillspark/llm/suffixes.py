@@ -22,8 +22,8 @@ SPAN, GRAM = 50, 26
 CHUNK, MARK = 256, 16
 #: Bytes of text that are hashed at once (what a core's cache holds), and of strings that are sorted at once.
 BLOCK, SORTED = 1 << 16, 1 << 18
-#: Different strings of a bucket's key beyond which the key is split.
-MANY = 4096
+#: Different strings of a key beyond which the key is split, and how many times as many rows of a key meet in one task.
+MANY, FEW = 4096, 4
 #: Bytes of text for which strings are settled in a round of their own, and rounds at most.
 ROUND, ROUNDS = 256 << 20, 8
 #: Stands for a null doc_id: greater than all.
@@ -298,6 +298,17 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(now, keys, files, several)
 
 
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), then those from start[1] on, and so on."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _cut(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Pieces of `buf` as a binary column."""
+    at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(buf[_places(start, n)])])
+
+
 def _strings(gone_folder: str, shared_folder: str, buckets: int):
     """The runs whose key other rows hold too, with their bytes."""
 
@@ -309,28 +320,20 @@ def _strings(gone_folder: str, shared_folder: str, buckets: int):
             known = shared.of(rows)
             if not len(known):
                 continue
-            met = set()
+            found = []
             for buf, start, n, own, key in _runs(batch, gone):
                 name = (((key >> U64(32)) * U64(buckets)) >> U64(32)) << U64(32) | (key & U64(0xFFFFFFFF))
                 hit = known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
-                start, n, own, key = start[hit], n[hit], own[hit], key[hit]
-                data = memoryview(buf)
-                for low in range(0, len(start), 8192):
-                    s, m, o = start[low : low + 8192], n[low : low + 8192], own[low : low + 8192]
-                    texts = [data[a : a + b + SPAN - 1] for a, b in zip(s.tolist(), m.tolist(), strict=True)]
-                    names = [hashlib.blake2b(t, digest_size=32).digest() for t in texts]
-                    # the bytes once for each string of the batch
-                    first = []
-                    for x, t in zip(names, texts, strict=True):
-                        first.append(None if x in met else bytes(t))
-                        met.add(x)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(rows[o]), pa.array(ids[o]), pa.array((s - at[o]).astype(np.int64)), pa.array(key[low : low + 8192].view(np.int64)),
-                            pa.array(names, pa.binary()), pa.array(first, pa.binary()),
-                        ],
-                        names=["row", "id", "at", "key", "name", "bytes"],
-                    )
+                found.append((start[hit], n[hit], own[hit], key[hit]))
+            if not found:
+                continue
+            start, n, own, key = (np.concatenate(v) for v in zip(*found, strict=True))
+            for low in range(0, len(start), 8192):
+                s, m, o = start[low : low + 8192], n[low : low + 8192], own[low : low + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[o]), pa.array(ids[o]), pa.array((s - at[o]).astype(np.int64)), pa.array(key[low : low + 8192].view(np.int64)), _cut(buf, s, m + SPAN - 1)],
+                    names=["row", "id", "at", "key", "bytes"],
+                )
 
     return run
 
@@ -361,6 +364,58 @@ class _Shared(Side):
         return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
 
 
+def _direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, row, at, bytes) in the order of keys: those with a window that a smaller id holds, and all their windows' least ids."""
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids, row, place_of = (table.column(c).to_numpy() for c in ("key", "id", "row", "at"))
+        coded = table.column("bytes").combine_chunks().dictionary_encode()
+        code, strings = coded.indices.to_numpy(), coded.dictionary
+        # equal strings have equal keys
+        own = np.empty(len(strings), np.int64)
+        own[code] = key
+        sizes = np.diff(np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]).astype(np.int64) - SPAN + 1
+        begin = np.cumsum(sizes) - sizes
+        least, most = np.full(len(strings), LAST), np.full(len(strings), -LAST - 1)
+        np.minimum.at(least, code, ids)
+        np.maximum.at(most, code, ids)
+        mins = np.repeat(least, sizes)
+        # strings of a key that have others beside them, and not all from one document
+        _, group, many = np.unique(own, return_inverse=True, return_counts=True)
+        low, high = np.full(len(many), LAST), np.full(len(many), -LAST - 1)
+        np.minimum.at(low, group, least)
+        np.maximum.at(high, group, most)
+        some = np.flatnonzero((many > 1)[group] & (low < high)[group])
+        if len(some):
+            string, place, number = classes(strings.take(pa.array(some)).to_pylist(), SPAN)
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            mins[begin[some[string]] + place] = np.minimum.reduceat(least[some[string]], first)[number - 1]
+        hit = np.flatnonzero(np.minimum.reduceat(mins, begin)[code] < ids)
+        for at in range(0, len(hit), 8192):
+            part = hit[at : at + 8192]
+            n = sizes[code[part]]
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(mins[_places(begin[code[part]], n)]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[part]), pa.array(place_of[part]), lists], names=["row", "at", "mins"])
+
+    held, size, enough = [], 0, 2 * SORTED
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(4).nbytes
+        if size >= enough:
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            # the last key may go on
+            end = int(np.searchsorted(key, key[-1], "left"))
+            if end:
+                yield from settle(table.slice(0, end))
+            held = table.slice(end).combine_chunks().to_batches()
+            size = sum(b.column(4).nbytes for b in held)
+            enough = max(2 * SORTED, 2 * size)
+    if sum(b.num_rows for b in held):
+        yield from settle(pa.Table.from_batches(held))
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per string of whole cells (key, part): the least id that holds each of its windows.
 
@@ -483,8 +538,8 @@ def _shared_keys(texts: DataFrame, gone: str, buckets: int, where: str) -> str:
 
 
 def _unique(strings: DataFrame, where: str) -> DataFrame:
-    """Each string once, with the least and the greatest id that hold it."""
-    found = strings.groupBy("key", "name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("bytes", ignorenulls=True).alias("bytes"))
+    """Each string of the keys with many rows once, with the least and the greatest id that hold it."""
+    found = strings.where("hot").groupBy("key", "name").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("bytes").alias("bytes"))
     return keep(found, f"{where}/unique")
 
 
@@ -512,18 +567,27 @@ def _found(strings: DataFrame, ranked: DataFrame, where: str) -> DataFrame:
 
 
 def _settled(strings: DataFrame, rounds: int, where: str) -> str:
-    """`_found` of all strings by file of texts, a share of the keys after another.
+    """The strings' windows that a document with a smaller id holds, by file of texts; a share of the keys after another.
 
-    Equal windows have equal keys, so no class is cut. What a round shuffles and writes is gone before the next.
+    Equal windows have equal keys, so no class is cut. A key's rows meet in a task that sorts them; only keys with
+    very many rows go by `_ranked`. What a round shuffles and writes is gone before the next.
     """
     spark, out = strings.sparkSession, []
     for n in range(rounds):
         here = f"{where}/round{n}"
-        own = strings.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n) if rounds > 1 else strings
-        ranked = _ranked(_unique(own, here), here)
+        own = strings.where(F.col("round") == n)
+        hot = own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW * MANY).select("key", F.lit(True).alias("hot"))
+        hot = keep(hot, f"{here}/hot")
+        own = own.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("name", F.unhex(F.sha2("bytes", 256)))
+        some = own.where("NOT hot").select("key", "id", "row", "at", "bytes").repartition("key").sortWithinPartitions("key")
+        out.append(keep(some.mapInArrow(_direct, "row long, at long, mins array<long>"), f"{here}/direct"))
+        unique = _unique(own, here)
+        if not unique.isEmpty():
+            ranked = _ranked(unique, here)
+            discard(spark, f"{here}/unique")
+            out.append(_found(own.where("hot"), ranked, here))
+            discard(spark, f"{here}/ranked", f"{here}/many")
         discard(spark, f"{here}/unique")
-        out.append(_found(own, ranked, here))
-        discard(spark, f"{here}/ranked", f"{here}/many")
     return _by_file(reduce(DataFrame.unionByName, out), f"{where}/found")
 
 
@@ -535,11 +599,11 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     1. Content-defined chunks, each with the SPAN - 1 bytes after it, are named by 256-bit digests. All windows
        that begin in a chunk whose name a smaller doc_id has are gone; copies take no part in what follows.
     2. The least gram hash of a window is its key. Keys that only one document holds are dropped.
-    3. The strings of windows with shared keys, once each with their least doc_id, are dealt out by key and
-       sorted by their suffixes (difference cover); adjacent suffixes with equal first SPAN bytes are a
-       class, whose least doc_id is known then. Keys with very many strings are split over tasks, and their
-       classes merged by the windows' bytes. Large inputs do this in up to ROUNDS rounds, each for a share of
-       the keys, so that their intermediates aren't on disk at once.
+    3. The strings of windows with shared keys are dealt out by key, made unique and sorted by their suffixes
+       (difference cover); adjacent suffixes with equal first SPAN bytes are a class, whose least doc_id is
+       known then. Keys with very many rows are made unique before, split over tasks, and their classes
+       merged by the windows' bytes. Large inputs do this in up to ROUNDS rounds, each for a share of the
+       keys, so that their intermediates aren't on disk at once.
     Texts are never shuffled: what concerns a document is written by the file of texts that holds it.
     A null text is empty; texts below SPAN bytes stay; very long texts are cut into runs like others; a null doc_id is greater than all others; rows with
     the same doc_id don't remove each other's bytes; an empty table gives an empty result. Other columns
@@ -557,9 +621,16 @@ def remove_repeats(docs: DataFrame, *, with_bytes: bool = True) -> DataFrame:
     # about 8 MB of keys in a bucket
     buckets = max(shuffle_partitions(spark), int(total * 0.08 * 6 / (8 << 20)) + 1)
     shared = _shared_keys(texts, gone, buckets, where)
-    strings = keep(texts.mapInArrow(_strings(gone, shared, buckets), "row long, id long, at long, key long, name binary, bytes binary"), f"{where}/strings")
+    rounds = min(ROUNDS, 1 + total // ROUND)
+    strings = texts.mapInArrow(_strings(gone, shared, buckets), "row long, id long, at long, key long, bytes binary")
+    strings = strings.withColumn("round", F.pmod(F.xxhash64("key"), F.lit(rounds)).cast("int"))
+    # by round: none reads the others' strings
+    save(strings, f"{where}/strings", "round")
+    strings = spark.read.schema(strings.schema).parquet(f"{where}/strings")
     discard(spark, shared)
-    found = _settled(strings, min(ROUNDS, 1 + total // ROUND), where)
+    small_batches(spark, 8192)
+    found = _settled(strings, rounds, where)
+    small_batches(spark)
     discard(spark, f"{where}/strings")
     return texts.mapInArrow(
         _remove(gone, found, with_bytes), "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

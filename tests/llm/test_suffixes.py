@@ -117,3 +117,11 @@ def test_rounds(spark, monkeypatch):
     got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected(rows, S.SPAN)
     assert len(seen) == 4 and all(0 < n < sum(m for m, _ in seen) and not left for n, left in seen)
+
+
+def test_few_rows_of_a_key_meet_at_once(spark, monkeypatch):
+    """Only keys with very many rows are made unique, split and merged."""
+    rows = cases(7)
+    monkeypatch.setattr(S, "_ranked", None)
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == expected(rows, S.SPAN)
