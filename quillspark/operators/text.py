@@ -107,40 +107,57 @@ def unit_rows(weights: DataFrame, value: str = "weight") -> DataFrame:
     return w.join(length, "doc_id").select("doc_id", "term", (F.col(value) / F.col("n")).alias("u"))
 
 
-#: Documents of a block, and candidates that are compared at once.
-BLOCK, AT_ONCE = 4096, 1 << 21
+#: Documents of a block, of a part of it, and products that are summed at once.
+BLOCK, PART, AT_ONCE = 8192, 64, 1 << 21
+#: The share of `least` that what isn't summed of two vectors' product may reach; less sums more terms, and leaves fewer candidates.
+REST = 0.94
 
 
 @dataclass
 class _Vectors:
-    """Unit vectors of a block, once each: their members, entries in the order of terms, and entries of prefixes."""
+    """Unit vectors of a block, once each: their members, entries in the order of terms, and entries of prefixes by term, longest tails first."""
 
     ids: np.ndarray  # the smallest document of each vector
     start: np.ndarray  # of each vector's entries, and their end
     term: np.ndarray
     u: np.ndarray
-    first: np.ndarray  # of each vector's prefix in the following, and their end
-    prefix: np.ndarray  # terms
+    owner: np.ndarray  # of each prefix entry in the following
+    base: np.ndarray  # twice the term
     tail: np.ndarray  # the vector's length from that term on
+    key: np.ndarray  # base + 1 - tail, ascending
+    value: np.ndarray
+    parts: list[np.ndarray]  # the prefix entries of each PART vectors, in that order
+
+
+def _numbers(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' numbers of eight bytes, and where each row's begin and the last ends."""
+    rows = column.combine_chunks()
+    at = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    return np.frombuffer(rows.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind), (at - at[0]) // 8
 
 
 def _vectors(least: float):
+    low = REST * least
+
     def ready(table: pa.Table) -> _Vectors:
-        ids, names = table.column("doc_id").to_numpy(), table.column("name").to_pylist()
-        owner: dict[bytes, int] = {}
-        for k in np.argsort(ids, kind="stable").tolist():
-            owner.setdefault(names[k], k)
-        chosen = sorted(owner.values())
-        terms, values = table.column("terms").to_pylist(), table.column("u").to_pylist()
-        terms, values = [np.frombuffer(terms[k], "<i8") for k in chosen], [np.frombuffer(values[k], "<f8") for k in chosen]
-        start = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-        tails = [np.sqrt(np.cumsum((v * v)[::-1])[::-1]) for v in values]
+        ids = table.column("doc_id").to_numpy()
+        name = table.column("name").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((ids, name))
+        chosen = np.sort(order[np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))])
+        table = table.take(pa.array(chosen))
+        (term, start), (u, _) = _numbers(table.column("terms"), "<i8"), _numbers(table.column("u"), "<f8")
+        owner = np.repeat(np.arange(len(chosen), dtype=np.int32), np.diff(start))
+        sums = np.cumsum(u * u)
+        tail = np.sqrt(np.maximum(sums[start[1:] - 1][owner] - sums + u * u, 0))
         # a term belongs to the prefix while the vector from it on is long enough; a little slack for rounding
-        sizes = [int((t >= least * (1 - 1e-9)).sum()) for t in tails]
-        return _Vectors(
-            ids[chosen], start, np.concatenate(terms), np.concatenate(values), np.concatenate(([0], np.cumsum(sizes))),
-            np.concatenate([t[:n] for t, n in zip(terms, sizes, strict=True)]), np.concatenate([t[:n] for t, n in zip(tails, sizes, strict=True)]),
-        )
+        own = np.flatnonzero(tail >= low * (1 - 1e-9))
+        # tails are 1 at most but for rounding, and terms are whole numbers
+        own = own[np.argsort(2.0 * term[own] + (1 - tail[own]))]
+        base, tail, owner = 2.0 * term[own], tail[own], owner[own]
+        part = owner // PART
+        by_part = np.argsort(part, kind="stable").astype(np.int32)
+        cuts = np.searchsorted(part[by_part], np.arange(1, -(-len(chosen) // PART)))
+        return _Vectors(ids[chosen], start, term, u, owner, base, tail, base + (1 - tail), u[own], np.split(by_part, cuts))
 
     return ready
 
@@ -153,63 +170,57 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _similar(least: float):
     """Pairs of two blocks' vectors whose product is `least` or more.
 
-    Let t be the rarest term that two vectors share. Their product is at most that of their lengths from t on, so t is
-    in both prefixes and that product is `least` or more: only such entries meet.
+    From any term on, two vectors' product is at most that of their lengths from there on, which falls from term to
+    term. So the products of their common terms are summed while that is REST x `least` or more: what follows is less
+    than that, and only pairs whose sums reach the difference to `least` are computed in full.
     """
-    slack = least * (1 - 1e-9)
+    low = REST * least
 
     def work(a: _Vectors, b: _Vectors, same: bool) -> Iterator[pa.RecordBatch]:
-        if not len(b.prefix) or not len(a.prefix):
-            return
-        # b's entries by term, longest tails first: those that are long enough for an entry of a follow each other
-        order = np.lexsort((-b.tail, b.prefix))
-        term, tail = b.prefix[order], b.tail[order]
-        owner = np.repeat(np.arange(len(b.ids)), np.diff(b.first))[order]
-        known, begin = np.unique(term, return_index=True)
-        # tails are 1 at most but for rounding, and terms are whole numbers
-        rank, at = np.repeat(np.arange(len(known)), np.diff(np.append(begin, len(term)))), np.searchsorted(known, a.prefix)
-        hit = known[np.minimum(at, len(known) - 1)] == a.prefix
-        at = np.where(hit, at, 0)
-        low = begin[at]
-        # the slack of the keys is more than what their sums lose
-        high = np.searchsorted(2.0 * rank + (1 - tail), 2.0 * at + (1 - slack / a.tail) + 1e-7, "right")
-        n = np.where(hit, np.maximum(high - low, 0), 0)
-        total = np.concatenate(([0], np.cumsum(n)))
-        done = total[a.first]
-        # terms by their place in b, those that b lacks after them
-        names, local = np.unique(b.term, return_inverse=True)
-        place = np.searchsorted(names, a.term)
-        place = np.where(names[np.minimum(place, len(names) - 1)] == a.term, place, len(names))
-        mine = np.zeros(len(names) + 1)
-        p = 0
-        while p < len(a.ids):
-            q = max(p + 1, int(np.searchsorted(done, done[p] + AT_ONCE, "right")) - 1)
-            x, y = a.first[p], a.first[q]
-            own = np.repeat(np.repeat(np.arange(p, q), np.diff(a.first[p : q + 1])), n[x:y])
-            key = np.unique(own * np.int64(len(b.ids)) + owner[_ranges(low[x:y], n[x:y])])
-            left, right = key // len(b.ids), key % len(b.ids)
+        width = len(b.ids)
+        mine = np.zeros(int(max(a.term.max(), b.term.max())) + 1)
+        # in the order of terms, which is quicker; the slack of the keys is more than what their sums lose
+        first = np.searchsorted(b.key, a.base - 1e-7)
+        many = np.maximum(np.searchsorted(b.key, a.base + (1 - low / a.tail) + 1e-7, "right") - first, 0)
+        for k, own in enumerate(a.parts):
+            own = own[many[own] > 0]
+            begin, n = first[own], many[own]
+            if not len(own):
+                continue
+            row, total = (a.owner[own].astype(np.int64) - k * PART) * width, np.concatenate(([0], np.cumsum(n)))
+            sums, p = None, 0
+            while p < len(own):
+                q = max(p + 1, int(np.searchsorted(total, total[p] + AT_ONCE, "right")) - 1)
+                at = _ranges(begin[p:q], n[p:q])
+                more = np.bincount(np.repeat(row[p:q], n[p:q]) + b.owner[at], np.repeat(a.value[own[p:q]], n[p:q]) * b.value[at])
+                if sums is None:
+                    sums = more
+                else:
+                    sums = np.pad(sums, (0, max(0, len(more) - len(sums))))
+                    sums[: len(more)] += more
+                p = q
+            found = np.flatnonzero(sums >= least - low - 1e-6)
+            left, right = found // width + k * PART, found % width
             if same:
                 left, right = left[left < right], right[left < right]
             if len(left):
-                yield from compare(a, b, left, right, place, local, mine)
-            p = q
+                yield from compare(a, b, left, right, mine)
 
-    def compare(a: _Vectors, b: _Vectors, left, right, place, local, mine) -> Iterator[pa.RecordBatch]:
+    def compare(a: _Vectors, b: _Vectors, left, right, mine) -> Iterator[pa.RecordBatch]:
         size = np.diff(b.start)
         cut = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
         out = []
         for x, y in zip(cut, [*cut[1:], len(left)], strict=True):
-            i = left[x]
-            own = place[a.start[i] : a.start[i + 1]]
-            mine[own] = a.u[a.start[i] : a.start[i + 1]]
-            for z in range(x, y, BLOCK):
-                j = right[z : min(z + BLOCK, y)]
+            own = slice(a.start[left[x]], a.start[left[x] + 1])
+            mine[a.term[own]] = a.u[own]
+            for z in range(x, y, PART):
+                j = right[z : min(z + PART, y)]
                 places = _ranges(b.start[j], size[j])
-                c = np.add.reduceat(mine[local[places]] * b.u[places], np.cumsum(size[j]) - size[j])
+                c = np.add.reduceat(mine[b.term[places]] * b.u[places], np.cumsum(size[j]) - size[j])
                 found = np.flatnonzero(c >= least)
                 if len(found):
-                    out.append((np.full(len(found), a.ids[i]), b.ids[j[found]], c[found]))
-            mine[own] = 0
+                    out.append((np.full(len(found), a.ids[left[x]]), b.ids[j[found]], c[found]))
+            mine[a.term[own]] = 0
         if out:
             p, q, c = (np.concatenate(v) for v in zip(*out, strict=True))
             for z in range(0, len(p), 1 << 16):
@@ -249,8 +260,8 @@ def cosine_pairs(weights: DataFrame, least: float, value: str = "weight", *, idf
     """(a, b, cosine) with a < b of all documents whose cosine similarity is `least` (above 0) or more.
 
     Terms are ordered from rare to common. A document's prefix ends where the rest of its unit vector is shorter
-    than `least`: two documents with nothing in common there can't reach it, as one's rest bounds their product.
-    So only prefixes meet, rare terms first, and pairs that do are computed in full. Vectors are written in blocks by
+    than a share of `least`: two documents' rests bound what their products lack. So only prefixes meet, rare terms
+    first, and pairs whose sums there are large enough are computed in full. Vectors are written in blocks by
     their digest, so that copies are compared once; tasks read two blocks at a time, and only pairs that are similar
     leave them.
     With `idf`, values are counts, which are multiplied by ln(D / (1 + df)): as `tfidf`, whose division by the
@@ -274,7 +285,7 @@ def cosine_pairs(weights: DataFrame, least: float, value: str = "weight", *, idf
     folder = dealt(packed, "name", n, f"{where}/blocks")
     members = stored_at(packed.select("doc_id", "name"), f"{where}/members")
     delete(spark, f"{where}/packed")
-    found = over_cells(spark, folder, n, ["doc_id", "name", "terms", "u"], _vectors(least), _similar(least), "p long, q long, cosine double")
+    found = over_cells(spark, folder, n, ["doc_id", "name", "terms", "u"], _vectors(least), _similar(least), "p long, q long, cosine double", together=8)
     found = stored_at(found, f"{where}/found")
     delete(spark, folder)
     # documents of equal vectors are similar to each other and to the same others

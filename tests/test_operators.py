@@ -2,6 +2,7 @@ import math
 from itertools import combinations, permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,23 @@ def test_interpolation_of_any_number(spark, monkeypatch):
     pts = frame(spark, x).withColumn("y", F.col("id") % 7)
     got = kernels.interpolator(pts, 0.5, "y", most=100)(pts).collect()
     assert len(got) == 180 and all(abs(r.y - r.q % 7) < 1e-5 for r in got)
+
+
+def test_cosine_candidates_are_few(monkeypatch):
+    """Pairs that share rare terms aren't computed in full, unless their common terms sum up to enough."""
+    rng = np.random.default_rng(6)
+    n = 200
+    m = np.zeros((n, 1000))
+    for i in range(n):
+        m[i, rng.choice(1000, 50, replace=False)] = rng.uniform(0.5, 1, 50)
+    m[1] = m[0] * rng.uniform(0.9, 1.1, 1000)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [np.flatnonzero(x) for x in u]
+    table = pa.table({"doc_id": np.arange(n), "name": [bytes([i // 256, i % 256]) for i in range(n)], "terms": [r.astype("<i8").tobytes() for r in rows], "u": [x[r].astype("<f8").tobytes() for x, r in zip(u, rows, strict=True)]})
+    seen, before = [], text._ranges
+    monkeypatch.setattr(text, "_ranges", lambda start, k: seen.append(int(k.sum())) or before(start, k))
+    block = text._vectors(0.7)(table)
+    got = {(p, q): c for b in text._similar(0.7)(block, block, True) for p, q, c in zip(*(x.to_pylist() for x in b.columns), strict=True)}
+    want = {(i, j): c for (i, j), c in np.ndenumerate(u @ u.T) if i < j and c >= 0.7}
+    assert got.keys() == want.keys() and (0, 1) in got and all(abs(c - want[k]) < 1e-12 for k, c in got.items())
+    assert sum(seen) < n * n // 2 * 50 // 3
