@@ -415,3 +415,17 @@ def test_cosine_candidates_are_few(monkeypatch):
     want = {(i, j): c for (i, j), c in np.ndenumerate(u @ u.T) if i < j and c >= 0.7}
     assert got.keys() == want.keys() and (0, 1) in got and all(abs(c - want[k]) < 1e-12 for k, c in got.items())
     assert sum(seen) < n * n // 2 * 50 // 3
+
+
+def test_kernel_steps_are_few(monkeypatch):
+    """Large groups of near points don't slow the steps down: landmarks and groups leave a matrix near the identity."""
+    monkeypatch.setattr(kernels, "LANDMARKS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate((x, x[0] + rng.standard_normal((100, 32)) * 0.01))
+    k = np.exp(-neighbors._squares(x, x) / 0.5)
+    p = np.arange(300, 400)
+    rough = kernels._rough(x, 0.5, 0.0, p, np.zeros(100, np.int64))
+    values = np.abs(np.linalg.eigvals(np.stack([rough(c) for c in k], axis=1)))
+    assert np.linalg.cond(k) > 1e4 and values.max() / values.min() < 20
